@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fixity, mixing, piecewise, quality, secrets, simhash, token_counts, token_files, url_filter
+from . import fixity, mixing, piecewise, quality, secrets, simhash, subwords, token_counts, token_files, url_filter
 from .common import read
 
 
@@ -54,6 +54,11 @@ def op8_quality_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score")
 
 
+def op9_merge_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text encoded with merge-dropout and decoded again."""
+    return subwords.round_trip(read(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
+
+
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = token_files.fresh_folder(spark)
     token_files.write_tokens(read(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"), folder, end_id=2)
