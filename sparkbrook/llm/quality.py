@@ -6,8 +6,8 @@ documents' statistics (ratios, so long and short texts compare): trees of random
 unusual row is cut off after few splits. The score is 2 ** -(mean path length / expected path length). The threshold is
 calibrated on the same labelled rows: the lowest that rejects at most ``MAX_LOSS`` of the good rows which pass the base rules; with no labelled rows of both kinds, the forest rejects nothing.
 
-Only the sample (``SAMPLE_ROWS`` rows of seven numbers at most) comes to the driver, and only the forest goes out. Statistics are written
-once and read by fitting and scoring.
+Only the sample (``SAMPLE_ROWS`` rows of seven numbers at most) comes to the driver, and only the forest goes out. All documents are judged in one
+pass; nothing is shuffled.
 
 Defined cases. Null text: no words, so base_failed. Null ids: kept as rows; never labelled. Repeated rows: one row each out. Labels that
 disagree on an id: the least counts. Empty table: empty result. Other columns aren't read by ``judge`` and stay in ``kept_documents``.
@@ -25,8 +25,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
-
 #: Labelled rows that the forest is fitted and calibrated on, at most.
 SAMPLE_ROWS = 20_000
 TREES, SUBSAMPLE, DEPTH, MAX_LOSS, SEED = 100, 256, 12, 0.002, 11
@@ -157,33 +155,48 @@ def fit(stats: np.ndarray, good: np.ndarray, *, trees: int = TREES, subsample: i
     return forest
 
 
-def labelled_sample(stats: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> tuple[np.ndarray, np.ndarray]:
+def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows: int = SAMPLE_ROWS) -> tuple[np.ndarray, np.ndarray]:
     """Statistics and goodness of at most ``rows`` labelled documents, the same ones in every run."""
     known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    picked = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    met = stats.join(F.broadcast(picked), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", *STATS).limit(rows)
-    table = met.select(*STATS, "quality").toPandas()
+    picked = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)  # so it is small enough to broadcast
+    met = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(picked.select("doc_id")), "doc_id", "left_semi")
+    stats = document_statistics(met).join(F.broadcast(picked), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", *STATS).limit(rows)
+    table = stats.select(*STATS, "quality").toPandas()
     return table[list(STATS)].to_numpy(np.int64).reshape(-1, len(STATS)), table["quality"].to_numpy() == 1
 
 
+def fitted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> Forest:
+    """The forest for ``docs``; ``labels``: (doc_id, quality)."""
+    return fit(*labelled_sample(docs, labels.select("doc_id", "quality"), id_col, text_col), **settings)
+
+
+def verdicts(forest: Forest, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of STATS, scores, base_failed and kept."""
+    x = np.array([statistics(t.as_py() or "") for t in texts], np.int64).reshape(-1, len(STATS))
+    s = forest.scores(features(x)) if forest.trees else np.zeros(len(x))
+    failed = base_failed(x[:, 0], x[:, 4])
+    return x, s, failed, ~failed & (s <= forest.threshold)
+
+
 def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
     """(doc_id, *STATS, score, base_failed, kept) for each row. ``labels``: (doc_id, quality)."""
-    stats = written(document_statistics(docs, id_col, text_col), "quality")
-    forest = fit(*labelled_sample(stats, labels.select(F.col("doc_id"), F.col("quality"))), **settings)
+    forest = fitted(docs, labels, id_col, text_col, **settings)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = np.column_stack([batch.column(k + 1).to_numpy() for k in range(len(STATS))]) if batch.num_rows else np.zeros((0, len(STATS)), np.int64)
-            s = forest.scores(features(x)) if forest.trees else np.zeros(len(x))
-            failed = base_failed(x[:, 0], x[:, 4])
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(s), pa.array(failed), pa.array(~failed & (s <= forest.threshold))], [*batch.schema.names, "score", "base_failed", "kept"])
+            x, s, failed, kept = verdicts(forest, batch.column(1))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x[:, k]) for k in range(len(STATS))), pa.array(s), pa.array(failed), pa.array(kept)], ["doc_id", *STATS, "score", "base_failed", "kept"])
 
-    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in stats.schema)
-    return stats.mapInArrow(run, f"{fields}, score double, base_failed boolean, kept boolean")
+    schema = f"doc_id {docs.schema[id_col].dataType.simpleString()}, " + ", ".join(f"{s} long" for s in STATS)
+    return docs.select(id_col, text_col).mapInArrow(run, f"{schema}, score double, base_failed boolean, kept boolean")
 
 
 def kept_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
-    """``docs`` without the rows that the rules or the forest reject; the verdict is the row's own, whatever rows share its id."""
-    judged = judge(docs.select(F.xxhash64(id_col, text_col).alias("doc_id"), F.col(id_col).alias("id"), F.col(text_col).alias("text")), labels, "doc_id", "text", **settings)
-    going = judged.where("not kept").select("doc_id").distinct()
-    return docs.join(going, F.xxhash64(id_col, text_col) == going["doc_id"], "left_anti")
+    """``docs`` without the rows that the rules or the forest reject, in one pass without a shuffle."""
+    forest, at = fitted(docs, labels, id_col, text_col, **settings), docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(verdicts(forest, batch.column(at))[3]))
+
+    return docs.mapInArrow(run, docs.schema)
