@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..schema import BOOL, DOUBLE, FIELD, STRING, field
+
 SYSLOG_TIME = r"[A-Z][a-z]{2} [ 0-9]\d \d\d:\d\d:\d\d"
 #: Parts of a syslog template: what they match, by name.
 SYSLOG_PARTS = {
@@ -19,6 +21,9 @@ SYSLOG_PARTS = {
 PRINTF = {"s": (r"[\s\S]*?", False), "d": (r"-?\d+", True), "i": (r"-?\d+", True), "u": (r"\d+", True), "x": (r"[0-9a-fA-F]+", False), "f": (r"-?\d+(?:\.\d+)?", True), "g": (r"-?\d+(?:\.\d+)?(?:e[+-]?\d+)?", True), "c": (r"[\s\S]", False)}
 #: Web-server variables that hold numbers; all others are strings.
 NUMBERS = frozenset({"msec", "status", "body_bytes_sent", "bytes_sent", "request_time", "request_length", "connection", "connection_requests", "upstream_response_time"})
+#: Formats and units of web-server variables.
+REPRESENTATIONS = {"remote_addr": "ipv4", "body_bytes_sent": "B", "bytes_sent": "B", "request_length": "B"}
+FIELDS = T.ArrayType(FIELD)
 
 
 def extract(text: Column, pattern: str, group: int) -> Column:
@@ -113,11 +118,11 @@ def access_format(log_format: str) -> tuple[str, list[str]]:
 
 
 def access_log(text: Column, log_format: str) -> Column:
-    """struct of a format's variables (numbers as doubles, ``-`` as null); null where the line doesn't match."""
+    """struct of a format's variables (numbers as doubles, null where they aren't numbers); null where the line doesn't match."""
     pattern, names = access_format(log_format)
     cells = []
     for i, name in enumerate(names):
-        cell = F.nullif(F.regexp_extract(text, pattern, i + 1), F.lit("-"))
+        cell = F.regexp_extract(text, pattern, i + 1)
         cells.append((cell.try_cast("double") if name in NUMBERS else cell).alias(name))
     return F.when(text.rlike(pattern), F.struct(*cells))
 
@@ -127,6 +132,38 @@ def local_time_ns(text: Column) -> Column:
     return F.unix_micros(F.try_to_timestamp(text, F.lit("dd/MMM/yyyy:HH:mm:ss Z"))) * 1000
 
 
+def access_fields(text: Column, log_format: str, keep_time: bool = True) -> Column:
+    """The variables as an array of fields, with units and formats; the local time becomes the field ``time`` in nanoseconds, or is left to the header."""
+    _, names = access_format(log_format)
+    decoded = access_log(text, log_format)
+    out = []
+    for name in names:
+        if name == "time_local":
+            if keep_time:
+                out.append(field("time", local_time_ns(decoded[name]), DOUBLE))
+        else:
+            out.append(field(name, decoded[name], DOUBLE if name in NUMBERS else STRING, REPRESENTATIONS.get(name)))
+    return F.when(decoded.isNotNull(), F.array(*out))
+
+
+def logfmt_fields(text: Column) -> Column:
+    """The pairs as an array of fields: strings, and flags as booleans."""
+    value, flag = field("", F.lit(None).cast("string")), field("", F.lit(True), BOOL)
+    return F.transform(logfmt(text), lambda p: F.when(p["flag"], flag.withField("name", p["name"])).otherwise(value.withField("name", p["name"]).withField("v_string", p["value"])))
+
+
+def syslog_messages(lines: DataFrame, column: str, year: int, *, logger: str, sub_decoders: Mapping[str, Column] | None = None, keep_payload: bool = True, template: str | None = None) -> DataFrame:
+    """Message columns from syslog lines; ``sub_decoders``: arrays of fields by program, over the column ``payload``. Lines that don't match have a null timestamp."""
+    head = syslog(F.col(column), year, template) if template else syslog(F.col(column), year)
+    rows = lines.withColumn("__s", head).withColumn("payload", F.col("__s")["msg"])
+    program = field("programname", F.col("__s")["programname"])
+    extra = dispatch(F.col("__s")["programname"], sub_decoders or {}, F.array().cast(FIELDS))
+    return rows.select(
+        *lines.columns, F.col("__s")["timestamp_ns"].alias("timestamp_ns"), F.lit(None).cast("string").alias("type"), F.lit(logger).alias("logger"), F.lit(7).alias("severity"),
+        (F.col("payload") if keep_payload else F.lit(None).cast("string")).alias("payload"), F.col("__s")["pid"].alias("pid"), F.col("__s")["hostname"].alias("hostname"),
+        F.concat(F.coalesce(extra, F.array().cast(FIELDS)), F.array(program)).alias("fields"))
+
+
 def dispatch(program: Column, decoders: Mapping[str, Column], otherwise: Column | None = None) -> Column:
     """The decoder of a program's name: sub-decoders by name, all of one type."""
     out = otherwise if otherwise is not None else F.lit(None)

@@ -24,6 +24,9 @@ HEADERS = {"Type": "type", "Logger": "logger", "Hostname": "hostname", "EnvVersi
 _TOKEN = re.compile(r"""\s*(?:(?P<op>&&|\|\||==|!=|<=|>=|=~|!~|<|>|!|\(|\))|(?P<string>'(?:[^'\\]|\\.)*'|"(?:[^"\\]|\\.)*")|(?P<regex>/(?:[^/\\]|\\.)+/)|(?P<number>-?\d+(?:\.\d+)?(?:[eE][+-]?\d+)?)|(?P<name>Fields\[[^\]]+\]|\w+))""")
 
 
+_OPPOSITE = {"==": "!=", "!=": "==", "<": ">=", ">=": "<", ">": "<=", "<=": ">", "=~": "!~", "!~": "=~"}
+
+
 class MatcherError(ValueError):
     """The expression doesn't parse; an operator with it is refused."""
 
@@ -39,6 +42,10 @@ def tokens(text: str) -> list[tuple[str, str]]:
     return out
 
 
+#: An expression and its opposite. Neither contains NOT, so an absent value (null) counts as false in both and plain comparisons reach the scan.
+Pair = tuple[Column, Column]
+
+
 class _Parser:
     def __init__(self, text: str, fields: Callable[[str], Column]):
         self.todo, self.at, self.fields = tokens(text), 0, fields
@@ -53,30 +60,33 @@ class _Parser:
             return value
         return None
 
-    def chain(self, sign: str, part: Callable[[], Column], join: Callable[[Column, Column], Column]) -> Column:
-        left = part()
-        while self.take(sign):
-            left = join(left, part())
-        return left
-
-    def either(self) -> Column:
-        return self.chain("||", self.both, lambda a, b: a | b)
-
-    def both(self) -> Column:
-        return self.chain("&&", self.unary, lambda a, b: a & b)
-
-    def unary(self) -> Column:
+    def either(self) -> Pair:
+        yes, no = self.both()
+        while self.take("||"):
+            y, n = self.both()
+            yes, no = yes | y, no & n
+        return yes, no
+
+    def both(self) -> Pair:
+        yes, no = self.unary()
+        while self.take("&&"):
+            y, n = self.unary()
+            yes, no = yes & y, no | n
+        return yes, no
+
+    def unary(self) -> Pair:
         if self.take("!"):
-            return ~self.unary()
+            yes, no = self.unary()
+            return no, yes
         if self.take("("):
             inner = self.either()
             if not self.take(")"):
                 raise MatcherError("a bracket is not closed")
             return inner
         if self.take("TRUE"):
-            return F.lit(True)
+            return F.lit(True), F.lit(False)
         if self.take("FALSE"):
-            return F.lit(False)
+            return F.lit(False), F.lit(True)
         return self.test()
 
     def name(self) -> Column:
@@ -90,31 +100,34 @@ class _Parser:
             raise MatcherError(f"unknown name {value}")
         return F.col(HEADERS[value])
 
-    def test(self) -> Column:
-        left, op = self.name(), self.take("==", "!=", "<", "<=", ">", ">=", "=~", "!~")
+    def test(self) -> Pair:
+        left, op = self.name(), self.take(*_OPPOSITE)
         kind, value = self.peek()
         if op is None or kind == "end":
             raise MatcherError("a comparison is expected")
         self.at += 1
+        if value == "NIL" and kind == "name":
+            if op not in ("==", "!="):
+                raise MatcherError("NIL compares by == and != only")
+            absent, present = left.isNull(), left.isNotNull()
+            return (absent, present) if op == "==" else (present, absent)
         if op in ("=~", "!~"):
             if kind not in ("string", "regex"):
                 raise MatcherError("a pattern is expected")
             hit = left.cast("string").rlike(value[1:-1] if kind == "regex" else to_regex(_unquote(value)))
-            return F.coalesce(hit if op == "=~" else ~hit, F.lit(False))
-        if value == "NIL":
-            if op not in ("==", "!="):
-                raise MatcherError("NIL compares by == and != only")
-            return left.isNull() if op == "==" else left.isNotNull()
-        if kind == "string":
-            right: Column = F.lit(_unquote(value))
-        elif kind == "number":
-            right = F.lit(int(value) if re.fullmatch(r"-?\d+", value) else float(value))
-        elif value in ("TRUE", "FALSE"):
-            right = F.lit(value == "TRUE")
+            compare = lambda o: hit if o == "=~" else ~hit
         else:
-            raise MatcherError(f"a value is expected, not {value!r}")
-        hit = {"==": left == right, "!=": left != right, "<": left < right, "<=": left <= right, ">": left > right, ">=": left >= right}[op]
-        return F.coalesce(hit, F.lit(False))
+            if kind == "string":
+                right: Column = F.lit(_unquote(value))
+            elif kind == "number":
+                right = F.lit(int(value) if re.fullmatch(r"-?\d+", value) else float(value))
+            elif value in ("TRUE", "FALSE"):
+                right = F.lit(value == "TRUE")
+            else:
+                raise MatcherError(f"a value is expected, not {value!r}")
+            tests = {"==": left == right, "!=": left != right, "<": left < right, "<=": left <= right, ">": left > right, ">=": left >= right}
+            compare = tests.__getitem__
+        return compare(op), left.isNull() | compare(_OPPOSITE[op])
 
 
 def _unquote(text: str) -> str:
@@ -125,7 +138,7 @@ def compile_matcher(text: str, promoted: Mapping[str, str] | None = None, map_co
     """The Column of an expression. ``promoted``: columns of fields by name; others are looked up in ``map_column``."""
     known = promoted or {}
     parser = _Parser(text, lambda name: F.col(known[name]) if name in known else F.col(map_column)[name])
-    out = parser.either()
+    out = parser.either()[0]
     if parser.peek()[0] != "end":
         raise MatcherError(f"unexpected {parser.peek()[1]!r}")
     return out

@@ -38,6 +38,8 @@ def using_code(plugins: DataFrame, changed: DataFrame) -> DataFrame:
 
 
 def text_lines(checkpoints: DataFrame) -> DataFrame:
-    """Lines of the checkpoint file: strings quoted and escaped, numbers with up to 17 digits. checkpoints: key, value, number."""
-    value = F.coalesce(F.when(F.col("number").isNotNull(), F.format_string("%.17g", F.col("number"))), F.concat(F.lit('"'), escape_string(F.col("value")), F.lit('"')))
+    """Lines of the checkpoint file: strings quoted and escaped, whole numbers plain, others in the shortest form that reads back as the same number. checkpoints: key, value, number."""
+    n = F.col("number")
+    whole = (n == F.floor(n)) & (F.abs(n) < 2**53)
+    value = F.coalesce(F.when(whole, n.cast("long").cast("string")).when(n.isNotNull(), n.cast("string")), F.concat(F.lit('"'), escape_string(F.col("value")), F.lit('"')))
     return checkpoints.select(F.concat(F.lit('_G["'), escape_string(F.col("key")), F.lit('"] = '), value).alias("value"))

@@ -8,6 +8,7 @@ from dataclasses import dataclass, field, fields, replace
 
 KINDS = ("input", "analysis", "output")
 MIB = 1 << 20
+READ_QUEUES = ("both", "input", "analysis")
 
 
 class ConfigError(ValueError):
@@ -26,6 +27,7 @@ class OperatorDefaults:
     process_message_inject_limit: int = 0
     timer_event_inject_limit: int = 10
     remove_checkpoints_on_terminate: bool = False
+    read_queue: str = "both"
 
 
 @dataclass(frozen=True)
@@ -38,7 +40,6 @@ class OperatorSpec(OperatorDefaults):
     message_matcher: str | None = None
     thread: int | None = None
     async_buffer_size: int = 0
-    read_queue: str = "both"
     user: Mapping[str, object] = field(default_factory=dict)
 
     def read_config(self, key: str) -> object:
@@ -122,6 +123,9 @@ def _defaults(base: OperatorDefaults, given: object, key: str) -> OperatorDefaul
         if isinstance(getattr(base, name), bool):
             if not isinstance(value, bool):
                 raise ConfigError(f"{key}.{name} must be a boolean")
+        elif name == "read_queue":
+            if value not in READ_QUEUES:
+                raise ConfigError(f"{key}.read_queue must be both, input or analysis")
         else:
             _whole(value, f"{key}.{name}")
     return replace(base, **given)
@@ -147,7 +151,7 @@ def operator(config: EngineConfig, kind: str, cfg_file: str, given: Mapping[str,
         if key in base and isinstance(base[key], bool):
             if not isinstance(value, bool):
                 raise ConfigError(f"{key} must be a boolean")
-        elif key in base or key in ("async_buffer_size", "thread"):
+        elif key in base and key != "read_queue" or key in ("async_buffer_size", "thread"):
             _whole(value, key)
     if kind != "input":
         if not isinstance(known.get("message_matcher"), str):
@@ -156,7 +160,7 @@ def operator(config: EngineConfig, kind: str, cfg_file: str, given: Mapping[str,
             compile_matcher(known["message_matcher"])
         except MatcherError as e:
             raise ConfigError(f"message_matcher: {e}") from e
-    if known.get("read_queue", "both") not in ("both", "input", "analysis"):
+    if known.get("read_queue", "both") not in READ_QUEUES:
         raise ConfigError("read_queue must be both, input or analysis")
     spec = OperatorSpec(**base | known, kind=kind, name=f"{kind}.{stem}", user=user)
     if spec.output_limit > config.max_message_size:

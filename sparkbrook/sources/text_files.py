@@ -14,7 +14,7 @@ def lines_with_offsets(spark: SparkSession, path: str, *, delimiter: str = "\n")
 
     For files whose lines must be resumed at; each file is one task's work. Lines alone are better read with ``spark.read.text``, which splits files.
     """
-    whole = spark.read.option("wholetext", True).text(path).select(F.input_file_name().alias("path"), "value")
+    whole = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), "value")
     parts = F.split("value", delimiter)
     size = F.octet_length(F.lit(delimiter))
     zero = F.struct(F.lit(0).cast("long").alias("next"), F.array().cast("array<struct<offset:bigint,value:string>>").alias("out"))
@@ -30,5 +30,5 @@ def timer_log(spark: SparkSession, path: str) -> DataFrame:
 
 def multiline(spark: SparkSession, path: str, delimiter: str) -> DataFrame:
     """(path, record) of files whose records begin with a line that matches ``delimiter``."""
-    whole = spark.read.option("wholetext", True).text(path)
+    whole = spark.read.text(path, wholetext=True)
     return whole.select(F.input_file_name().alias("path"), F.explode(records(F.col("value"), delimiter)).alias("record"))
