@@ -17,8 +17,10 @@ from __future__ import annotations
 
 import json
 import re
+import unicodedata
 from bisect import bisect_right
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import cache, cached_property
 from itertools import accumulate
 
 import numpy as np
@@ -45,6 +47,25 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+@cache
+def newer() -> Callable[[str], object]:
+    """Finds letters and numbers that the regex module knows but Python's tables don't: whether the tokenizers library knows them is for it to say."""
+    every = "".join(chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000)
+    new = [c for c in regex.findall(r"[\p{L}\p{N}]", every) if unicodedata.category(c) == "Cn"]
+    return regex.compile("[" + "".join(f"{regex.escape(g[0])}-{regex.escape(g[-1])}" for g in runs(new)) + "]" if new else "(?!)").search
+
+
+def runs(chars: list[str]) -> list[str]:
+    """Stretches of neighbouring code points."""
+    out: list[str] = []
+    for c in chars:
+        if out and ord(c) == ord(out[-1][-1]) + 1:
+            out[-1] += c
+        else:
+            out.append(c)
+    return out
+
+
 class PrefixTable:
     """Counts at every prefix, for one vocabulary file with a byte-level BPE model."""
 
@@ -74,6 +95,7 @@ class PrefixTable:
         self.special = [t["content"] for t in spec["added_tokens"]]
         self.cut_special = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
         self.split, self.split_latin = regex.compile(SPLIT).findall, re.compile(SPLIT_LATIN).findall
+        self.path = path
         self.pairs: dict[int, bool] = {}
         self.fixed: dict[str, bytes] = {}
         self.totals: dict[str, int] = {}
@@ -151,6 +173,12 @@ class PrefixTable:
             return counts[1:]
         return [counts[end] for end in accumulate(len(c.encode()) for c in word)]
 
+    @cached_property
+    def library(self):
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
     @staticmethod
     def _deltas(counts: list[int]) -> bytes:
         return np.diff(np.array([0, *counts], np.int64)).astype(np.int8).tobytes()
@@ -174,6 +202,8 @@ class PrefixTable:
         try:
             text.encode("latin-1")
         except UnicodeEncodeError:
+            if newer()(text):
+                return [text[a:b] for _, (a, b) in self.library.pre_tokenizer.pre_tokenize_str(text)]
             return self.split(text)
         return self.split_latin(text)
 
