@@ -117,14 +117,31 @@ def access_format(log_format: str) -> tuple[str, list[str]]:
     return "".join(out) + re.escape(log_format[at:]) + "$", names
 
 
+def access_parts(text: Column, log_format: str) -> Column:
+    """Array of a format's variables from one match of the line; null where the line doesn't match or has a control letter that marks the cuts."""
+    pattern, names = access_format(log_format)
+    marked = F.regexp_replace(text, pattern, "\x01" + "\x01".join(f"${i + 1}" for i in range(len(names))))
+    parts = F.split(marked, "\x01")
+    return F.when(marked.startswith("\x01") & ~text.contains("\x01") & (F.size(parts) == len(names) + 1), parts)
+
+
+def _access_struct(parts: Column, names: Sequence[str]) -> Column:
+    cell = lambda i, n: F.get(parts, F.lit(i + 1)).try_cast("double") if n in NUMBERS else F.get(parts, F.lit(i + 1))
+    return F.struct(*[cell(i, n).alias(n) for i, n in enumerate(names)])
+
+
 def access_log(text: Column, log_format: str) -> Column:
     """struct of a format's variables (numbers as doubles, null where they aren't numbers); null where the line doesn't match."""
-    pattern, names = access_format(log_format)
-    cells = []
-    for i, name in enumerate(names):
-        cell = F.regexp_extract(text, pattern, i + 1)
-        cells.append((cell.try_cast("double") if name in NUMBERS else cell).alias(name))
-    return F.when(text.rlike(pattern), F.struct(*cells))
+    parts = access_parts(text, log_format)
+    return F.when(parts.isNotNull(), _access_struct(parts, access_format(log_format)[1]))
+
+
+def decode_access(lines: DataFrame, column: str, log_format: str) -> DataFrame:
+    """The lines that match, with the format's variables as columns. Each line is matched once: a generator keeps the optimizer from repeating the match for every column."""
+    _, names = access_format(log_format)
+    once = F.filter(F.array(access_parts(F.col(column), log_format)), lambda p: p.isNotNull())
+    cut = lines.select("*", F.explode(once).alias("__parts"))
+    return cut.select(*lines.columns, _access_struct(F.col("__parts"), names).alias("__d")).select(*lines.columns, "__d.*")
 
 
 def local_time_ns(text: Column) -> Column:

@@ -585,7 +585,7 @@ def nginx_lines(e: DataFrame) -> DataFrame:
 @query("SELECT event_id AS pos, '10.0.0.' || user_id AS remote_addr, epoch_us(ts)::DOUBLE AS msec, 'GET /' || event_type || ' HTTP/1.1' AS request, (user_id % 5 * 100 + 100)::DOUBLE AS status, event_id::DOUBLE AS body_bytes_sent, '-' AS http_referer, 'agent/1.0 (x)' AS http_user_agent, '-' AS http_x_forwarded_for FROM events")
 def decode_nginx(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = nginx_lines(read(spark, sf_dir, "events"))
-    return lines.select(F.col("event_id").alias("pos"), decoders.access_log(F.col("line"), NGINX).alias("d")).select("pos", "d.*")
+    return decoders.decode_access(lines.select(F.col("event_id").alias("pos"), "line"), "line", NGINX).drop("line")
 
 
 @query("SELECT event_id AS pos, CASE event_type WHEN 'error' THEN 'E' || user_id WHEN 'view' THEN 'V' || user_id ELSE 'other' END AS decoded FROM events")

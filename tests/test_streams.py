@@ -35,6 +35,15 @@ def test_codec_round_trip():
         decode(b"\x0a\xff\x01")
 
 
+def test_columns_are_framed_as_messages_are(spark):
+    rows = [(i, f"t{i % 3}", None if i == 4 else "x" * (i * 40), i / 2) for i in range(60)]
+    df = spark.createDataFrame(rows, "timestamp_ns long, type string, path string, status double")
+    got = [decode(next(frames(bytes(r.frame)))[2]) for r in sinks.framed_columns(df, {"path": (0, None), "status": (3, "B")}).collect()]
+    for m, (ns, kind, path, status) in zip(got, rows, strict=True):
+        assert (m["timestamp_ns"], m["type"]) == (ns, kind)
+        assert [(f["name"], f["representation"], f["v_string"], f["v_double"]) for f in m["fields"]] == [("path", None, path, None)] * (path is not None) + [("status", "B", None, status)]
+
+
 def test_frames_with_damage():
     r = random.Random(3)
     payloads = [bytes(r.randrange(256) for _ in range(n)) for n in (0, 1, 127, 128, 300, 16384)]
