@@ -69,7 +69,7 @@ def read_warc(files: DataFrame, path_col: str = "path", content_col: str = "cont
 
 def manifest(archive: DataFrame) -> DataFrame:
     """(id, file, slot, offset, length, sha256) of every record; ``archive``: (id, record)."""
-    slim = archive.select("id", F.floor(F.col("id") / FILE_RECORDS).alias("file"), F.pmod(F.col("id"), F.lit(FILE_RECORDS)).alias("slot"),
+    slim = archive.select("id", F.call_function("div", F.col("id") - F.pmod(F.col("id"), F.lit(FILE_RECORDS)), F.lit(FILE_RECORDS).cast("long")).alias("file"), F.pmod(F.col("id"), F.lit(FILE_RECORDS)).alias("slot"),
                           F.octet_length("record").cast("long").alias("length"), F.sha2("record", 256).alias("sha256"))
     before = Window.partitionBy("file").orderBy("slot", "sha256").rowsBetween(Window.unboundedPreceding, -1)
     return slim.withColumn("offset", F.coalesce(F.sum("length").over(before), F.lit(0)))
@@ -89,14 +89,19 @@ def levels(spans: tuple[int, int], fanout: int = FANOUT) -> tuple[int, int]:
     return inner, outer
 
 
+def up_one(place: str, fanout: int) -> Column:
+    """Floor of place / fanout, exact."""
+    return F.call_function("div", F.col(place) - F.pmod(F.col(place), F.lit(fanout)), F.lit(fanout).cast("long"))
+
+
 def trees(leaves: DataFrame, spans: tuple[int, int], fanout: int = FANOUT) -> list[DataFrame]:
     """Nodes (place, hash) level by level, leaves first and the root last. A place is (file, slot // fanout ** level), above files (-, file // fanout ** level)."""
     inner, outer = levels(spans, fanout)
     now = written(leaves.groupBy("file", "slot").agg(F.concat_ws(",", F.sort_array(F.collect_list("sha256"))).alias("hash")), "tree")
     out = [now]
     for level in range(inner + outer):
-        up = now.withColumns({"child": F.concat_ws(":", "file", "slot"), "file": F.col("file") if level < inner else (F.floor(F.col("file") / fanout) if level < inner + outer - 1 else F.lit(0).cast("long")),
-                              "slot": F.floor(F.col("slot") / fanout)})
+        up = now.withColumns({"child": F.concat_ws(":", "file", "slot"), "file": F.col("file") if level < inner else (up_one("file", fanout) if level < inner + outer - 1 else F.lit(0).cast("long")),
+                              "slot": up_one("slot", fanout)})
         now = written(up.groupBy("file", "slot").agg(F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("child", "hash"))), lambda x: F.concat(x["child"], F.lit("="), x["hash"])), ","), 256).alias("hash")), "tree")
         out.append(now)
     return out
@@ -109,7 +114,7 @@ def differing_leaves(ours: list[DataFrame], theirs: list[DataFrame], spans: tupl
     def compared(level: int, within: DataFrame | None) -> DataFrame:
         a, b = ours[level], theirs[level]
         if within is not None:
-            place = {"up_file": F.col("file") if level < inner else (F.floor(F.col("file") / fanout) if level < inner + outer - 1 else F.lit(0).cast("long")), "up_slot": F.floor(F.col("slot") / fanout)}
+            place = {"up_file": F.col("file") if level < inner else (up_one("file", fanout) if level < inner + outer - 1 else F.lit(0).cast("long")), "up_slot": up_one("slot", fanout)}
             up = within.select(F.col("file").alias("up_file"), F.col("slot").alias("up_slot"))
             a, b = (x.withColumns(place).join(up, ["up_file", "up_slot"], "left_semi").drop("up_file", "up_slot") for x in (a, b))
         return a.join(b.withColumnRenamed("hash", "other"), ["file", "slot"], "full").where("not (hash <=> other)").select("file", "slot")

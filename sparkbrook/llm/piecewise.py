@@ -8,7 +8,7 @@ Likeness. Letters are compared at block sizes that both fingerprints have: 1 - (
 what can be compared; 0 if there is none, or if the two have no run of four letters in common (shorter ones: none at all).
 
 Next document. Documents stand in descending id; ranges of ids are dealt to tasks with one guest: the first document after
-the range. Only the heads of ranges (65,536 at most) are broadcast; text moves once and no task holds more than its range.
+the range. Only the heads of ranges (66,562 at most) are broadcast; text moves once and no task holds more than its range.
 
 Defined cases. Null text: as empty; the fingerprint of the empty text is ``4::``. Equal texts have equal fingerprints and
 likeness 1. Null ids come last. Equal ids stand in order of text. One document alone is its own next. Empty table: empty
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
 WINDOW, LEAST, CHUNKS, RUN = 7, 4, 64, 4
 #: Documents to a range of ids, about, and ranges at most.
-RANGE_ROWS, RANGES = 1_000, 65_536
+RANGE_ROWS, RANGES, CELLS = 1_000, 65_536, 1_024
 
 
 def rolling(data: bytes) -> np.ndarray:
@@ -108,14 +108,19 @@ def edited(text: str, after: str) -> str:
 def with_ranges(docs: DataFrame) -> DataFrame:
     """(doc_id, text) dealt by range of id and sorted; ``guest`` rows are the first documents after their range."""
     low, high, n = docs.agg(F.min("doc_id"), F.max("doc_id"), F.count("*")).first()
-    parts = max(1, min(RANGES, n // RANGE_ROWS))
-    width = max(1, -(-((high or 0) - (low or 0) + 1) // parts))
-    rows = docs.withColumn("range", F.coalesce(F.floor((F.col("doc_id") - F.lit(low or 0)) / F.lit(width)), F.lit(-1)).cast("long"))
+    # Twice by equal widths: cells of the span of ids, then parts of each cell's own span, so that ids far out don't put all others in one range.
+    # In doubles, which can't overflow and don't break the order.
+    id_, width, rows_a_range = F.col("doc_id").cast("double"), max(1, -(-((high or 0) - (low or 0) + 1) // CELLS)), max(RANGE_ROWS, n // RANGES)
+    celled = docs.withColumn("cell", F.coalesce(F.floor((id_ - F.lit(float(low or 0))) / F.lit(float(width))), F.lit(-1)))
+    parts = F.floor(F.col("n") / rows_a_range) + 1
+    spans = celled.groupBy("cell").agg(F.min(id_).alias("least"), F.max(id_).alias("most"), F.count("*").alias("n"))
+    spans = F.broadcast(spans.select("cell", "least", ((F.col("most") - F.col("least") + 1) / parts).alias("part")))  # CELLS + 2 rows at most
+    rows = celled.join(spans, "cell").withColumn("range", F.col("cell") * (RANGES * 2) + F.coalesce(F.floor((id_ - F.col("least")) / F.col("part")), F.lit(0))).drop("cell", "least", "part")
     heads = rows.groupBy("range").agg(F.max("doc_id").alias("head"))
     every = Window.partitionBy(F.lit(0))
     # the range whose last document comes just before this head: the next one up, or for the topmost the lowest
     above = F.coalesce(F.lead("range").over(every.orderBy("range")), F.min("range").over(every))
-    heads = F.broadcast(heads.select("range", "head", above.alias("above")))  # RANGES + 1 rows at most
+    heads = F.broadcast(heads.select("range", "head", above.alias("above")))  # RANGES + CELLS + 2 rows at most
     met = rows.join(heads, "range")
     own = F.struct(F.col("range").alias("range"), F.lit(0).alias("guest"))
     visit = F.struct(F.col("above").alias("range"), F.lit(1).alias("guest"))

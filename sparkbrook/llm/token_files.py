@@ -8,7 +8,7 @@ delta encoding, the ids a dictionary while it is small and delta encoding beyond
 Encoding. Words repeat, and nothing in the tokenizer crosses ASCII white space: a worker remembers the ids of each
 chunk that the library has encoded and asks the library only for new ones.
 
-Order. Text is dealt once by ranges of id and sorted in each; files carry the number of their range. A document's start
+Order. Text is dealt once by ranges of id, which Spark takes from a sample of the ids, and sorted in each; files carry the number of their range. A document's start
 is the sum over the ranges before its own plus the sum within: no task sees more than one range.
 
 Defined cases. Null text: as empty, the end id alone. Null id: first. Repeated ids: in order of their texts. Empty table: empty
@@ -33,8 +33,6 @@ from .common import shared_folder
 KNOWN_CHUNKS, LONG = 800_000, 48
 STOP = re.compile(rb"(?<=[a-z0-9])([.,])(?=\s|$)")
 ROW_GROUP, PAGE = 8 << 20, 64 << 10
-#: Documents to a range of ids, about, and ranges at most.
-RANGE_ROWS, RANGES = 2_000, 65_536
 
 
 class Encoder:
@@ -81,14 +79,6 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
-def ranged(docs: DataFrame, id_col: str) -> DataFrame:
-    """``docs`` with ``__range``: a number that grows with the id (null: -1), found by arithmetic over [least, greatest]."""
-    low, high, n = docs.agg(F.min(id_col), F.max(id_col), F.count(id_col)).first()
-    parts = max(1, min(RANGES, n // RANGE_ROWS))
-    width = max(1, -(-(high - low + 1) // parts)) if n else 1
-    return docs.withColumn("__range", F.coalesce(F.floor((F.col(id_col) - F.lit(low or 0)) / F.lit(width)), F.lit(-1)).cast("long"))
-
-
 def write_tokens(docs: DataFrame, path: str, folder: str, id_col: str = "doc_id", text_col: str = "text", *, end_id: int | None = 2) -> None:
     """Encode every text and write the files to ``folder``."""
     last = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
@@ -103,9 +93,9 @@ def write_tokens(docs: DataFrame, path: str, folder: str, id_col: str = "doc_id"
                 ids = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)), pa.array(np.frombuffer(b"".join(parts), "<i4")))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes), ids, part.column(2)], ["doc_id", "n_tokens", "ids", "file_range"])
 
-    slim = ranged(docs.select(F.col(id_col).cast("long").alias("doc_id"), text_col), "doc_id")
-    sorted_ = slim.repartitionByRange("__range").sortWithinPartitions("__range", F.col("doc_id").asc_nulls_first(), text_col)
-    tokens = sorted_.mapInArrow(run, "doc_id long, n_tokens long, ids array<int>, file_range long")
+    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    sorted_ = slim.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    tokens = sorted_.withColumn("file_range", F.spark_partition_id().cast("long")).mapInArrow(run, "doc_id long, n_tokens long, ids array<int>, file_range long")
     tokens.write.options(**{
         "parquet.block.size": str(ROW_GROUP), "parquet.page.size": str(PAGE), "parquet.writer.version": "PARQUET_2_0", "compression": "zstd",
         "parquet.enable.dictionary#doc_id": "false", "parquet.enable.dictionary#n_tokens": "false", "parquet.dictionary.page.size": str(1 << 20),

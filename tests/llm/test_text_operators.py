@@ -66,7 +66,7 @@ def test_piecewise_query(spark):
 
 def test_piecewise_edges(spark, monkeypatch):
     monkeypatch.setattr(piecewise, "RANGE_ROWS", 3)
-    rows = [(i, f"text {i} " * i) for i in range(0, 4000, 371)] + [(5, None), (5, "b"), (5, "b"), (None, "last"), (None, "lost"), (2 * 10**12, "far")]
+    rows = [(i, f"text {i} " * i) for i in range(0, 4000, 371)] + [(5, None), (5, "b"), (5, "b"), (None, "last"), (None, "lost"), (2 * 10**12, "far"), (-(2**63), "low"), (2**63 - 1, "high")]
     df = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, range string")
     got = sorted((r.doc_id is None, r.doc_id or 0, r.edited_sha256) for r in piecewise.fingerprint_documents(df).collect())
     order = sorted(((i, t or "") for i, t in rows), key=lambda r: (r[0] is None, -(r[0] or 0), r[1]))
