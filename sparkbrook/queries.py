@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from .functions import decoders, scalars
 from .functions.matcher import compile_matcher
-from .operators import checkpoints, delivery, merge, queues, routing, telemetry, ticks, timers
+from .operators import checkpoints, delivery, merge, plugins, queues, routing, telemetry, ticks, timers
 from .operators.running import running
+from .plans.config import OperatorSpec
 from .schema import DOUBLE, EVENTS_SQL, events, field, micros, numbers, read, strings
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -243,6 +244,18 @@ def tick_inject_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ticks.emission_limit(emitted, 3, ["window_id"], ["first_pos"]).select("window_id", "user_id", "accepted")
 
 
+_PLUGIN = """, g AS (SELECT window_id, max(CASE WHEN fires THEN clk END) AS tick_clk, max(clk) AS last_clk, count(*) FILTER (type = 'error') AS n FROM w GROUP BY window_id),
+x AS (SELECT coalesce(tick_clk, last_clk) AS clk, (sum(n) OVER (ORDER BY window_id))::BIGINT AS total FROM g)
+SELECT clk, total::VARCHAR AS payload FROM x UNION ALL SELECT max(clk), max(total)::VARCHAR FROM x HAVING (SELECT max(pos) FROM w WHERE fires) = (SELECT max(pos) FROM w)"""
+
+
+@query(CLOCK.replace("m AS", "WITH RECURSIVE m AS", 1) + _PLUGIN)
+def plugin_counter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counting plugin in user code, with its shutdown call."""
+    spec = OperatorSpec(kind="analysis", name="analysis.counter", filename="counter.lua", message_matcher="Type == 'error'", ticker_interval=HOUR)
+    return plugins.run_plugin(events(spark, sf_dir), spec, plugins.Counter, compile_matcher(spec.message_matcher)).select("clk", "payload")
+
+
 # Order
 
 

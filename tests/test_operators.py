@@ -3,8 +3,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from sparkbrook.operators import delivery, merge, queues, routing, ticks, timers
+from sparkbrook.operators import delivery, merge, plugins, queues, routing, ticks, timers
 from sparkbrook.operators.running import running
+from sparkbrook.plans.config import OperatorSpec
 
 TIMER_LOG = "START foo 0,END foo 123,START foo 0,END foo 100,START foo 0,END foo 110,START foo 0,END foo 105,START bar 0,END bar 24,START widget 0,END widget 50,START widget 0,END widget 60,END widget 60,START widget 0,START widget 0"
 
@@ -99,3 +100,34 @@ def test_enrich_by_broadcast_or_shuffle(spark):
     for limit in (10, 0):
         got = routing.enrich(m, t, "ip", "addr", {"city": "city", "country": "country"}, broadcast_rows=limit)
         assert sorted((x.pos, x.ip_city, x.ip_country) for x in got.collect()) == [(1, "Milton", "US"), (2, None, None), (3, None, None)]
+
+
+class Picky(plugins.Plugin):
+    seen = 0
+
+    def process_message(self, message):
+        self.seen += 1
+        if message["v"] == 9:
+            return 1, "nine"
+        if message["v"] == 5:
+            return -1
+        if message["v"] == 7:
+            for k in range(3):
+                self.inject_payload("txt", f"p{k}", self.read_config("label"))
+        return 0
+
+    def timer_event(self, clk, shutdown):
+        self.inject_payload("txt", "shutdown" if shutdown else "tick", self.seen)
+
+
+def test_plugin_calls_limits_and_ends(spark):
+    data = [(k, i, (1000 + 10 * i) * 10**9, v) for k, vs in {"a": (1, 5, 7, 1), "b": (1, 9, 1), "c": (1, 1)}.items() for i, v in enumerate(vs)]
+    df = spark.createDataFrame(data, "k string, pos long, timestamp_ns long, v int")
+    spec = OperatorSpec(kind="analysis", name="analysis.p", filename="p.lua", message_matcher="TRUE", ticker_interval=20, process_message_inject_limit=2, user={"label": "x"})
+    got = {k: [] for k in "abc"}
+    for r in plugins.run_plugin(df, spec, Picky, F.lit(True), columns=["v"], key=["k"]).collect():
+        got[r.k].append((r.kind, r.clk, r.payload_name, r.payload))
+    assert got["a"] == [("emission", 1000, "tick", "1"), ("emission", 1020, "p0", "x"), ("emission", 1020, "p1", "x"), ("terminated", 1020, None, "inject_payload limit exceeded"), ("failures", 1020, None, "1")]
+    assert got["b"] == [("emission", 1000, "tick", "1"), ("terminated", 1010, None, "nine")]
+    assert got["c"] == [("emission", 1000, "tick", "1"), ("emission", 1010, "shutdown", "2")]
+    assert plugins.run_plugin(df.limit(0), spec, Picky, F.lit(True), columns=["v"]).count() == 0
