@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .running import running
@@ -16,12 +16,11 @@ def committed(results: DataFrame, by: list[str] | None = None, pos: str = "pos",
     waits for its acknowledgement, and RETRY; FAIL commits too: the message is given up. A message that no matcher took has a null code and commits.
     A failure while messages are held doesn't let them go: only SENT does."""
     keys = by or []
-    held = F.when(F.col(code) == BATCH, 1).when(F.col(code) == SENT, 0)
-    w = Window.partitionBy(*keys).orderBy(pos).rowsBetween(Window.unboundedPreceding, 0)
-    holding = F.coalesce(F.last(held, ignorenulls=True).over(w), F.lit(0)) == 1
+    turn = F.when(F.col(code) == BATCH, True).when(F.col(code) == SENT, False)
+    rows = running(results, F.when(turn.isNotNull(), F.struct(F.col(pos).alias("at"), turn.alias("on"))), "__held", pos=pos, by=keys, fold="max")
     blocked = F.coalesce(F.col(code).isin(BATCH, ASYNC, RETRY), F.lit(False))
-    rows = results.withColumn("commits", ~holding & ~blocked)
-    return running(rows, F.when(F.col("commits"), F.col(pos)), "cp", pos=pos, by=keys, fold="max") if keys else running(rows, F.when(F.col("commits"), F.col(pos)), "cp", pos=pos, fold="max")
+    rows = rows.withColumn("commits", ~F.coalesce(F.col("__held")["on"], F.lit(False)) & ~blocked).drop("__held")
+    return running(rows, F.when(F.col("commits"), F.col(pos)), "cp", pos=pos, by=keys, fold="max")
 
 
 def commit_latest(acks: DataFrame, by: list[str]) -> DataFrame:

@@ -2,40 +2,20 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import file_id, frame_length
-
-
-def _fold(df: DataFrame, by: list[str], order: str, cells: list[Column], zero: Column, step, names: list[str]) -> DataFrame:
-    """A fold along ``order`` in each group: one array a group, so groups must be bounded (a queue's rolls or checks, a plugin's results)."""
-    gathered = df.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("at"), *cells))).alias("rows"))
-    folded = F.aggregate("rows", zero, step)
-    return gathered.select(*by, F.inline(folded["out"])).select(*by, *names)
+from .running import running
 
 
 def rolled(messages: DataFrame, limit: int, *, size: Column, pos: str = "pos", by: list[str] | None = None) -> DataFrame:
     """(pos, file_id, offset) of each message in its queue: a file is left after the message that brings it to ``limit`` bytes.
 
-    The overshoot of a file is not carried over, so places can't be had by dividing a running sum; it is a fold along the queue of one number pair.
+    The overshoot of a file is not carried over, so places can't be had by dividing a running sum. A queue has one writer, and this is its
+    sorted pass: positions and sizes only, batch by batch, with two numbers of state.
     """
-    keys = by or ["queue"]
-    zero = F.struct(F.lit(0).cast("long").alias("id"), F.lit(0).cast("long").alias("off"), F.array().cast("array<struct<pos:bigint,file_id:bigint,offset:bigint>>").alias("out"))
-
-    def step(a, x):
-        end = a["off"] + x["size"]
-        full = end >= limit
-        out = F.array_append(a["out"], F.struct(x["at"].alias("pos"), a["id"].alias("file_id"), a["off"].alias("offset")))
-        return F.struct(F.when(full, a["id"] + 1).otherwise(a["id"]).alias("id"), F.when(full, F.lit(0)).otherwise(end).cast("long").alias("off"), out.alias("out"))
-
-    return _fold(messages.withColumn(pos, F.col(pos).cast("long")), keys, pos, [size.cast("long").alias("size")], zero, step, ["pos", "file_id", "offset"])
-
-
-def rolled_streaming(messages: DataFrame, limit: int, *, size: Column, pos: str = "pos", by: list[str] | None = None) -> DataFrame:
-    """The same places for queues that don't fit one array: a sorted pass over each queue's partition, batch by batch."""
-    import pyarrow as pa
-
     keys = by or ["queue"]
 
     def run(batches):
@@ -108,16 +88,12 @@ def backpressure(steps: DataFrame, lag: int, disk: int = 4) -> DataFrame:
 
     A roll turns it on when readers lag or the disk fills; a check turns it off only when readers have caught up and the disk has room.
     """
-    zero = F.struct(F.lit(False).alias("on"), F.array().cast("array<struct<step:bigint,throttled:boolean>>").alias("out"))
-
-    def step(a, x):
-        rise = a["on"] | over_lag(x["writer_id"], x["min_id"], lag) | over_disk(x["free"], disk)
-        calm = (x["writer_id"] == x["min_id"]) & (F.lit(True) if disk <= 0 else x["free"] > disk)
-        on = F.when(x["kind"] == "roll", rise).otherwise(a["on"] & ~calm)
-        return F.struct(on.alias("on"), F.array_append(a["out"], F.struct(x["at"].alias("step"), on.alias("throttled"))).alias("out"))
-
-    rows = steps.withColumn("step", F.col("step").cast("long"))
-    return _fold(rows, ["queue"], "step", [F.col(c) for c in ("kind", "writer_id", "min_id", "free")], zero, step, ["step", "throttled"])
+    rises = over_lag(F.col("writer_id"), F.col("min_id"), lag) | over_disk(F.col("free"), disk)
+    calm = (F.col("writer_id") == F.col("min_id")) & (F.lit(True) if disk <= 0 else F.col("free") > disk)
+    # what turns it last decides; all other steps leave it as it is
+    turn = F.when((F.col("kind") == "roll") & rises, True).when((F.col("kind") != "roll") & calm, False)
+    rows = running(steps, F.when(turn.isNotNull(), F.struct(F.col("step").alias("at"), turn.alias("on"))), "__turn", pos="step", by=["queue"], fold="max")
+    return rows.select("queue", F.col("step").cast("long").alias("step"), F.coalesce(F.col("__turn")["on"], F.lit(False)).alias("throttled"))
 
 
 def throttled_rate(delay_ms: int = 100) -> int:

@@ -1,12 +1,15 @@
 """Data-driven timers: a tick fires after the first message whose clock has reached the expiry, which then moves to that clock plus the interval.
 
 The clock is the latest timestamp so far, in seconds, and never goes back; the message that fires belongs to the window it closes; the
-last window is closed by shutdown. Each expiry depends on the firing before, so the recurrence is a fold, but only over the distinct
+last window is closed by shutdown. Each expiry depends on the firing before, so the recurrence is one pass, but only over the distinct
 seconds of the clock (their number grows with the time covered, not with the messages). The empty ticks before the first message are left out.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,11 +26,20 @@ def triggers(clocked_messages: DataFrame, interval: int, pos: str = "pos") -> Da
     """(clk, pos) of the messages after which a tick fires."""
     if interval <= 0:
         raise ValueError("a ticker interval is positive")
-    firsts = clocked_messages.groupBy("clk").agg(F.min(pos).alias("pos"))  # the first message of each second of the clock
-    zero = F.struct(F.lit(0).cast("long").alias("due"), F.array().cast("array<struct<clk:bigint,pos:bigint>>").alias("fired"))
-    step = lambda a, x: F.when(x["clk"] >= a["due"], F.struct((x["clk"] + interval).alias("due"), F.array_append(a["fired"], x).alias("fired"))).otherwise(a)
-    every = F.array_sort(F.collect_list(F.struct("clk", F.col("pos").cast("long").alias("pos"))))
-    return firsts.agg(F.aggregate(every, zero, step, lambda a: a["fired"]).alias("fired")).select(F.inline("fired"))
+    firsts = clocked_messages.groupBy("clk").agg(F.min(pos).alias(pos))  # the first message of each second of the clock
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        due = 0
+        for batch in batches:
+            fired = []
+            for i, clk in enumerate(batch.column(0).to_pylist()):
+                if clk >= due:
+                    fired.append(i)
+                    due = clk + interval
+            yield batch.take(pa.array(fired, pa.int32()))
+
+    seconds_seen = firsts.select(F.col("clk").cast("long").alias("clk"), F.col(pos).cast("long").alias("pos"))
+    return seconds_seen.repartition(1).sortWithinPartitions("clk").mapInArrow(run, "clk long, pos long")
 
 
 def windowed(messages: DataFrame, interval: int, ns: str = "timestamp_ns", pos: str = "pos") -> DataFrame:

@@ -391,12 +391,6 @@ def roll_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rolled(spark, sf_dir)
 
 
-@query(f"WITH RECURSIVE {ROLL_SQL} SELECT 'input' AS queue, pos, file_id, \"offset\" FROM roll")
-def roll_files_sorted_pass(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents").select(F.lit("input").alias("queue"), F.col("doc_id").alias("pos"), "text")
-    return queues.rolled_streaming(docs, ROLL, size=queues.framed_size(F.col("text")))
-
-
 @query(f"WITH RECURSIVE {ROLL_SQL} SELECT pos, file_id, \"offset\" FROM roll WHERE file_id > 2 OR (file_id = 2 AND \"offset\" >= 5000)")
 def resume_from_checkpoint(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = scalars.parse_position(F.lit("2:5000"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.decoders import records
+from ..operators.running import running
 from ..operators.timers import timer_lines
 
 
@@ -15,12 +16,9 @@ def lines_with_offsets(spark: SparkSession, path: str, *, delimiter: str = "\n")
     For files whose lines must be resumed at; each file is one task's work. Lines alone are better read with ``spark.read.text``, which splits files.
     """
     whole = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), "value")
-    parts = F.split("value", delimiter)
-    size = F.octet_length(F.lit(delimiter))
-    zero = F.struct(F.lit(0).cast("long").alias("next"), F.array().cast("array<struct<offset:bigint,value:string>>").alias("out"))
-    step = lambda a, x: F.struct((a["next"] + F.octet_length(x) + size).alias("next"), F.array_append(a["out"], F.struct(a["next"].alias("offset"), x.alias("value"))).alias("out"))
-    placed = whole.select("path", F.posexplode(F.aggregate(parts, zero, step)["out"]).alias("pos", "line")).select("path", F.col("pos").cast("long").alias("pos"), "line.offset", "line.value")
-    return placed.where("value <> ''")
+    cut = whole.select("path", F.posexplode(F.split("value", delimiter)).alias("pos", "value")).withColumn("pos", F.col("pos").cast("long"))
+    placed = running(cut, (F.octet_length("value") + F.octet_length(F.lit(delimiter))).cast("long"), "offset", by=["path"], before=True)
+    return placed.where("value <> ''").select("path", "pos", "offset", "value")
 
 
 def timer_log(spark: SparkSession, path: str) -> DataFrame:

@@ -65,8 +65,7 @@ def test_merge_against_two_readers(spark, seed):
 
 def test_roll_example(spark):
     df = spark.createDataFrame([("input", i, s) for i, s in enumerate((3, 3, 4, 10, 1, 1))], "queue string, pos long, size long")
-    for f in (queues.rolled, queues.rolled_streaming):
-        assert [(x.file_id, x.offset) for x in f(df, 6, size=F.col("size")).orderBy("pos").collect()] == [(0, 0), (0, 3), (1, 0), (1, 4), (2, 0), (2, 1)]
+    assert [(x.file_id, x.offset) for x in queues.rolled(df, 6, size=F.col("size")).orderBy("pos").collect()] == [(0, 0), (0, 3), (1, 0), (1, 4), (2, 0), (2, 1)]
 
 
 def test_backpressure_rises_holds_and_releases(spark):
