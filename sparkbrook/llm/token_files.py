@@ -52,21 +52,36 @@ class Encoder:
             data = STOP.sub(rb" \1", data.lower())
         return data.split()
 
+    def ask(self, chunks: list[bytes]) -> dict[bytes, bytes]:
+        """Ids of chunks from the library. Chunks in Latin-1, whose letters it maps one to one, go as one text with spaces between, and its offsets tell whose a token is."""
+        plain, others, ends, at = [], [], [], 0
+        for c in chunks:
+            text = c.decode()
+            if len(text) > 1000 or "<|" in text or max(text) > "\xff":
+                others.append(text)
+            else:
+                at += len(text) + 1
+                ends.append(at)
+                plain.append(c)
+        out = {t.encode(): np.array(e.ids, "<u4").tobytes() for t, e in zip(others, self.library.encode_batch(others, add_special_tokens=False), strict=True)}
+        if plain:
+            e = self.library.encode(b" ".join(plain).decode(), add_special_tokens=False)
+            ids, starts = np.array(e.ids, "<u4"), np.fromiter((a for a, _ in e.offsets), np.int64, len(e.ids))
+            cuts = [0, *(4 * np.searchsorted(starts, np.array(ends))).tolist()]
+            data = ids.tobytes()
+            out |= {c: data[x:y] for c, x, y in zip(plain, cuts[:-1], cuts[1:], strict=True)}
+        return out
+
     def texts(self, texts: list[str]) -> list[bytes]:
         chunks = [self.chunks(t) for t in texts]
-        new = list({c for x in chunks for c in x if c not in self.known})
-        ids = self.library.encode_batch([c.decode() for c in new], add_special_tokens=False)
-        found = {c: np.array(e.ids, "<u4").tobytes() for c, e in zip(new, ids, strict=True)}
+        found = self.ask(list(set().union(*chunks).difference(self.known)))
         if len(self.known) + len(found) > KNOWN_CHUNKS:
-            old, self.known = self.known, {c: i for c, i in found.items() if len(c) <= LONG}
-            found = old | found
-        else:
-            self.known |= found
-            found = self.known
-        out = [b"".join(map(found.__getitem__, x)) for x in chunks]
-        for c in new:
+            self.known = {c: self.known[c] for x in chunks for c in x if c in self.known}
+        self.known |= found
+        out = [b"".join(map(self.known.__getitem__, x)) for x in chunks]
+        for c in found:
             if len(c) > LONG:
-                self.known.pop(c, None)
+                del self.known[c]
         return out
 
 
