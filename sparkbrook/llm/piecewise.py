@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
 WINDOW, LEAST, CHUNKS, RUN = 7, 4, 64, 4
 #: Documents to a range of ids, about, and ranges at most.
-RANGE_ROWS, RANGES, CELLS = 1_000, 65_536, 1_024
+RANGE_ROWS, RANGES, CELLS = 250, 65_536, 1_024
 
 
 def rolling(data: bytes) -> np.ndarray:
