@@ -1,12 +1,14 @@
 """SentencePiece encoding with seeded merge-dropout, and decoding.
 
 Encoding. Byte-pair merging by an agenda: all adjacent pairs whose join is a piece wait in a heap by score, then from left to right; the best is
-merged, and its new neighbours enter. With dropout, each candidate that comes up is skipped if a keyed hash of (seed, variant, chunk, place, length)
-falls below the rate, so a text splits differently from place to place and the same in every run. What no piece covers becomes byte pieces, and so does
+merged, and its new neighbours enter. With dropout, each candidate that comes up is skipped if a keyed hash of (seed, document, place, merge) falls
+below the rate: every candidate at every place of every document is drawn for itself, and the same in every run. What no piece covers becomes byte pieces, and so does
 the letter U+2581, which stands for the space: every segmentation decodes to the very text.
 
 No piece of such a model has a space after another letter, and none has a line feed, so text is cut there into chunks that don't
-affect each other; where no piece holds a letter and a stop after it, text is cut between these too. A chunk's variant is drawn from ``VARIANTS`` (long chunks: two or one) by hash of document and place; a worker remembers segmentations by (variant, chunk).
+affect each other; where no piece holds a letter and a stop after it, text is cut between these too. What a worker remembers of a chunk is a tree: the segmentation
+without skips and the candidates that came up on the way; below it, by the first candidate skipped, what comes of the rest; and so on. An occurrence
+walks down as its own hashes fall, so remembering changes no result.
 
 At rate 0 the result is that of the sentencepiece library (but for texts with U+2581). Defined cases. Null text: as empty, no ids. Null id: its key is
 0. Very long texts: one pass; long chunks aren't remembered. Repeated rows: the same ids each. Empty table: empty result. Other columns aren't read.
@@ -22,30 +24,47 @@ from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-RATE, SEED, VARIANTS = 0.1, 5, 4
+RATE, SEED = 0.1, 5
 KNOWN_CHUNKS, LONG = 700_000, 48
-#: Longer chunks (with their space) are rare: up to MIDDLE they have two variants, beyond it one.
-SHORT, MIDDLE = 7, 12
 #: Cut before these where they follow a letter, if no piece of the model holds a letter followed by one of them.
 STOPS = ".,;:!?)\"'|"
 CHUNK = re.compile(r"\n| +[^ \n]*|[^ \n]+")
 CHUNK_AT_STOPS = re.compile(rf"\n| *[A-Za-zÀ-ÖØ-öø-ÿ]+(?=[{re.escape(STOPS)}])| +[^ \n]*|[^ \n]+")
 SPACE = "▁"
 MASK, NEVER = 2**64 - 1, float("inf")
+MIX_A, MIX_B = 0xD6E8FEB86659FD93, 0xA24BAED4963EE407
 
 
 def pack(*ids: int) -> bytes:
     return struct.pack(f"<{len(ids)}I", *ids)
 
 
+def merge_key(place: int, left: int, joined: int) -> int:
+    """A candidate within its chunk: where it starts, the length of its left piece and of both."""
+    return place << 16 | left << 8 | joined
+
+
+def skipped_at(base: int, merge: int, below: int) -> bool:
+    """Whether dropout skips ``merge`` in the chunk whose occurrence has the key ``base``."""
+    x = (base ^ merge) * MIX_A & MASK
+    return (x ^ x >> 32) * MIX_B & MASK < below
+
+
+def skips(bases: np.ndarray, merges: np.ndarray, below: int) -> np.ndarray:
+    """The same for arrays."""
+    x = (bases ^ merges) * np.uint64(MIX_A)
+    x ^= x >> np.uint64(32)
+    x *= np.uint64(MIX_B)
+    return x < np.uint64(below)
+
+
 class Pieces:
     """A BPE model with byte fallback, as the sentencepiece library stores it."""
 
-    def __init__(self, path: str, rate: float = RATE, seed: int = SEED, variants: int = VARIANTS):
+    def __init__(self, path: str, rate: float = RATE, seed: int = SEED):
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -68,39 +87,60 @@ class Pieces:
             raise ValueError("a piece crosses a space or a line")
         at_stops = not any(x.isalpha() and y in STOPS for p in self.ids for x, y in zip(p[:-1], p[1:], strict=True))
         self.chunks = (CHUNK_AT_STOPS if at_stops else CHUNK).findall
-        self.seed, self.variants = seed, max(1, variants) if rate > 0 else 1
-        self.below = round(rate * 2**64)
-        self.free = KNOWN_CHUNKS
-        self.known: list[dict[str, bytes]] = [{} for _ in range(self.variants)]
-
-    def key(self, chunk: str, variant: int) -> int:
-        """With place and length of a piece, the key of a candidate."""
-        return xxhash.xxh64_intdigest(chunk, self.seed * 1_000_003 + variant)
-
-    def segment(self, chunk: str, variant: int) -> list[int]:
-        """Ids of a chunk."""
-        if len(chunk) > LONG or SPACE in chunk:
-            return self.segment_long(chunk, variant)
+        self.seed, self.rate_below = seed, min(round(rate * 2**64), MASK)
+        self.forget()
+
+    def bases(self, n: int, key: int) -> np.ndarray:
+        """Keys of the chunks 0..n-1 of the document with ``key``."""
+        x = np.arange(n, dtype=np.uint64) + np.uint64(key * 0x9E3779B97F4A7C15 + self.seed * 0xD1342543DE82EF95 & MASK)
+        x ^= x >> np.uint64(30)
+        x *= np.uint64(0xBF58476D1CE4E5B9)
+        x ^= x >> np.uint64(27)
+        x *= np.uint64(0x94D049BB133111EB)
+        x ^= x >> np.uint64(31)
+        return x
+
+    def forget(self) -> None:
+        """Empty trees. Nodes are numbers into lists of bytes: a million small objects would keep Python's garbage collector busy."""
+        self.known: dict[str, int] = {}  # roots
+        self.below: dict[int, int] = {}  # node << 32 | first candidate skipped -> node
+        self.node_ids: list[bytes] = []
+        self.node_came: list[bytes] = []
+        self.node_skipped: list[bytes] = []
+
+    def grown(self, chunk: str, skipped: bytes = b"") -> int:
+        """A new node of a chunk's tree: ids where just ``skipped`` are skipped, and the candidates after the last of these."""
+        ids, came = self.segment(chunk, struct.unpack(f"<{len(skipped) // 4}I", skipped))
+        self.node_ids.append(pack(*ids))
+        self.node_came.append(pack(*came) if self.rate_below else b"")
+        self.node_skipped.append(skipped)
+        return len(self.node_ids) - 1
+
+    def segment(self, chunk: str, skipped: tuple[int, ...] = ()) -> tuple[list[int], list[int]]:
+        """Ids of a chunk where just ``skipped`` are skipped, and the candidates that came up after the last of these."""
         # The agenda of a short chunk is the list of its adjacent pairs' ranks; skipped and impossible ones wait for ever.
-        letters, rank, below = list(chunk.replace(" ", SPACE)), self.ranks.get, self.below
+        letters, rank = list(chunk.replace(" ", SPACE)), self.ranks.get
         places, agenda = list(range(len(letters))), [rank(x + y, NEVER) for x, y in zip(letters[:-1], letters[1:], strict=True)]
-        base = self.key(chunk, variant) if below else 0
+        came: list[int] = []
         while agenda:
             best = min(agenda)
             if best == NEVER:
                 break
             i = agenda.index(best)
             joined = letters[i] + letters[i + 1]
-            if below and ((base ^ (places[i] << 8 | len(joined))) * 0xD6E8FEB86659FD93 >> 7 & MASK) * 0xA24BAED4963EE407 & MASK < below:
+            merge = places[i] << 16 | len(letters[i]) << 8 | len(joined)  # as merge_key()
+            if merge in skipped:
                 agenda[i] = NEVER
+                came.clear()
                 continue
+            came.append(merge)
             letters[i] = joined
             del letters[i + 1], places[i + 1], agenda[i]
             if i:
                 agenda[i - 1] = rank(letters[i - 1] + joined, NEVER)
             if i < len(agenda):
                 agenda[i] = rank(joined + letters[i + 1], NEVER)
-        return self.ids_of(letters)
+        return self.ids_of(letters), came
 
     def ids_of(self, pieces: list[str | None]) -> list[int]:
         """Ids of pieces (None: none); what isn't a piece goes to bytes, and "" is the letter U+2581."""
@@ -114,11 +154,10 @@ class Pieces:
                     out += [self.bytes[x] for x in (piece or SPACE).encode()]
         return out
 
-    def segment_long(self, chunk: str, variant: int) -> list[int]:
-        """The same with a heap as agenda, for long chunks and those with U+2581."""
+    def segment_long(self, chunk: str, base: int) -> list[int]:
+        """Ids of a chunk whose occurrence has the key ``base``, with a heap as agenda: for long chunks and those with U+2581."""
         letters = [SPACE if c == " " else ("" if c == SPACE else c) for c in chunk]  # "" never joins: the letter itself goes to bytes
-        n, ranks, below = len(letters), self.ranks, self.below
-        base = self.key(chunk, variant) if below else 0
+        n, ranks, below = len(letters), self.ranks, self.rate_below
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         heap = []
         for i in range(n - 1):
@@ -132,7 +171,7 @@ class Pieces:
             # not if the pair has changed since; what was merged into its left neighbour is None and has no place after it
             if after[a] != b or letters[a] + letters[b] != joined:
                 continue
-            if below and ((base ^ (a << 8 | len(joined))) * 0xD6E8FEB86659FD93 >> 7 & MASK) * 0xA24BAED4963EE407 & MASK < below:
+            if below and skipped_at(base, merge_key(a, len(letters[a]), len(joined)), below):
                 continue
             letters[a], letters[b] = joined, None
             after[a] = c = after[b]
@@ -157,32 +196,44 @@ class Pieces:
         if not text:
             return b""
         chunks = self.chunks(" " + text)
-        if self.variants > 1:
-            x = (np.arange(len(chunks), dtype=np.uint64) + np.uint64(key * 0x9E3779B97F4A7C15 & MASK)) ^ np.uint64(self.seed)
-            x ^= x >> np.uint64(30)
-            x *= np.uint64(0xBF58476D1CE4E5B9)
-            x ^= x >> np.uint64(27)
-            x *= np.uint64(0x94D049BB133111EB)
-            x ^= x >> np.uint64(31)
-            sizes = np.fromiter(map(len, chunks), np.int64, len(chunks))
-            x %= np.where(sizes <= SHORT, self.variants, np.where(sizes <= MIDDLE, 2, 1)).astype(np.uint64)
-            variants = x.tolist()
-        else:
-            variants = [0] * len(chunks)
-        known, out = self.known, []
-        for chunk, v in zip(chunks, variants, strict=True):
-            ids = known[v].get(chunk)
-            if ids is None:
-                ids = pack(*self.segment(chunk, v))
-                if len(chunk) <= LONG:
-                    if self.free <= 0:
-                        for k in known:
-                            k.clear()
-                        self.free = KNOWN_CHUNKS
-                    self.free -= 1
-                    known[v][chunk] = ids
-            out.append(ids)
-        return b"".join(out)
+        if len(self.node_ids) >= KNOWN_CHUNKS:
+            self.forget()
+        bases, known, below, out = self.bases(len(chunks), key), self.known, self.below, self.node_ids
+        nodes, long = list(map(known.get, chunks)), {}
+        if None in nodes:
+            for k, node in enumerate(nodes):
+                if node is None:
+                    chunk = chunks[k]
+                    if len(chunk) > LONG or SPACE in chunk:
+                        nodes[k] = -1
+                        long[k] = pack(*self.segment_long(chunk, int(bases[k])))
+                    else:
+                        node = known.get(chunk)
+                        if node is None:
+                            node = known[chunk] = self.grown(chunk)
+                        nodes[k] = node
+        # Each round takes the chunks where a skip fell one step down their trees, to the first candidate skipped.
+        at = np.arange(len(chunks))
+        came = [self.node_came[node] if node >= 0 else b"" for node in nodes] if long else list(map(self.node_came.__getitem__, nodes))
+        while self.rate_below:
+            merges = np.frombuffer(b"".join(came), "<u4")
+            of = np.repeat(at, np.fromiter(map(len, came), np.int64, len(came)) // 4)
+            hit = np.flatnonzero(skips(bases[of], merges, self.rate_below))
+            if not len(hit):
+                break
+            at = of[hit]
+            first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
+            at, came = at[first], []
+            for k, merge in zip(at.tolist(), merges[hit[first]].tolist(), strict=True):
+                edge = nodes[k] << 32 | merge
+                node = below.get(edge)
+                if node is None:
+                    node = below[edge] = self.grown(chunks[k], self.node_skipped[nodes[k]] + pack(merge))
+                nodes[k] = node
+                came.append(self.node_came[node])
+        if long:
+            return b"".join([out[node] if node >= 0 else long[k] for k, node in enumerate(nodes)])
+        return b"".join(map(out.__getitem__, nodes))
 
     def decode(self, ids: bytes) -> str:
         """The text of ids: exactly the one that was encoded."""
@@ -198,9 +249,9 @@ def pieces(*settings) -> Pieces:
     return _models[settings]
 
 
-def _batches(docs: DataFrame, path: str, id_col: str, text_col: str, rate: float, seed: int, variants: int, decode: bool) -> DataFrame:
+def _batches(docs: DataFrame, path: str, id_col: str, text_col: str, rate: float, seed: int, decode: bool) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p = pieces(path, rate, seed, variants)
+        p = pieces(path, rate, seed)
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
@@ -219,14 +270,14 @@ def _batches(docs: DataFrame, path: str, id_col: str, text_col: str, rate: float
     return docs.select(id_col, text_col, F.xxhash64(id_col).alias("__key")).mapInArrow(run, f"doc_id {kind}, n_tokens long, {rest}")
 
 
-def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", *, rate: float = RATE, seed: int = SEED, variants: int = VARIANTS) -> DataFrame:
+def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", *, rate: float = RATE, seed: int = SEED) -> DataFrame:
     """(doc_id, n_tokens, ids) for each row."""
-    return _batches(docs, path, id_col, text_col, rate, seed, variants, False)
+    return _batches(docs, path, id_col, text_col, rate, seed, False)
 
 
-def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", *, rate: float = RATE, seed: int = SEED, variants: int = VARIANTS) -> DataFrame:
+def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", *, rate: float = RATE, seed: int = SEED) -> DataFrame:
     """(doc_id, n_tokens, ids_crc32, lossless) for each row: encoded, decoded and compared with the text."""
-    return _batches(docs, path, id_col, text_col, rate, seed, variants, True)
+    return _batches(docs, path, id_col, text_col, rate, seed, True)
 
 
 def decode_documents(tokens: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:

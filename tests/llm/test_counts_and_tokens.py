@@ -79,6 +79,41 @@ def test_dropout_varies_repeats_and_decodes(texts):
     assert a.encode(prose, 1) != a.encode(prose, 2)
 
 
+def plain_dropout(p, chunk, base):
+    """Merging with every candidate's own draw, without trees."""
+    pieces, gone = list(enumerate(chunk.replace(" ", subwords.SPACE))), set()
+    while True:
+        pairs = [(p.ranks[x + y], i, len(x), len(x + y)) for (i, x), (_, y) in zip(pieces[:-1], pieces[1:], strict=True) if x + y in p.ranks and (i, len(x), len(x + y)) not in gone]
+        if not pairs:
+            return p.ids_of([x for _, x in pieces])
+        _, i, left, both = min(pairs)
+        if subwords.skipped_at(base, subwords.merge_key(i, left, both), p.rate_below):
+            gone.add((i, left, both))
+            continue
+        k = next(k for k, (j, _) in enumerate(pieces) if j == i)
+        pieces[k : k + 2] = [(i, pieces[k][1] + pieces[k + 1][1])]
+
+
+def test_dropout_draws_every_candidate_of_every_occurrence():
+    p = subwords.Pieces(PIECE, 0.3)
+    for key in range(40):
+        text = "the international\n responsibilities http://example.org/understanding-everything日本語 international " + "thisandthat" * 6
+        found = p.chunks(" " + text)
+        expected = [i for c, b in zip(found, p.bases(len(found), key).tolist(), strict=True) for i in plain_dropout(p, c, b)]
+        assert np.frombuffer(p.encode(text, key), "<u4").tolist() == expected
+
+
+def test_long_chunks_have_many_segmentations():
+    p = subwords.Pieces(PIECE)
+    word = " internationalization"
+    for chunk, least in ((word, 20), (" https://example.org/a/very/long/path/without/any/space/index.html", 60), (" manager", 4)):
+        assert len({p.encode(chunk[1:], k) for k in range(200)}) >= least
+    # each skip at its rate: texts stay whole as often as their candidates allow
+    ids, came = p.segment(word)
+    whole = sum(p.encode(word[1:], k) == subwords.pack(*ids) for k in range(4000)) / 4000
+    assert whole >= 0.9 ** len(came) - 0.03
+
+
 def test_round_trip_query(spark):
     df = spark.createDataFrame([(1, "a b"), (1, "a b"), (None, None), (3, "x\n▁")], "doc_id long, text string")
     got = subwords.round_trip(df, PIECE).collect()
