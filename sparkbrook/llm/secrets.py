@@ -4,9 +4,10 @@ Known forms (kinds assign, access, hex) are regular expressions with a least len
 it covered isn't searched again for that kind. Kind ``entropy``: candidates are runs of token letters; a window of ``WINDOW``
 letters moves over each, its letter counts kept up to date by one addition and one removal a step, and so is the sum of
 count * log2(count) that gives Shannon's entropy. A window counts if its entropy passes the bound of its character class
-(hex digits; letters and digits; those and signs) and it mixes classes of letters as random strings do. Windows
-that touch make one span, spans that a known form covers aren't repeated, and the allow-list (UUIDs, addresses, paths, words
-joined by signs, placeholders) suppresses the rest.
+(hex digits; upper- or lower-case letters with digits; letters of both cases and digits; those and signs) and it mixes classes of letters as random
+strings do. Bounds lie below nearly all windows of random keys of their class. Windows that touch make one span, and a span grows to the
+whole tokens (between the signs + / - _ =) that it touches; spans that a known form covers aren't repeated. The allow-list suppresses runs
+(addresses, paths, words joined by signs), and UUIDs and tokens that hold a placeholder word in them.
 
 Positions are code points, ends exclusive. Defined cases. Null or empty text: no spans. Very long texts and candidates: one
 pass. Repeated rows: one row each out. Empty table: empty result. Other columns aren't read by ``scan`` and stay in ``redacted``.
@@ -27,15 +28,18 @@ KINDS = ("assign", "access", "hex", "entropy")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")  # whole runs: 20 letters and more
 HEX = re.compile(r"[0-9a-f]{24,}")
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{24,}")
-WINDOW = 24
-#: Bits a letter that a window must pass, by class: hex digits, letters and digits, all.
-BOUNDS = {"hex": 3.0, "alnum": 4.0, "token": 4.0}
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+WINDOW = 20
+#: Bits a letter that a window must pass, by class: hex digits, letters of one case and digits, letters and digits, all (slug: of one case). Of random windows 0.5 % lie below, slugs aside.
+BOUNDS = {"hex": 2.83, "single": 3.33, "alnum": 3.57, "token": 3.57, "slug": 4.0}
 ALLOWED = re.compile(
-    r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}"  # UUID
-    r"|(?:[A-Za-z]+[-_/+=])*[A-Za-z]+"  # words, also joined by signs
+    r"(?:[A-Za-z]+[-_/+=])*[A-Za-z]+"  # words, also joined by signs
     r"|[0-9+/_=-]+"  # numbers and rules
-    r"|.*(?:EXAMPLE|example|placeholder|xxxxxx|XXXXXX).*"
+)
+#: Cut out of a run: UUIDs, and tokens with a placeholder word.
+HARMLESS = re.compile(
+    r"(?<![A-Za-z0-9])[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}(?![A-Za-z0-9])"
+    r"|(?<![A-Za-z0-9])[A-Za-z0-9]*?(?:EXAMPLE|example|placeholder|xxxxxx|XXXXXX)[A-Za-z0-9]*"
 )
 _PARTS = [0.0, *(n * math.log2(n) for n in range(1, WINDOW + 1))]
 
@@ -47,9 +51,12 @@ def class_of(window: str) -> str | None:
         return None
     if all(c in "0123456789abcdefABCDEF" for c in window):
         return "hex" if digits < len(window) else None
-    if not (any(c.islower() for c in window) and any(c.isupper() for c in window)) and digits < 3:
-        return None
-    return "alnum" if window.isalnum() else "token"
+    signs, lower = sum(not c.isalnum() for c in window), any(c.islower() for c in window)
+    if not (lower and any(c.isupper() for c in window)):
+        if signs:
+            return "slug" if digits >= 3 else None
+        return "single" if digits >= 1 + lower and digits < len(window) else None
+    return ("token" if signs <= 3 and window.count("-") + window.count("_") <= 2 else None) if signs else "alnum"  # dates and titles in paths have more signs
 
 
 def entropy_spans(run: str) -> list[tuple[int, int]]:
@@ -79,6 +86,26 @@ def entropy_spans(run: str) -> list[tuple[int, int]]:
     return [(a, b) for a, b in spans]
 
 
+def grown_spans(run: str) -> list[tuple[int, int]]:
+    """Spans of the parts of ``run`` between what is harmless, each grown to the tokens it touches."""
+    spans: list[list[int]] = []
+    cuts = [(-1, 0), *(m.span() for m in HARMLESS.finditer(run)), (len(run), -1)]
+    for (_, start), (end, _) in zip(cuts[:-1], cuts[1:], strict=True):
+        part = run[start:end]
+        if len(part) < WINDOW:
+            continue
+        for a, b in entropy_spans(part):
+            while a > 0 and part[a - 1].isalnum():
+                a -= 1
+            while b < len(part) and part[b].isalnum():
+                b += 1
+            if spans and start + a <= spans[-1][1]:
+                spans[-1][1] = max(spans[-1][1], start + b)
+            else:
+                spans.append([start + a, start + b])
+    return [(a, b) for a, b in spans]
+
+
 def scan_text(text: str) -> list[tuple[str, int, int]]:
     """(kind, start, end) of every secret, by start and then by kind as listed in KINDS."""
     found = [("assign", m.start(), m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= 6]
@@ -89,7 +116,7 @@ def scan_text(text: str) -> list[tuple[str, int, int]]:
         run = m[0]
         if ALLOWED.fullmatch(run):
             continue
-        for a, b in entropy_spans(run):
+        for a, b in grown_spans(run):
             a, b = a + m.start(), b + m.start()
             if not any(x <= a and b <= y for x, y in base):
                 found.append(("entropy", a, b))

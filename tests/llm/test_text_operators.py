@@ -126,6 +126,24 @@ def test_secrets_found_and_suppressed():
         assert kinds(clean) == []
 
 
+def test_random_keys_are_found_whole():
+    r = random.Random(11)
+    low, up, digits = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    for letters in (up + "234567", low + digits, low + up + digits):
+        for size, share in ((20, 0.95), (24, 0.97), (32, 0.99), (40, 0.99)):
+            keys = ["".join(r.choices(letters, k=size)) for _ in range(500)]
+            whole = sum(secrets.redact_text(f"use {k} here") == "use [SECRET] here" for k in keys)
+            assert whole >= share * len(keys), (letters, size, whole)
+    for clean in ("news/2023/11/28/Some-Story-about-12-Things", "python-release-notes-for-3-11", "internationalization2", "docs/123e4567-e89b-12d3-a456-426614174000/Index1"):
+        assert secrets.scan_text(clean) == []
+
+
+def test_a_placeholder_word_beside_a_key_hides_nothing():
+    key = "A8d9Kq27LmZx04TbVcYwR5uEs1HjP6n"
+    for text in (f"docs/example/ghp_{key}", f"EXAMPLE_{key}", f"{key}-placeholder"):
+        assert key not in secrets.redact_text(text) and "entropy" in [k for k, _, _ in secrets.scan_text(text)]
+
+
 def test_secret_query_and_redaction(spark):
     docs = dict(documents(spark))
     got = op5_secret_scan(spark, SF).collect()
