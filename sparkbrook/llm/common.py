@@ -37,6 +37,11 @@ def written(df: DataFrame, name: str, **options: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def numbered(df: DataFrame) -> DataFrame:
+    """``df`` with columns c0, c1, ...: names that clash or hold dots do no harm until ``toDF`` gives them back."""
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+
+
 def word_count(text: Column) -> Column:
     """Number of words of a text (null: 0), on the JVM."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

@@ -5,15 +5,11 @@ bit is 1 if it is set in over half of the hashes. Fewer words: the whole sequenc
 
 Linking. Equal fingerprints are one node (smallest id). The 64 bits are cut into ``blocks`` blocks; two fingerprints within
 radius r agree in at least blocks - r of them, so every combination of that many blocks is a shard key, and every link
-lies in at least one shard. In a shard stands a BK-tree: a node's children are keyed by their integer Hamming distance to
-it, and a query that is d away follows only the edges from d - r to d + r. The members of a shard are the queries of its
-tree. The tree sits in the task that gets its shard: fingerprints grow with the documents, so broadcasting all trees would have no
-size bound. Where a subtree and its queries are one component already, the search leaves it: a ball of many near copies costs about
-its size, not its square, and a shard hands on a spanning forest, never all pairs. Components of the forest's edges are found by
-alternating large-star and small-star steps on DataFrames.
-
-Defined cases. Null, empty and blank texts: fingerprint zero, linked like others. Repeated rows: one row each out. A null id
-is a row with its own fingerprint and the component of that fingerprint. Empty table: empty result. Other columns aren't read.
+lies in at least one shard. Each shard has its BK-trees (``bk_trees``). Components of the forest of links are found by alternating
+large-star and small-star steps on DataFrames.
+
+Defined cases. Null, empty and blank texts: fingerprint zero, linked like others. Very long texts: one pass, 255 hashes a sum. Repeated rows: one row each
+out. A null id is a row with its own fingerprint and the component of that fingerprint. Empty table: empty result. Other columns aren't read.
 """
 
 from __future__ import annotations
@@ -27,26 +23,40 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .bk_trees import BLOCK, components, links
 from .common import written
 
-SEED, LEAF = 42, 48
+SEED = 42
+_ONES = np.uint64(0x0101010101010101)
 
 
-def fingerprint(text: str | None, words: int = 3) -> int:
+def shingle_hashes(text: str | None, words: int) -> np.ndarray:
+    """XXH64 of every shingle, in order and with repeats; empty for a text without words."""
     tokens = (text or "").encode().lower().split()  # bytes: only A-Z change, only ASCII white space splits
-    if not tokens:
-        return 0
-    digest = xxhash.xxh64_intdigest
+    digest, line = xxhash.xxh64_intdigest, b" ".join(tokens)
     if len(tokens) <= words:
-        return digest(b" ".join(tokens), SEED)
-    line = b" ".join(tokens)
+        return np.array([digest(line, SEED)] if tokens else [], np.uint64)
     ends = np.cumsum(np.fromiter(map(len, tokens), np.int64, len(tokens)) + 1) - 1
     starts = [0, *(ends[: len(tokens) - words] + 1).tolist()]
-    hashes = np.array([digest(line[a:b], SEED) for a, b in zip(starts, ends[words - 1 :].tolist(), strict=True)], dtype="<u8")
-    counts = np.zeros(64, np.int64)
-    for at in range(0, len(hashes), 65_536):  # so that a very long text doesn't need 64 bytes for each of its words at once
-        counts += np.unpackbits(hashes[at : at + 65_536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(counts * 2 > len(hashes), bitorder="little").tobytes(), "little")
+    return np.array([digest(line[a:b], SEED) for a, b in zip(starts, ends[words - 1 :].tolist(), strict=True)], np.uint64)
+
+
+def bit_counts(hashes: np.ndarray) -> np.ndarray:
+    """How many of the hashes (rows of 64-bit words) have each bit set, lowest bit first: counts stand in the bytes of words, up to 255 rows at a time."""
+    rows = hashes.reshape(len(hashes), -1)
+    cuts = np.arange(0, len(rows), 255)
+    out = np.empty((rows.shape[1], 8, 8), np.int64)  # word, byte, bit
+    for bit in range(8):
+        lanes = np.add.reduceat(rows >> np.uint64(bit) & _ONES, cuts, axis=0)
+        out[:, :, bit] = lanes.view(np.uint8).reshape(len(cuts), rows.shape[1], 8).sum(axis=0, dtype=np.int64)
+    return out.reshape(-1)
+
+
+def fingerprint(text: str | None, words: int = 3) -> int:
+    hashes = shingle_hashes(text, words)
+    if not len(hashes):
+        return 0
+    return int.from_bytes(np.packbits(bit_counts(hashes) * 2 > len(hashes), bitorder="little").tobytes(), "little")
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:
@@ -60,147 +70,19 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(F.col(id_col).cast("long").alias("id"), text_col).mapInArrow(run, "id long, fp long")
 
 
-class Forest:
-    """Union-find over positions 0..n-1, by arrays."""
-
-    def __init__(self, n: int):
-        self.up = np.arange(n)
-
-    def roots(self, at: np.ndarray) -> np.ndarray:
-        up, r = self.up, self.up[at]
-        while True:
-            s = up[r]
-            if np.array_equal(s, r):
-                break
-            r = s
-        up[at] = r
-        return r
-
-    def join(self, at: np.ndarray) -> None:
-        r = np.unique(self.roots(at))
-        self.up[r] = r[0]
-
-
-def grow_and_search(points: np.ndarray, forest: Forest, members: np.ndarray, radius: int) -> None:
-    """Build the BK-tree of ``members`` node by node and search it with all of them as queries, by arrays.
-
-    A frame is a subtree (its points) and the queries from other branches that reach it. Its first point is the node: the rest of
-    the points hang on edges keyed by their distance to it, and each edge gets the queries that may find something there.
-    """
-    stack = [(members, members[:0])]
-    while stack:
-        tree, others = stack.pop()
-        if not len(tree):
-            continue
-        everyone = np.concatenate((tree, others))
-        r = forest.roots(everyone)
-        if (r == r[0]).all():
-            continue  # nothing to learn here
-        if len(tree) <= LEAF:
-            near = np.bitwise_count(points[tree][:, None] ^ points[everyone][None, :]) <= radius
-            for i, row in zip(tree, near, strict=True):
-                forest.join(np.append(everyone[row], i))
-            continue
-        node, rest = tree[0], tree[1:]
-        d = np.bitwise_count(points[rest] ^ points[node]).astype(np.int64)
-        o = np.bitwise_count(points[others] ^ points[node]).astype(np.int64)
-        forest.join(np.concatenate(([node], rest[d <= radius], others[o <= radius])))
-        order = np.argsort(d, kind="stable")
-        keys, cuts = np.unique(d[order], return_index=True)
-        for edge, branch in zip(keys.tolist(), np.split(rest[order], cuts[1:]), strict=True):
-            # a pair in two branches is met once: the branch with the larger key asks the one with the smaller
-            stack.append((branch, np.concatenate((rest[(d > edge) & (d <= edge + radius)], others[np.abs(o - edge) <= radius]))))
-
-
-def shard_links(fps: np.ndarray, nodes: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Edges (node, smallest node of its component within the shard), for the nodes that aren't that smallest one."""
-    order = np.argsort(nodes, kind="stable")
-    fps, nodes = fps[order], nodes[order]
-    forest = Forest(len(fps))
-    grow_and_search(fps, forest, np.arange(len(fps)), radius)
-    roots = forest.roots(np.arange(len(fps)))  # join() keeps the smallest position, so a root is its component's smallest node
-    linked = roots != np.arange(len(fps))
-    return nodes[linked], nodes[roots[linked]]
-
-
-def links(nodes: DataFrame, radius: int = 3, blocks: int = 5) -> DataFrame:
-    """(a, b), a > b: edges whose components are those of all pairs of ``nodes`` (node, fp; each fp once) within ``radius``."""
+def block_keys(fp: str, radius: int, blocks: int):
+    """Shard keys of a fingerprint: every choice of blocks - radius of its blocks, hashed with the choice's number."""
     edges = [round(i * 64 / blocks) for i in range(blocks + 1)]
     masks = [sum((1 << edges[i + 1]) - (1 << edges[i]) for i in c) for c in combinations(range(blocks), blocks - radius)]
     signed = [m - (1 << 64) if m >> 63 else m for m in masks]
-    keyed = nodes.select("node", "fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in signed])).alias("mask", "bits"))
+    return F.array(*[F.xxhash64(F.lit(k), F.col(fp).bitwiseAND(F.lit(m))) for k, m in enumerate(signed)])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-        for batch in _and_end(batches):
-            if batch is not None:
-                held = [np.concatenate(x) for x in zip(held, _columns(batch), strict=True)] if held else _columns(batch)
-            if not held or not len(held[0]):
-                continue
-            mask, bits, fp, node = held
-            cuts = np.flatnonzero((mask[1:] != mask[:-1]) | (bits[1:] != bits[:-1])) + 1
-            bounds = np.concatenate(([0], cuts, [len(mask)]))
-            if batch is not None:  # the last shard may go on in the next batch
-                held = [x[bounds[-2] :] for x in held]
-                bounds = bounds[:-1]
-            else:
-                held = []
-            out = [shard_links(fp[a:b].view(np.uint64), node[a:b], radius) for a, b in zip(bounds[:-1], bounds[1:], strict=True) if b - a > 1]
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], ["a", "b"])
-
-    dealt = keyed.repartition("mask", "bits").sortWithinPartitions("mask", "bits", "fp")
-    return dealt.select("mask", "bits", "fp", "node").mapInArrow(run, "a long, b long")
-
-
-def _and_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
-    yield from batches
-    yield None
-
-
-def _columns(batch: pa.RecordBatch) -> list[np.ndarray]:
-    return [c.to_numpy(zero_copy_only=False) for c in batch.columns]
-
-
-def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
-    """(node, component): the smallest node reachable, for every node of ``edges`` (a, b).
-
-    Alternates large-star and small-star until the edges are stars. Every round ends in a written table, so lineage stays
-    short and lost executors cost one round. The neighbours of a node are never gathered: only their minimum is.
-    """
-
-    def star(e: DataFrame, small: bool) -> DataFrame:
-        """Large: every neighbour above a node is tied to the least of the node and its neighbours; small: those below."""
-        both = e.select(F.col("a").alias("n"), F.col("b").alias("m")) if small else e.select(F.explode(F.array(F.struct(F.col("a").alias("n"), F.col("b").alias("m")), F.struct(F.col("b").alias("n"), F.col("a").alias("m")))).alias("x")).select("x.n", "x.m")
-        least = both.groupBy("n").agg(F.least(F.col("n"), F.min("m")).alias("least"))
-        tied = both.join(least, "n")
-        if small:
-            out = tied.select("m", "least").unionByName(least.select(F.col("n").alias("m"), "least"))
-        else:
-            out = tied.where("m > n").select("m", "least")
-        return out.where("m <> least").select(F.col("m").alias("a"), F.col("least").alias("b")).distinct()
-
-    now = written(edges.distinct(), "links")
-    for _ in range(rounds):
-        if now.isEmpty():
-            break
-        after = written(star(star(now, False), True), "links")
-        # stars: every a has one b, and no b is an a
-        held = after.groupBy("a").agg(F.count("*").alias("n")).where("n > 1").isEmpty() and after.join(after.select(F.col("a").alias("b")), "b", "left_semi").isEmpty()
-        now = after
-        if held:
-            return now.select(F.col("a").alias("node"), F.col("b").alias("component"))
-    if not now.isEmpty():
-        raise RuntimeError("components did not settle")
-    return now.select(F.col("a").alias("node"), F.col("b").alias("component"))
-
-
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, words: int = 3, radius: int = 3, blocks: int = 5) -> DataFrame:
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, words: int = 3, radius: int = 3, blocks: int = 5, block: int = BLOCK) -> DataFrame:
     """(id, fp, component): a row for each document, with the smallest id that links reach from its fingerprint."""
     prints = written(fingerprints(docs, id_col, text_col, words), "simhash")
-    nodes = prints.groupBy("fp").agg(F.min("id").alias("node"), F.count("*").alias("copies"))
-    named = nodes.where("node is not null").select("fp", "node")
-    joined = components(links(named, radius, blocks))
+    named = written(prints.where("id is not null").groupBy("fp").agg(F.min("id").alias("node")), "simhash-nodes")
+    joined = components(links(named.select("node", block_keys("fp", radius, blocks).alias("keys"), F.col("fp").alias("w0")), radius, block=block))
     of = named.join(joined, "node", "left").select("fp", F.coalesce("component", "node").alias("component"))
     # a fingerprint that many rows share is a hot key of this join: it is salted
     salts = 16
@@ -209,12 +91,3 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         .join(of.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long")))), ["fp", "salt"], "left")
         .select("id", "fp", "component")
     )
-
-
-def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
-    """``docs`` with one document of each component: the one with the smallest id. Repeated rows count once; rows without an id stay."""
-    found = written(near_duplicates(docs, id_col, text_col, **settings), "simhash-groups")
-    going = found.where("id <> component").select(F.col("id").alias("__simhash_id")).distinct()
-    if not found.where("id = component").groupBy("id").count().where("count > 1").isEmpty():
-        docs = docs.dropDuplicates([id_col, text_col])
-    return docs.join(going, F.col(id_col).cast("long") == F.col("__simhash_id"), "left_anti")

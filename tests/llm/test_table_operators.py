@@ -1,6 +1,7 @@
 """Operators 2, 3, 6 and 7 and the pipeline."""
 
 import random
+import re
 
 import numpy as np
 import pytest
@@ -9,7 +10,7 @@ from compare import SF, check, connect
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from sparkbrook.llm import fixity, mixing, queries, secrets, simhash, url_filter
+from sparkbrook.llm import bk_trees, fixity, mixing, near_copies, queries, secrets, simhash, url_filter
 from sparkbrook.llm.common import read
 
 
@@ -153,13 +154,41 @@ def test_links_of_clusters_balls_and_chains(spark, seed):
     for _ in range(40):
         fps.append(chain := flip(chain, 3))
     fps = dict(enumerate(dict.fromkeys(fps)))
-    df = spark.createDataFrame([(i, x - (1 << 64) if x >> 63 else x) for i, x in fps.items()], "node long, fp long")
-    for blocks in (4, 5):
-        found = simhash.components(simhash.links(df, 3, blocks)).collect()
-        assert {x.node: x.component for x in found} == {i: c for i, c in brute_components(fps).items() if c != i}
-    points = np.array(list(fps.values()), np.uint64)
-    a, b = simhash.shard_links(points, np.arange(len(points)), 3)
-    assert dict(zip(a.tolist(), b.tolist(), strict=True)) == {i: c for i, c in brute_components(fps).items() if c != i}
+    want = {i: c for i, c in brute_components(fps).items() if c != i}
+    df = spark.createDataFrame([(i, x - (1 << 64) if x >> 63 else x) for i, x in fps.items()], "node long, w0 long")
+    # a block of 16 cuts the ball's shards into many; minimum forests in blocks: test_one_large_group_in_many_blocks
+    for blocks, block, least in ((4, 2048, False), (5, 2048, True), (5, 16, False)) if not seed else ((5, 2048, False),):
+        nodes = df.select("node", simhash.block_keys("w0", 3, blocks).alias("keys"), "w0")
+        found = bk_trees.components(bk_trees.links(nodes, 3, least=least, block=block)).collect()
+        assert {x.node: x.component for x in found} == want
+    points, at = np.array(list(fps.values()), np.uint64)[:, None], np.arange(len(fps))
+    a, b = bk_trees.block_edges(at, points, at >= 0, 3, False)
+    assert dict(zip(a.tolist(), b.tolist(), strict=True)) == want
+    # a tree yields every linked pair once, and a minimum forest is as light as Kruskal's
+    pairs = sorted((d, *sorted((i, int(j)))) for i, near, dist in bk_trees.grow_and_search(points, at, at[:0], 3, None) for j, d in zip(near, dist.tolist(), strict=True))
+    plain = sorted((int(points[i, 0] ^ points[j, 0]).bit_count(), i, j) for j in at.tolist() for i in range(j) if int(points[i, 0] ^ points[j, 0]).bit_count() <= 3)
+    assert pairs == plain
+    up, weight = list(at.tolist()), 0
+    for d, i, j in plain:
+        while up[i] != i:
+            i = up[i]
+        while up[j] != j:
+            j = up[j]
+        if i != j:
+            up[max(i, j)] = min(i, j)
+            weight += d
+    ds, xs, ys = (np.array(x) for x in zip(*pairs, strict=True))
+    assert ds[bk_trees.least_forest(xs, ys, ds, len(at))].sum() == weight
+
+
+def test_queries_pass_through_a_tree_in_pieces(spark):
+    r = np.random.default_rng(1)
+    centre = np.uint64(0x0123456789ABCDEF)
+    tree = [(0, 0, 0, i, int(centre ^ np.uint64(1 << i % 20))) for i in range(40)]
+    asking = [(0, 0, 1, 100 + i, int(centre ^ np.uint64(1 << 20 | 1 << 21)) if i % 2 else int(r.integers(0, 2**62))) for i in range(9_000)]
+    df = spark.createDataFrame(tree + asking, "key long, block long, query int, node long, w0 long").repartition(7)
+    found = bk_trees.components(bk_trees.searched(df, 3, False)).collect()
+    assert {x.node for x in found if x.component == 0} == {*range(1, 40), *(100 + i for i in range(1, 9_000, 2))}
 
 
 def test_simhash_edges(spark):
@@ -167,8 +196,7 @@ def test_simhash_edges(spark):
     df = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, fp long")
     got = sorted(((r.id is None, r.id or 0, r.component) for r in simhash.near_duplicates(df).collect()), key=str)
     assert got == sorted([(False, 5, 3), (False, 5, 3), (False, 3, 3), (False, 7, 7), (False, 8, 7), (True, 0, None), (True, 0, 3)], key=str)
-    assert sorted(str(r.doc_id) for r in simhash.deduplicated(df).collect()) == ["3", "7", "None", "None"]
-    assert simhash.near_duplicates(df.limit(0)).count() == 0 and simhash.deduplicated(df.limit(0)).count() == 0
+    assert simhash.near_duplicates(df.limit(0)).count() == 0
 
 
 # 7
@@ -195,6 +223,36 @@ def test_url_templates_learn_from_labelled_siblings(spark):
 # The pipeline
 
 
+def brute_groups(texts):
+    """id -> text: the smallest id of each group by Jaccard similarity of five-word shingles, 0.8 or more."""
+    sets = {}
+    for i, t in texts.items():
+        words = [w for w in re.split(r"[\x20\x09-\x0D]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "")) if w]
+        sets[i] = {tuple(words[k : k + 5]) for k in range(len(words) - 4)} or ({tuple(words)} if words else set())
+    ids, up = sorted(sets), {i: i for i in sets}
+    for n, i in enumerate(ids):
+        for j in ids[:n]:
+            both = len(sets[i] & sets[j])
+            if both * 5 >= 4 * (len(sets[i]) + len(sets[j]) - both):
+                a, b = i, j
+                while up[a] != a:
+                    a = up[a]
+                while up[b] != b:
+                    b = up[b]
+                up[max(a, b)] = min(a, b)
+    for i in ids:
+        up[i] = up[up[i]]
+    return up
+
+
+def test_near_copies_on_the_table(spark):
+    docs = read(spark, "/root/testdata/sf0.01", "documents")
+    parts = brute_groups({r.doc_id: r.text for r in docs.collect()})
+    left = {r.doc_id for r in near_copies.deduplicated(docs).collect()}
+    plain = {i for i, c in parts.items() if i == c}
+    assert left >= plain and len(left - plain) <= 0.03 * (len(parts) - len(plain))
+
+
 def test_pipeline_against_a_plain_version(spark):
     folder = "/root/testdata/sf0.001"
     docs = {r.doc_id: r for r in read(spark, folder, "documents").collect()}
@@ -203,7 +261,7 @@ def test_pipeline_against_a_plain_version(spark):
     stages = dict(corpus_pipeline.STAGES)
     a = stages["quality_rules"](spark, frame, folder)
     assert {r.doc_id for r in a.collect()} == judged
-    parts = brute_components({i: brute_fingerprint(docs[i].text) for i in judged})
+    parts = brute_groups({i: docs[i].text for i in judged})
     b = stages["simhash_dedup"](spark, a, folder)
     left = {i for i, c in parts.items() if i == c}
     assert {r.doc_id for r in b.collect()} == left
