@@ -4,7 +4,8 @@ Rules. ``host/path``: fits its host and all subdomains if the url's path starts
 
 Method. Urls are first counted by host and path shape (digits as ``{n}``), so that a hot host is a handful of rows before anything
 else moves. Shapes form a tree per host, a level a segment: under one parent, more than ``MAX_LITERALS`` different segments become
-the wildcard ``*``. Segments beyond ``DEPTH`` become ``**``. The rows that a rule decides are the labels. A template's sibling
+the wildcard ``*``. Segments beyond ``DEPTH`` become ``**``. Labels: what a rule decides, and of other rows the page's content: blocked
+if it holds a word of ``SPAM_WORDS``, else not; pages without content have none. A template's sibling
 branches that are statistically similar, that is, whose labelled share of blocked rows lies within ``Z`` standard errors of their parent's, are
 merged and judged by their sum; the others stand alone. A template is rejected if its share of blocked rows, smoothed by ``PRIOR``
 rows of no tendency, is at least ``PURITY``: without labels nothing is rejected.
@@ -12,7 +13,7 @@ rows of no tendency, is at least ``PURITY``: without labels nothing is rejected.
 Only rejected templates are met with the rows, salted, so a hot template is no hot key.
 
 Defined cases. Null urls and urls without ``://``: empty host and path, no rule fits, allowed. Repeated rows: one row each out. Null ids are
-kept. Empty table: empty result. Other columns aren't read.
+kept, and repeated ones count each. Null or empty pages: no label. Very long urls: one pass, ``DEPTH`` levels. Empty table: empty result. Other columns aren't read.
 """
 
 from __future__ import annotations
@@ -27,6 +28,9 @@ from .common import ascii_lower, written
 #: (verdict, rule) of the production filter.
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
 DEPTH, MAX_LITERALS, Z, PRIOR, PURITY, SALTS = 4, 20, 2.0, 2.0, 0.8, 32
+#: Words, in lower case, that stand in pages of sellers and cheats: the labels of content.
+SPAM_WORDS = ("adult", "bets", "casino", "jackpot", "lottery", "pills", "porn", "spam", "viagra")
+_SPAM = f"(^|[^a-z])({'|'.join(SPAM_WORDS)})([^a-z]|$)"
 _URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 
 
@@ -82,13 +86,13 @@ def rejected(templated: DataFrame, *, z: float = Z, prior: float = PRIOR, purity
     return templated.select("host", "shape", "template").join(bad, ["host", "template"], "left_semi").select("host", "shape").distinct()
 
 
-def judge_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", *, rules: Sequence[tuple[str, str]] = RULES, **settings) -> DataFrame:
+def judge_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", *, rules: Sequence[tuple[str, str]] = RULES, **settings) -> DataFrame:
     """(page_id, host, path, rule, verdict) for each row."""
-    rows = pages.select(F.col(id_col).alias("page_id"), host(F.col(url_col)).alias("host"), path(F.col(url_col)).alias("path"))
+    rows = pages.select(F.col(id_col).alias("page_id"), host(F.col(url_col)).alias("host"), path(F.col(url_col)).alias("path"), ascii_lower(F.nullif(F.col(html_col), F.lit(""))).rlike(_SPAM).alias("__spam"))
     rows = rows.withColumn("__at", rule_index(rules, F.col("host"), F.col("path")))
     pick = lambda k: F.get(F.array(*[F.lit(r[k]) for r in rules]), F.col("__at")) if rules else F.lit(None).cast("string")
     rows = rows.withColumns({"rule": pick(1), "__ruled": pick(0), "shape": shape(F.col("path"))}).drop("__at")
-    counted = rows.groupBy("host", "shape").agg(F.count("__ruled").alias("labelled"), F.count_if(F.col("__ruled") == "block").alias("blocked"))
+    counted = rows.withColumn("__label", F.coalesce(F.col("__ruled") == "block", F.col("__spam"))).groupBy("host", "shape").agg(F.count("__label").alias("labelled"), F.count_if("__label").alias("blocked"))
     tree = {k: settings.pop(k) for k in ("depth", "max_literals") if k in settings}
     bad = rejected(templates(counted, **tree), **settings)
     bad = bad.withColumn("__bad", F.lit(True)).withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
@@ -110,9 +114,10 @@ def _sql() -> str:
     pick = lambda k: "CASE " + " ".join(f"WHEN {fits(r)} THEN '{r[k]}'" for r in by_length) + " END"
     return f"""
 WITH u AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
-                  regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 2) AS path FROM pages),
+                  regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 2) AS path,
+                  regexp_matches(translate(nullif(html, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_SPAM}') AS spam FROM pages),
 d AS (SELECT *, {pick(1)} AS rule, {pick(0)} AS ruled, regexp_replace(path, '[0-9]+', '{{n}}', 'g') AS shape FROM u),
-c AS (SELECT host, shape, count(ruled) AS labelled, count(*) FILTER (ruled = 'block') AS blocked FROM d GROUP BY ALL),
+c AS (SELECT host, shape, count(coalesce(ruled = 'block', spam)) AS labelled, count(*) FILTER (coalesce(ruled = 'block', spam)) AS blocked FROM d GROUP BY ALL),
 t0 AS (SELECT *, CASE WHEN len(string_split(shape, '/')) > {DEPTH + 1} THEN string_split(shape, '/')[1:{DEPTH + 1}] || ['**'] ELSE string_split(shape, '/') END AS segments, '' AS template, '' AS parent FROM c),
 {", ".join(steps)},
 n AS (SELECT host, parent, template, sum(labelled) AS labelled, sum(blocked) AS blocked FROM {last} GROUP BY ALL),

@@ -204,7 +204,7 @@ def test_simhash_edges(spark):
 
 def test_url_parts_and_rules(spark):
     urls = ["http://A.Example.NET/en/1?x", "https://net/", "http://x.net", "ftp://example.net/en/", "http://badnet/", "http://w.org/fr/2#a?b", "http://example.com/de/", "nothing", None, "a://b://c/d", "http://É.org/fr/", "http://h.example.com/de"]
-    df = spark.createDataFrame([(i, u, "x") for i, u in enumerate(urls)], "page_id long, url string, verdict string")
+    df = spark.createDataFrame([(i, u, None, "x") for i, u in enumerate(urls)], "page_id long, url string, html string, verdict string")
     got = [(r.host, r.path, r.rule, r.verdict) for r in url_filter.judge_urls(df).orderBy("page_id").collect()]
     assert got == [
         ("a.example.net", "/en/1", "example.net/en/", "allow"), ("net", "/", "net/", "block"), ("x.net", "", None, "allow"), ("example.net", "/en/", "example.net/en/", "allow"), ("badnet", "/", None, "allow"),
@@ -214,12 +214,29 @@ def test_url_parts_and_rules(spark):
 
 def test_url_templates_learn_from_labelled_siblings(spark):
     urls = [f"http://h.com/bad/w{chr(97 + i % 26)}{chr(97 + i // 26)}/x" for i in range(60)] + [f"http://h.com/good/{i}" for i in range(30)]
-    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    df = spark.createDataFrame([(i, u, None) for i, u in enumerate(urls)], "page_id long, url string, html string")
     rules = [("block", f"h.com/bad/w{c}") for c in "abcdefghijklmnopqrstuvw"]
     got = {r.page_id: r.verdict for r in url_filter.judge_urls(df, rules=rules).collect()}
     assert all(got[i] == "block" for i in range(60)) and all(got[i] == "allow" for i in range(60, 90))
 
 
+def test_url_templates_learn_from_content(spark):
+    """Spam pages make their template rejected, also for its pages without content; a few among many don't. Repeated and null ids, and long urls, count."""
+    rows = [(1, f"http://s.com/buy/{i}", "<p>Cheap PILLS</p>" if i < 8 else None) for i in range(10)] + [(None, f"http://s.com/about/{i}", "about us") for i in range(10)]
+    rows += [(i, f"http://g.com/x/{i}", "casino" if i < 4 else "bluebells, casinos") for i in range(30)] + [(99, "http://g.com/" + "a/" * 50_000, "x" * 500_000)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = [(r.host, r.path[:6], r.verdict) for r in url_filter.judge_urls(df).collect()]
+    assert sorted(set(got)) == [("g.com", "/a/a/a", "allow"), ("g.com", "/x/0", "allow"), *[("g.com", f"/x/{i}", "allow") for i in sorted(map(str, range(1, 30)))], *[("s.com", "/about", "allow")], *[("s.com", f"/buy/{i}", "block") for i in range(10)]]
+    assert len(got) == len(rows)
+
+
+def test_url_method_decides_on_the_table(spark):
+    """Verdicts beyond the rules, on the table."""
+    r = queries.op7_url_filter(spark, "/root/testdata/sf0.1").where("rule is null").groupBy("verdict").count().collect()
+    n = {x.verdict: x["count"] for x in r}
+    assert n["block"] >= 40 and n["allow"] > 20 * n["block"] * 0.5
+
+
 # The pipeline
 
 
