@@ -2,15 +2,15 @@
 
 Statistics of each whole text: words, letters in words, symbol characters, repeated lines, words in repeated three-word
 windows. Base rules on these reject a document at once. An isolation forest is fitted on a bounded sample of labelled
-documents' statistics (ratios, so long and short texts compare): trees of random splits over subsamples of good rows, where an
-unusual row is cut off after few splits. The score is 2 ** -(mean path length / expected path length). The threshold is
+documents' statistics (ratios, so long and short texts compare; repeats are left to the base rules): trees of random splits of their rows' ranges over
+subsamples of labelled rows, good and bad, where an unusual row is cut off after few splits. Small subsamples keep the bad rows too few to hide each other. The score is 2 ** -(mean path length / expected path length). The threshold is
 calibrated on the same labelled rows: the lowest that rejects at most ``MAX_LOSS`` of the good rows which pass the base rules; with no labelled rows of both kinds, the forest rejects nothing.
 
-Only the sample (``SAMPLE_ROWS`` rows of seven numbers at most) comes to the driver, and only the forest goes out. All documents are judged in one
-pass; nothing is shuffled.
+Only the sample (``SAMPLE_ROWS`` rows of seven numbers at most) comes to the driver, and only the forest goes out. Documents are read twice: once for the texts of the sample,
+once to be judged, all of them; texts aren't shuffled.
 
 Defined cases. Null text: no words, so base_failed. Null ids: kept as rows; never labelled. Repeated rows: one row each out. Labels that
-disagree on an id: the least counts. Empty table: empty result. Other columns aren't read by ``judge`` and stay in ``kept_documents``.
+disagree on an id: the least counts. Very long texts: one pass. Empty table: empty result. Other columns aren't read by ``judge`` and stay in ``kept_documents``.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 #: Labelled rows that the forest is fitted and calibrated on, at most.
 SAMPLE_ROWS = 20_000
-TREES, SUBSAMPLE, DEPTH, MAX_LOSS, SEED = 100, 256, 12, 0.002, 11
+TREES, SUBSAMPLE, MAX_LOSS, SEED = 100, 128, 0.002, 11
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 SYMBOLS = re.compile(r"[#*$%&|<>]")
 STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_distinct")
@@ -81,10 +81,10 @@ def document_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def features(stats: np.ndarray) -> np.ndarray:
-    """Ratios from rows of STATS; few symbols differ much from none, so their ratio is on a log scale."""
-    n, letters, symbols, dup, repeat, lines, distinct = stats.astype(float).T
-    some, rows = np.maximum(n, 1), np.maximum(lines, 1)
-    return np.column_stack((letters / some, np.log1p(100 * symbols / some), dup / rows, repeat / some, np.log1p(n), np.log1p(distinct) / np.log1p(some), np.log1p(n / rows)))
+    """Letters a word, symbols a word, size and variety, from rows of STATS; few symbols differ much from none, so their ratio is on a log scale."""
+    n, letters, symbols, _, _, _, distinct = stats.astype(float).T
+    some = np.maximum(n, 1)
+    return np.column_stack((letters / some, np.log1p(100 * symbols / some), np.log1p(n), np.log1p(distinct) / np.log1p(some)))
 
 
 def expected_path(n: float) -> float:
@@ -115,23 +115,24 @@ class Forest:
         return 2.0 ** -(total / max(1, len(self.trees)) / max(expected_path(self.size), 1e-9))
 
 
-def grow(x: np.ndarray, low: np.ndarray, high: np.ndarray, rng: np.random.Generator, limit: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """A tree over the box [low, high]: a node cuts its own box, so a side where no row of the subsample lies ends there, at a short path."""
+def grow(x: np.ndarray, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """A tree over a subsample: a node cuts the range of its own rows at random in one of the features that vary there, to the depth of a balanced tree."""
+    limit = math.ceil(math.log2(max(2, len(x))))
     feature, cut, left, depth = [-1], [0.0], [0], [0.0]
-    todo = [(0, x, low, high, 0)]
+    todo = [(0, x, 0)]
     while todo:
-        at, rows, low, high, d = todo.pop()
+        at, rows, d = todo.pop()
+        low, high = rows.min(axis=0), rows.max(axis=0)
         wide = np.flatnonzero(high > low)
-        if d >= limit or len(rows) <= 1 or not len(wide):
+        if d >= limit or not len(wide):
             depth[at] = d + expected_path(len(rows))
             continue
         f = int(rng.choice(wide))
         c = float(rng.uniform(low[f], high[f]))
+        c = c if c > low[f] else float(high[f])  # so that neither side is empty
         feature[at], cut[at], left[at] = f, c, len(feature)
-        below, above = high.copy(), low.copy()
-        below[f] = above[f] = c
-        for side, a, b in ((rows[rows[:, f] < c], low, below), (rows[rows[:, f] >= c], above, high)):
-            todo.append((len(feature), side, a, b, d + 1))
+        for side in (rows[rows[:, f] < c], rows[rows[:, f] >= c]):
+            todo.append((len(feature), side, d + 1))
             feature.append(-1), cut.append(0.0), left.append(0), depth.append(0.0)
     return np.array(feature), np.array(cut), np.array(left), np.array(depth)
 
@@ -143,11 +144,7 @@ def fit(stats: np.ndarray, good: np.ndarray, *, trees: int = TREES, subsample: i
     rng, size = np.random.default_rng(seed), min(subsample, len(x))
     if size < 2:
         return Forest([], 2)
-    # grown on good rows, in the box of all: what good rows are not is cut off early
-    base = x[good] if good.sum() >= 2 else x
-    size = min(size, len(base))
-    box = x.min(axis=0), x.max(axis=0)
-    forest = Forest([grow(base[rng.choice(len(base), size, replace=False)], *box, rng, DEPTH) for _ in range(trees)], size)
+    forest = Forest([grow(x[rng.choice(len(x), size, replace=False)], rng) for _ in range(trees)], size)
     s = forest.scores(x)
     if good.any() and (~good).any():
         kept = np.sort(s[good])

@@ -200,6 +200,57 @@ def test_forest_scores_by_walking_each_tree():
     assert np.allclose(forest.scores(x), [2 ** -(np.mean([path(t, row) for t in forest.trees]) / c) for row in x])
 
 
+def test_trees_isolate_by_the_ranges_of_their_rows():
+    """Every cut lies within the range of the rows it divides, both sides get rows, and depths are those of a plain walk."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(128, 4))
+    x[:, 3] = 2.0  # never varies: never cut
+    feature, cut, left, depth = quality.grow(x, rng)
+
+    def walk(at, rows, d):
+        if feature[at] < 0:
+            assert d == 7 or len(rows) == 1
+            assert depth[at] == d + quality.expected_path(len(rows))
+            return len(rows)
+        f, c = feature[at], cut[at]
+        assert f != 3 and rows[:, f].min() < c <= rows[:, f].max()
+        return walk(left[at], rows[rows[:, f] < c], d + 1) + walk(left[at] + 1, rows[rows[:, f] >= c], d + 1)
+
+    assert walk(0, x, 0) == 128
+    # an outlier is isolated sooner than what lies in the middle
+    stats = np.column_stack([np.full(300, 200), rng.integers(950, 1050, 300), *[np.zeros(300, np.int64)] * 4, rng.integers(120, 130, 300)]).astype(np.int64)
+    stats[0, 1:3] = 3000, 400
+    forest = quality.fit(stats, np.arange(300) > 0)
+    s = forest.scores(quality.features(stats))
+    assert s.argmax() == 0 and s[0] > forest.threshold >= s[1:].max() - 1e-9
+
+
+def test_kept_is_what_a_plain_forest_says(spark):
+    """The query's kept and score, by plain walks down the trees that the labelled rows give."""
+    import math
+
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    forest = quality.fitted(docs, labels)
+    assert len(forest.trees) == quality.TREES
+    texts = dict(documents(spark))
+    c = 2 * (math.log(forest.size - 1) + 0.5772156649015329) - 2 * (forest.size - 1) / forest.size
+    for r in op8_quality_forest(spark, SF).collect():
+        n, letters, symbols, _, repeat = plain_statistics(texts[r.doc_id])
+        distinct = len({w for w in re.split(r"[\x20\x09-\x0D]+", texts[r.doc_id] or "") if w})
+        some = max(1, n)
+        row = (letters / some, math.log1p(100 * symbols / some), math.log1p(n), math.log1p(distinct) / math.log1p(some))
+        total = 0.0
+        for feature, cut, left, depth in forest.trees:
+            at = 0
+            while feature[at] >= 0:
+                at = left[at] + (1 if row[feature[at]] >= cut[at] else 0)
+            total += depth[at]
+        score = 2 ** -(total / len(forest.trees) / c)
+        assert abs(score - r.score) < 1e-9
+        if abs(score - forest.threshold) > 1e-9:
+            assert r.kept == (not r.base_failed and score <= forest.threshold)
+
+
 def test_quality_query(spark):
     docs = dict(documents(spark))
     got = {r.doc_id: r for r in op8_quality_forest(spark, SF).collect()}
