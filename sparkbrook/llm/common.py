@@ -19,10 +19,12 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; where that is unset (tests, one machine), a temporary one, made once a session."""
+    """The folder in ``spark.checkpoint.dir``; where that is unset on one machine (tests), a temporary one, made once a session. On a cluster it must be set."""
     known = spark.conf.get("spark.checkpoint.dir", None)
     if known:
         return known.rstrip("/")
+    if not spark.conf.get("spark.master", "local").startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     own = spark.conf.get("spark.sparkbrook.scratch", None)
     if not own:
         own = f"file://{tempfile.mkdtemp(prefix='sparkbrook-')}"
@@ -37,6 +39,14 @@ def written(df: DataFrame, name: str, **options: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def whole_number(df: DataFrame, name: str) -> Column:
+    """The ids of an operator that orders by them, as long; a column of another kind is refused rather than cast to nulls."""
+    kind = df.schema[name].dataType.simpleString()
+    if kind not in ("tinyint", "smallint", "int", "bigint"):
+        raise TypeError(f"{name} holds {kind}, not whole numbers")
+    return F.col(name).cast("long")
+
+
 def numbered(df: DataFrame) -> DataFrame:
     """``df`` with columns c0, c1, ...: names that clash or hold dots do no harm until ``toDF`` gives them back."""
     return df.toDF(*[f"c{i}" for i in range(len(df.columns))])

@@ -7,12 +7,13 @@ where the hash's low bits are all ones. Every chunk gives one letter of 64 by it
 Likeness. Letters are compared at block sizes that both fingerprints have: 1 - (insertions + deletions) / letters, the best of
 what can be compared; 0 if there is none, or if the two have no run of four letters in common (shorter ones: none at all).
 
-Next document. Documents stand in descending id; ranges of ids are dealt to tasks with one guest: the first document after
-the range. Only the heads of ranges (66,562 at most) are broadcast; text moves once and no task holds more than its range.
+Next document. Documents stand in order of a key: descending id, nulls last, then the hash of the text. A first pass sorts keys alone, by Spark's ranges, and gives every
+``RANGE_ROWS``-th one: the heads of as many ranges (``RANGES`` and one for each sorted part at most, 17 bytes each, on the driver and in the tasks). A range is dealt to a task with
+one guest, the head of the next range; text moves once and no task holds more than its range.
 
 Defined cases. Null text: as empty; the fingerprint of the empty text is ``4::``. Equal texts have equal fingerprints and
-likeness 1. Null ids come last. Equal ids stand in order of text. One document alone is its own next. Empty table: empty
-result. Other columns aren't read.
+likeness 1. Null ids come last. Equal ids stand in order of their texts' hashes. Rows equal in id and text stay in one range. One document alone is its own next. Very long texts:
+one pass. Ids that aren't whole numbers are refused. Empty table: empty result. Other columns aren't read.
 """
 
 from __future__ import annotations
@@ -23,13 +24,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import whole_number
+
 LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
 WINDOW, LEAST, CHUNKS, RUN = 7, 4, 64, 4
-#: Documents to a range of ids, about, and ranges at most.
-RANGE_ROWS, RANGES, CELLS = 250, 65_536, 1_024
+#: Documents to a range, about, and ranges at most (below that many, and one more for each sorted part).
+RANGE_ROWS, RANGES = 250, 65_536
 
 
 def rolling(data: bytes) -> np.ndarray:
@@ -105,31 +108,56 @@ def edited(text: str, after: str) -> str:
     return text[: len(text) - half] + after[:half]
 
 
-def with_ranges(docs: DataFrame) -> DataFrame:
-    """(doc_id, text) dealt by range of id and sorted; ``guest`` rows are the first documents after their range."""
-    low, high, n = docs.agg(F.min("doc_id"), F.max("doc_id"), F.count("*")).first()
-    # Twice by equal widths: cells of the span of ids, then parts of each cell's own span, so that ids far out don't put all others in one range.
-    # In doubles, which can't overflow and don't break the order.
-    id_, width, rows_a_range = F.col("doc_id").cast("double"), max(1, -(-((high or 0) - (low or 0) + 1) // CELLS)), max(RANGE_ROWS, n // RANGES)
-    celled = docs.withColumn("cell", F.coalesce(F.floor((id_ - F.lit(float(low or 0))) / F.lit(float(width))), F.lit(-1)))
-    parts = F.floor(F.col("n") / rows_a_range) + 1
-    spans = celled.groupBy("cell").agg(F.min(id_).alias("least"), F.max(id_).alias("most"), F.count("*").alias("n"))
-    spans = F.broadcast(spans.select("cell", "least", ((F.col("most") - F.col("least") + 1) / parts).alias("part")))  # CELLS + 2 rows at most
-    rows = celled.join(spans, "cell").withColumn("range", F.col("cell") * (RANGES * 2) + F.coalesce(F.floor((id_ - F.col("least")) / F.col("part")), F.lit(0))).drop("cell", "least", "part")
-    heads = rows.groupBy("range").agg(F.max("doc_id").alias("head"))
-    every = Window.partitionBy(F.lit(0))
-    # the range whose last document comes just before this head: the next one up, or for the topmost the lowest
-    above = F.coalesce(F.lead("range").over(every.orderBy("range")), F.min("range").over(every))
-    heads = F.broadcast(heads.select("range", "head", above.alias("above")))  # RANGES + CELLS + 2 rows at most
-    met = rows.join(heads, "range")
-    own = F.struct(F.col("range").alias("range"), F.lit(0).alias("guest"))
-    visit = F.struct(F.col("above").alias("range"), F.lit(1).alias("guest"))
-    seats = F.explode(F.when(F.col("doc_id").eqNullSafe(F.col("head")), F.array(own, visit)).otherwise(F.array(own)))
-    seated = met.select("doc_id", "text", seats.alias("seat")).select("doc_id", "text", "seat.range", "seat.guest")
-    return seated.repartition("range").sortWithinPartitions("range", "guest", F.col("doc_id").desc_nulls_last(), "text")
-
-
-def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def order_keys(ids: pa.Array, hashes: pa.Array) -> np.ndarray:
+    """Keys as bytes that sort like (nulls last, descending id, hash)."""
+    out = np.zeros(len(ids), np.dtype([("null", "u1"), ("id", ">u8"), ("hash", ">u8"), ("end", "u1")]))  # the end byte keeps numpy from cutting zeros off
+    sign = np.uint64(1 << 63)
+    out["null"] = ids.is_null().to_numpy(zero_copy_only=False)
+    out["id"] = ~(ids.fill_null(0).to_numpy(zero_copy_only=False).view(np.uint64) ^ sign)
+    out["hash"] = hashes.to_numpy(zero_copy_only=False).view(np.uint64) ^ sign
+    out["end"] = 1
+    return out.view("S18")
+
+
+def range_heads(docs: DataFrame, range_rows: int, ranges: int) -> np.ndarray:
+    """The key of every so many-th document, and of the first one of each sorted part, in order."""
+    rows = max(range_rows, -(-docs.count() // ranges))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = 0
+        for batch in batches:
+            picked = np.arange(-seen % rows, batch.num_rows, rows)
+            seen += batch.num_rows
+            if len(picked):
+                part = batch.take(pa.array(picked))
+                yield pa.RecordBatch.from_arrays([pa.array(order_keys(part.column(0), part.column(1)).tolist(), pa.binary())], ["key"])
+
+    order = [F.col("doc_id").desc_nulls_last(), "hash"]
+    keys = docs.select("doc_id", "hash").repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(run, "key binary")
+    return np.unique(np.array([bytes(r[0]) for r in keys.collect()], "S18"))
+
+
+def with_ranges(docs: DataFrame, range_rows: int = RANGE_ROWS, ranges: int = RANGES) -> DataFrame:
+    """(doc_id, text, range, guest) dealt by range and sorted; ``guest`` rows are the first documents after their range."""
+    docs = docs.withColumn("hash", F.xxhash64("text"))
+    heads = range_heads(docs, range_rows, ranges)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = order_keys(batch.column(0), batch.column(2))
+            own = np.searchsorted(heads, keys, side="right") - 1
+            visits = np.flatnonzero(heads[own] == keys)  # a head is also the guest of the range before it, the first one of the last
+            rows = np.concatenate((np.arange(len(keys)), visits))
+            seat = np.concatenate((own, (own[visits] - 1) % len(heads)))
+            guest = (np.arange(len(rows)) >= len(keys)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([*batch.take(pa.array(rows)).columns, pa.array(seat), pa.array(guest)], ["doc_id", "text", "hash", "range", "guest"])
+
+    seated = docs.mapInArrow(run, "doc_id long, text string, hash long, range long, guest int")
+    dealt = seated.repartition("range").sortWithinPartitions("range", "guest", F.col("doc_id").desc_nulls_last(), "hash", "text")
+    return dealt.select("doc_id", "text", "range", "guest")
+
+
+def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, range_rows: int = RANGE_ROWS) -> DataFrame:
     """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next) for each row."""
     names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
     types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
@@ -159,6 +187,6 @@ def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str
         if held is not None:
             raise RuntimeError("a range has no guest")
 
-    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    slim = docs.select(whole_number(docs, id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    return with_ranges(slim).mapInArrow(run, schema)
+    return with_ranges(slim, range_rows).mapInArrow(run, schema)

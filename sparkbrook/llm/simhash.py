@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bk_trees import BLOCK, components, links
-from .common import written
+from .common import whole_number, written
 
 SEED = 42
 _ONES = np.uint64(0x0101010101010101)
@@ -67,7 +67,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             found = np.fromiter((fingerprint(t.as_py(), words) for t in batch.column(1)), np.uint64, batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], ["id", "fp"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), text_col).mapInArrow(run, "id long, fp long")
+    return docs.select(whole_number(docs, id_col).alias("id"), text_col).mapInArrow(run, "id long, fp long")
 
 
 def block_keys(fp: str, radius: int, blocks: int):

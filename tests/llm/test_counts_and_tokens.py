@@ -8,6 +8,7 @@ import public_tokenizers
 import pytest
 import sentencepiece
 import tokenizers
+import xxhash
 
 from sparkbrook.llm import subwords, token_counts, token_files
 from sparkbrook.llm.queries import op9_merge_dropout
@@ -128,10 +129,16 @@ def test_round_trip_over_the_table(spark):
     assert got.count() == 200 and got.where("not lossless").count() == 0
 
 
+def text_hash(text):
+    """xxhash64 of Spark, signed; of null, its seed."""
+    h = 42 if text is None else xxhash.xxh64_intdigest(text.encode(), 42)
+    return h - (1 << 64) if h >> 63 else h
+
+
 def brute_token_rows(rows):
     library = tokenizers.Tokenizer.from_file(WORD)
     start, out = 0, []
-    for i, t in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or "")):
+    for i, t in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, text_hash(r[1]))):
         ids = [*library.encode(t or "", add_special_tokens=False).ids, 2]
         out.append((i, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
         start += len(ids)
@@ -140,11 +147,17 @@ def brute_token_rows(rows):
 
 def test_token_files(spark, texts, tmp_path):
     rows = [(k * 7 % 1009, t) for k, t in enumerate(texts)] + [(None, "no id"), (2000, None), (2001, "word " * 20000)]
+    rows += [(2002, f"one id, text {k} " + "and more " * (k % 5)) for k in range(300)] + [(None, f"none {k}") for k in range(50)] + [(2003, "equal")] * 20
     df = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, ids long")
     folder = f"file://{tmp_path}/t"
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # a small table would be one range
     token_files.write_tokens(df, WORD, folder)
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     got = sorted(tuple(r) for r in token_files.token_digest(spark, folder).na.fill(-1).collect())
     assert got == sorted((-1 if i is None else i, *rest) for i, *rest in brute_token_rows(rows))
+    written = token_files.read_tokens(spark, folder)
+    assert written.groupBy("file_range", "row").count().where("count > 1").isEmpty()
+    assert written.where("doc_id = 2002").select("file_range").distinct().count() > 1  # one id is many ranges
     import pyarrow.parquet as pq
 
     f = pq.ParquetFile(next(p for p in (tmp_path / "t").glob("*.parquet") if pq.ParquetFile(p).metadata.num_rows))

@@ -4,10 +4,12 @@ import hashlib
 import math
 import random
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from sparkbrook.llm import piecewise, quality, secrets
@@ -64,12 +66,60 @@ def test_piecewise_query(spark):
     assert np.mean(near) > 0.5 and np.mean([g.near_next for g in got.values()]) < 0.1
 
 
-def test_piecewise_edges(spark, monkeypatch):
-    monkeypatch.setattr(piecewise, "RANGE_ROWS", 3)
+def text_hash(text):
+    """xxhash64 of Spark, signed."""
+    h = xxhash.xxh64_intdigest(text.encode(), 42)
+    return h - (1 << 64) if h >> 63 else h
+
+
+def plain_fingerprint(text):
+    """Byte by byte: the rolling hash of the last seven bytes, a chunk's end where its low bits are ones, a letter a chunk."""
+    data, m = text.encode(), (1 << 32) - 1
+    hashes = []
+    for end in range(len(data)):
+        h = 0
+        for k in range(min(7, end + 1)):
+            factor = 2654435761 if k == 0 else 2654435761 * 40503**k & m | 1
+            h += (data[end - k] + 1) * factor
+        h &= m
+        h ^= h >> 15
+        h = h * 2246822519 & m
+        hashes.append(h ^ h >> 13)
+
+    def signature(size):
+        out, start = "", 0
+        for end, h in enumerate(hashes, 1):
+            if h % size == size - 1 or end == len(data):
+                out += piecewise.LETTERS[zlib.crc32(data[start:end]) % 64]
+                start = end
+        return out
+
+    size = 4
+    while sum(h % size == size - 1 for h in hashes) >= 64:
+        size *= 2
+    return f"{size}:{signature(size)}:{signature(2 * size)}"
+
+
+def test_fingerprint_against_a_plain_version(spark):
+    r = random.Random(9)
+    texts = ["", "a", "abc", "é日本 \x00", "x" * 5000, "word " * 300] + ["".join(r.choices("abcde \n", k=r.randint(1, 3000))) for _ in range(30)] + [t or "" for _, t in documents(spark)[:40]]
+    for t in texts:
+        assert piecewise.fingerprint(t) == plain_fingerprint(t)
+
+
+def test_ranges_stay_small_whatever_the_ids(spark):
+    """Far-out ids, one id for many rows, and many rows without an id: no range is more than about range_rows."""
+    rows = [(i, f"t{i}") for i in range(3000)] + [(10**12, "x"), (10**18, "y")] + [(77, f"same id {i}") for i in range(2000)] + [(None, f"no id {i}") for i in range(2000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(9)
+    sizes = piecewise.with_ranges(df, 100).where("guest = 0").groupBy("range").count().collect()
+    assert sum(r["count"] for r in sizes) == len(rows) and max(r["count"] for r in sizes) <= 100
+
+
+def test_piecewise_edges(spark):
     rows = [(i, f"text {i} " * i) for i in range(0, 4000, 371)] + [(5, None), (5, "b"), (5, "b"), (None, "last"), (None, "lost"), (2 * 10**12, "far"), (-(2**63), "low"), (2**63 - 1, "high")]
     df = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, range string")
-    got = sorted((r.doc_id is None, r.doc_id or 0, r.edited_sha256) for r in piecewise.fingerprint_documents(df).collect())
-    order = sorted(((i, t or "") for i, t in rows), key=lambda r: (r[0] is None, -(r[0] or 0), r[1]))
+    got = sorted((r.doc_id is None, r.doc_id or 0, r.edited_sha256) for r in piecewise.fingerprint_documents(df, range_rows=3).collect())
+    order = sorted(((i, t or "") for i, t in rows), key=lambda r: (r[0] is None, -(r[0] or 0), text_hash(r[1])))
     expected = []
     for k, (i, t) in enumerate(order):
         after = order[(k + 1) % len(order)][1]
