@@ -18,7 +18,6 @@ from __future__ import annotations
 import json
 import re
 import unicodedata
-from bisect import bisect_right
 from collections.abc import Callable, Iterator
 from functools import cache, cached_property
 from itertools import accumulate
@@ -37,6 +36,7 @@ SPLIT_LATIN = (
 )
 #: Pre-tokens that a worker remembers at most, and the letters of the longest that it does remember.
 KNOWN_WORDS, LONG = 700_000, 48
+NEVER = 1 << 40
 SPACE = regex.compile(r"\s+")
 
 
@@ -76,15 +76,15 @@ class PrefixTable:
         as_bytes = lambda s: bytes(letters[c] for c in s)
         rank = {tuple(m if isinstance(m, list) else m.split(" ")): i for i, m in enumerate(model["merges"])}
         vocab = model["vocab"]
-        # tokens are numbered by the order in which merges make them, which is what compatibility is decided by
         number = {t: i for i, t in enumerate(t for t in vocab if len(t) == 1)}
-        self.merged: dict[tuple[int, int], int] = {}
-        self.parts: list[tuple[int, int]] = [(i, i) for i in range(len(number))]
-        for (a, b), _ in rank.items():
+        self.ranks: dict[int, int] = {}  # left << 20 | right -> rank of their merge
+        self.parts: list[tuple[int, int] | None] = [None] * len(number)
+        for (a, b), i in rank.items():
             if a + b not in number:
                 number[a + b] = len(number)
                 self.parts.append((number[a], number[b]))
-            self.merged[number[a], number[b]] = number[a + b]
+            self.ranks[number[a] << 20 | number[b]] = i
+        self.edges: dict[int, tuple[list[tuple[int, int]], list[tuple[int, int]]]] = {}
         self.ids = {as_bytes(t): n for t, n in number.items()}
         # lengths of the tokens that end in these three bytes, longest first; shorter ones may always end there
         ends: dict[bytes, set[int]] = {}
@@ -98,44 +98,35 @@ class PrefixTable:
         self.path = path
         self.pairs: dict[int, bool] = {}
         self.fixed: dict[str, bytes] = {}
-        self.totals: dict[str, int] = {}
+        self.known: dict[str, bytes] = {}
         for tail in ("re", "ve", "ll"):  # cut after its first letter, a contraction is an apostrophe and a word
             whole = self._counts(f"'{tail}")
             self.fixed[f"'{tail}"] = self._deltas([whole[0], self._counts("'")[-1] + self._counts(tail[0])[-1], whole[-1]])
 
+    def _edge(self, token: int) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
+        """What stands at the left and at the right edge of a token while its bytes are merged: pieces, each with the rank of the merge that ends it, the token itself never."""
+        found = self.edges.get(token)
+        if found is None:
+            found = ([(token, NEVER)], [(token, NEVER)])
+            for side, pieces in enumerate(found):
+                while (parts := self.parts[pieces[-1][0]]) is not None:
+                    pieces.append((parts[side], self.ranks[parts[0] << 20 | parts[1]]))
+            self.edges[token] = found
+        return found
+
     def _may_follow(self, a: int, b: int) -> bool:
-        """Whether merging the bytes of tokens a, b gives a, b: no merge across their border comes before the merges inside them."""
-        # Take the two apart, latest merge first; at each point the parts that touch the border must not merge before that.
-        until = 1 << 40
-        while True:
-            new = self.merged.get((a, b))
-            if new is not None and new < until:
-                return False
-            if a > b:
-                until = a
-                left, right = self.parts[a]
-                if left != right or right != a:
-                    a = right
-                    continue
-            else:
-                until = b + 1
-                left, right = self.parts[b]
-                if left != right or left != b:
-                    b = left
-                    continue
-            # the one taken apart last is a byte; go on with the other
-            if a > b:
-                until = b + 1
-                left, right = self.parts[b]
-                if left == right == b:
-                    return True
-                b = left
-            else:
-                until = a
-                left, right = self.parts[a]
-                if left == right == a:
-                    return True
-                a = right
+        """Whether merging the bytes of tokens a, b gives a, b: no two pieces that meet at their border merge before one of them is merged away from it.
+
+        A pair's merge comes after those that made its pieces, so ranks are times. Merges of one rank go from left to right: a piece of ``a`` that is merged to its left at
+        the very rank is gone, one of ``b`` that would be merged to its right isn't yet.
+        """
+        ranks = self.ranks.get
+        for x, x_ends in self._edge(a)[1]:
+            for y, y_ends in self._edge(b)[0]:
+                r = ranks(x << 20 | y)
+                if r is not None and r < x_ends and r <= y_ends:
+                    return False
+        return True
 
     def _table(self, data: bytes) -> list[int]:
         """The count at every byte prefix, the empty one first."""
@@ -181,22 +172,19 @@ class PrefixTable:
 
     @staticmethod
     def _deltas(counts: list[int]) -> bytes:
-        return np.diff(np.array([0, *counts], np.int64)).astype(np.int8).tobytes()
+        """Differences of counts as signed bytes; for a letter they lie between -128 and 127, being its bytes at most."""
+        return bytes([x - y & 255 for x, y in zip(counts, [0, *counts[:-1]], strict=True)])
 
     def word(self, word: str) -> bytes:
-        """Deltas of a pre-token."""
-        return self.fixed.get(word) or self._deltas(self._counts(word))
-
-    def total(self, word: str) -> int:
-        """Tokens of a pre-token, remembered."""
-        n = self.totals.get(word)
-        if n is None:
-            n = self._table(word.encode())[-1]
+        """Deltas of a pre-token, remembered."""
+        found = self.known.get(word)
+        if found is None:
+            found = self.fixed.get(word) or self._deltas(self._counts(word))
             if len(word) <= LONG:
-                if len(self.totals) >= KNOWN_WORDS:
-                    self.totals.clear()
-                self.totals[word] = n
-        return n
+                if len(self.known) >= KNOWN_WORDS:
+                    self.known.clear()
+                self.known[word] = found
+        return found
 
     def words(self, text: str) -> list[str]:
         try:
@@ -207,13 +195,6 @@ class PrefixTable:
             return self.split(text)
         return self.split_latin(text)
 
-    def sizes_of(self, words: list[str]) -> list[int]:
-        """Tokens of each pre-token."""
-        try:
-            return list(map(self.totals.__getitem__, words))
-        except KeyError:
-            return list(map(self.total, words))
-
     def segments(self, text: str) -> list[str]:
         """Text and special strings in turn."""
         if self.cut_special is None or not any(s in text for s in self.special):
@@ -225,25 +206,7 @@ class PrefixTable:
         return [*out, text[at:]]
 
     def count(self, text: str) -> int:
-        parts = self.segments(text)
-        return sum(sum(self.sizes_of(self.words(p))) for p in parts[::2]) + len(parts) // 2
-
-    def fit(self, text: str, limit: int) -> tuple[int, int]:
-        """Tokens of the text, and the code points of its longest prefix within ``limit`` tokens.
-
-        The count at the end of a pre-token never falls, so only the prefixes around the one that passes the limit are looked at.
-        """
-        if len(self.segments(text)) > 1:
-            d = self.deltas(text)
-            return sum_of(d), longest_within(d, limit)
-        words = self.words(text)
-        ends = list(accumulate(self.sizes_of(words)))
-        if not ends or ends[-1] <= limit:
-            return (ends[-1] if ends else 0), len(text)
-        at = max(0, bisect_right(ends, limit) - 1)
-        near = self._plain(words[at : at + 5])
-        near = near[: sum(map(len, words[at : at + 3]))]
-        return ends[-1], sum(map(len, words[:at])) + longest_within(near, limit - (ends[at - 1] if at else 0))
+        return sum_of(self.deltas(text))
 
     def deltas(self, text: str) -> bytes:
         """One signed byte a code point: the exact count up to it, less the count up to the one before."""
@@ -258,18 +221,23 @@ class PrefixTable:
         return b"".join(out)
 
     def _plain(self, words: list[str]) -> bytes:
-        out, owed = [], 0  # owed: what the count at the last letter lacks because cutting there splits the text otherwise
-        for i, word in enumerate(words):
-            step = self.word(word)
-            if owed or i and word[0].isspace() and words[i - 1].isspace() and SPACE.fullmatch(words[i - 1] + word[0]):
-                counts = np.cumsum(np.frombuffer(step, np.int8), dtype=np.int64)
+        try:
+            out = list(map(self.known.__getitem__, words))
+        except KeyError:
+            out = list(map(self.word, words))
+        # A cut within the white space that begins a pre-token lengthens the white space before it.
+        owed, done = 0, 0  # owed: what the count at the last letter lacks because cutting there splits the text otherwise
+        for after in [i for i, word in enumerate(words, 1) if word.isspace()]:
+            i = max(after, done)
+            while i < len(words) and (owed or i == after and words[i][0].isspace() and SPACE.fullmatch(words[i - 1] + words[i][0])):
+                counts = np.cumsum(np.frombuffer(out[i], np.int8), dtype=np.int64)
                 total, start = counts[-1], -owed
                 if not owed:
                     # cut at the end of the white space, all of it is one pre-token
-                    counts[0] = sum_of(self.word(words[i - 1] + word[0])) - sum_of(self.word(words[i - 1]))
-                step = np.diff(np.concatenate(([start], counts))).astype(np.int8).tobytes()
+                    counts[0] = sum_of(self.word(words[i - 1] + words[i][0])) - sum_of(self.word(words[i - 1]))
+                out[i] = np.diff(np.concatenate(([start], counts))).astype(np.int8).tobytes()
                 owed = int(total - counts[-1])
-            out.append(step)
+                i = done = i + 1
         return b"".join(out)
 
 
@@ -283,6 +251,7 @@ def longest_within(deltas: bytes, limit: int) -> int:
     return int(fits[-1]) + 1 if len(fits) else 0
 
 
+NAMES = ["doc_id", "n_bytes", "n_tokens", "over_limit", "fit_chars", "prefix_deltas"]
 _tables: dict[str, PrefixTable] = {}
 
 
@@ -293,27 +262,38 @@ def table(path: str) -> PrefixTable:
     return _tables[path]
 
 
-def count_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", *, limit: int = 1024, keep_prefixes: bool = False) -> DataFrame:
-    """(doc_id, n_bytes, n_tokens, over_limit, fit_chars[, prefix_deltas]) for each row.
+def count_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", *, limit: int = 1024) -> DataFrame:
+    """(doc_id, n_bytes, n_tokens, over_limit, fit_chars, prefix_deltas) for each row.
 
-    fit_chars: code points of the longest prefix within ``limit`` tokens, read off the prefix counts. prefix_deltas: the counts
-    at every prefix, as differences, one byte a code point.
+    prefix_deltas: the exact count at every prefix, as differences, one signed byte a code point; ``prefix_counts`` and ``longest_within`` read them, so that later questions of
+    budget and truncation need no encoding. fit_chars: code points of the longest prefix within ``limit`` tokens. All are read off the same differences.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = table(path)
         for batch in batches:
-            rows = []
-            for cell in batch.column(1):
-                text = cell.as_py() or ""
-                n, fits = t.fit(text, limit)
-                rows.append((len(text.encode()), n, n > limit, fits, t.deltas(text) if keep_prefixes else None))
-            cols = list(zip(*rows, strict=True)) if rows else [[]] * 5
-            arrays = [batch.column(0), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.bool_()), pa.array(cols[3], pa.int64())]
-            names = ["doc_id", "n_bytes", "n_tokens", "over_limit", "fit_chars"]
-            if keep_prefixes:
-                arrays, names = [*arrays, pa.array(cols[4], pa.binary())], [*names, "prefix_deltas"]
-            yield pa.RecordBatch.from_arrays(arrays, names)
-
-    schema = f"doc_id {docs.schema[id_col].dataType.simpleString()}, n_bytes long, n_tokens long, over_limit boolean, fit_chars long"
-    return docs.select(id_col, text_col).mapInArrow(run, schema + (", prefix_deltas binary" if keep_prefixes else ""))
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                texts = [x or "" for x in part.column(1).to_pylist()]
+                deltas = [t.deltas(x) for x in texts]
+                counts = np.fromiter(map(sum_of, deltas), np.int64, len(deltas))
+                fits = [len(d) if n <= limit else longest_within(d, limit) for d, n in zip(deltas, counts, strict=True)]
+                sizes = pa.array([len(x.encode()) for x in texts], pa.int64())
+                yield pa.RecordBatch.from_arrays([part.column(0), sizes, pa.array(counts), pa.array(counts > limit), pa.array(fits, pa.int64()), pa.array(deltas, pa.binary())], NAMES)
+
+    return docs.select(id_col, text_col).mapInArrow(run, f"doc_id {docs.schema[id_col].dataType.simpleString()}, n_bytes long, n_tokens long, over_limit boolean, fit_chars long, prefix_deltas binary")
+
+
+def prefix_counts(deltas: bytes) -> np.ndarray:
+    """Tokens of every prefix, from one code point on."""
+    return np.cumsum(np.frombuffer(deltas, np.int8), dtype=np.int64)
+
+
+def within_budget(counted: DataFrame, limit: int) -> DataFrame:
+    """(doc_id, fit_chars) of stored counts for another limit: no text, no encoding."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([longest_within(d.as_py(), limit) for d in batch.column(1)], pa.int64())], ["doc_id", "fit_chars"])
+
+    return counted.select("doc_id", "prefix_deltas").mapInArrow(run, f"doc_id {counted.schema['doc_id'].dataType.simpleString()}, fit_chars long")

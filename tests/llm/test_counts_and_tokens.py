@@ -11,7 +11,7 @@ import tokenizers
 import xxhash
 
 from sparkbrook.llm import subwords, token_counts, token_files
-from sparkbrook.llm.queries import op9_merge_dropout
+from sparkbrook.llm.queries import op1_token_counts, op9_merge_dropout, op10_token_files
 
 BYTE, WORD, PIECE = (public_tokenizers.path(x) for x in ("byte_bpe_50k.json", "word_bpe_49k.json", "piece_bpe_32k.model"))
 PARTS = ["'", "s", "re", "ll", " ", "  ", "\n", "\t", "A", "the", "ing,", "x.", "é", "ñ", "日", "12", "!", "--", "<|endoftext|>", "<|", "|>", "\xa0", "\u2003", " don't", "=", "\x1c", "😀", "́", "Σ", "İ", "\r\n", "<s>", "<0x0A>"]
@@ -37,7 +37,7 @@ def test_every_prefix_has_its_exact_count(texts, byte_library):
             counts = [count(s[: i + 1]) for i in range(len(s))]
             assert np.cumsum(np.frombuffer(t.deltas(s), np.int8), dtype=int).tolist() == counts
             for limit in (0, 1, 4):
-                assert t.fit(s, limit) == (count(s), max((i + 1 for i, c in enumerate(counts) if c <= limit), default=0))
+                assert (t.count(s), token_counts.longest_within(t.deltas(s), limit)) == (count(s), max((i + 1 for i, c in enumerate(counts) if c <= limit), default=0))
 
 
 def test_the_split_pattern_agrees_on_every_code_point(byte_library):
@@ -51,14 +51,33 @@ def test_the_split_pattern_agrees_on_every_code_point(byte_library):
 def test_token_counts_query(spark, byte_library):
     rows = [(1, "one two"), (2, None), (2, ""), (None, "<|endoftext|> x"), (4, "word " * 3000)]
     df = spark.createDataFrame([(*r, 9) for r in rows], "doc_id long, text string, n_tokens long")
-    got = {(r.doc_id, r.n_bytes): r for r in token_counts.count_tokens(df, BYTE, keep_prefixes=True).collect()}
+    got = {(r.doc_id, r.n_bytes): r for r in token_counts.count_tokens(df, BYTE).collect()}
     for i, t in rows:
         r = got[i, len((t or "").encode())]
         assert r.n_tokens == len(byte_library.encode(t or "", add_special_tokens=False).ids) and r.over_limit == (r.n_tokens > 1024)
+        assert token_counts.prefix_counts(r.prefix_deltas).tolist()[-1:] == [r.n_tokens] * bool(t) and len(r.prefix_deltas) == len(t or "")
     assert got[4, 15000].over_limit and 4000 < got[4, 15000].fit_chars < 15000
+    for limit in (1, 2, 500):
+        fits = {x.doc_id: x.fit_chars for x in token_counts.within_budget(token_counts.count_tokens(df, BYTE), limit).where("doc_id in (1, 4)").collect()}
+        for i, t in rows:
+            if i in fits:
+                size = lambda s: len(byte_library.encode(s, add_special_tokens=False).ids)
+                assert size(t[: fits[i]]) <= limit and (fits[i] == len(t) or size(t[: fits[i] + 1]) > limit)
     assert token_counts.count_tokens(df.limit(0), BYTE).count() == 0
 
 
+def test_token_counts_over_the_table(spark, byte_library):
+    docs = {r.doc_id: r.text or "" for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
+    got = {r.doc_id: r for r in op1_token_counts(spark, "/root/testdata/sf0.001").collect()}
+    ids = byte_library.encode_batch(list(docs.values()), add_special_tokens=False)
+    assert {i: (r.n_bytes, r.n_tokens, r.over_limit) for i, r in got.items()} == {i: (len(t.encode()), len(e.ids), len(e.ids) > 1024) for (i, t), e in zip(docs.items(), ids, strict=True)}
+
+
+def test_token_files_over_the_table(spark):
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
+    assert sorted(map(tuple, op10_token_files(spark, "/root/testdata/sf0.001").collect())) == sorted(brute_token_rows(rows))
+
+
 def test_without_dropout_the_pieces_are_the_librarys(texts):
     library, p = sentencepiece.SentencePieceProcessor(model_file=PIECE), subwords.Pieces(PIECE, 0.0)
     for s in texts:
