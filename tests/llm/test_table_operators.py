@@ -30,8 +30,47 @@ def test_warc_files_parse(spark, tmp_path):
     assert [bytes(r.record) for r in got] == recs
     m = {r.offset: r.length for r in fixity.manifest(fixity.records(pages)).collect() if r.file == 0}
     assert m == {r.offset: r.length for r in got}
-    with pytest.raises(ValueError, match="offset"):
-        fixity.parse_warc(b"WARC/1.0\r\n")
+    assert fixity.parse_warc(b"WARC/1.0\r\n") == [(0, 10, b"WARC/1.0\r\n")] and fixity.parse_warc(b"") == []
+
+
+def damaged_files(tmp_path, spark):
+    recs = [r.record.encode() for r in fixity.records(read(spark, SF, "pages")).orderBy("id").limit(30).collect()]
+    ours = {f"f{k}.warc": recs[10 * k : 10 * k + 10] for k in range(3)}
+    theirs = {name: list(x) for name, x in ours.items()}
+    theirs["f0.warc"][3] = b"JUNK" + theirs["f0.warc"][3][4:]  # a damaged header, the length as before
+    theirs["f1.warc"][5] = theirs["f1.warc"][5].replace(b"Content-Length", b"Content-Lenght")
+    theirs["f2.warc"].insert(4, b"stray bytes\r\n\r\n")
+    frames = []
+    for side, files in (("a", ours), ("b", theirs)):
+        (tmp_path / side).mkdir()
+        for name, x in files.items():
+            (tmp_path / side / name).write_bytes(b"".join(x))
+        frames.append(spark.read.format("binaryFile").load(f"file://{tmp_path}/{side}").select(F.element_at(F.split("path", "/"), -1).alias("path"), "content"))
+    return ours, theirs, frames
+
+
+def test_files_with_damage_are_audited_by_offset(spark, tmp_path):
+    ours, theirs, frames = damaged_files(tmp_path, spark)
+    got = sorted((r.path, r.offset, r.status) for r in fixity.audit_files(*frames).collect())
+    expected = []
+    for name, x in ours.items():
+        starts = lambda y: [(sum(map(len, y[:k])), y[k]) for k in range(len(y))]
+        a, b = starts(x), starts(theirs[name])
+        for k in range(max(len(a), len(b))):
+            if k >= len(a):
+                expected.append((name, b[k][0], "extra"))
+            else:
+                expected.append((name, a[k][0], "changed" if a[k][1] != b[k][1] else "moved" if a[k][0] != b[k][0] else "ok"))
+    assert got == sorted(expected) and {s for _, _, s in got} == {"ok", "changed", "extra"}
+
+
+def test_shifted_records_are_faults(spark):
+    ours = {i: f"r{i}" for i in range(600)}
+    theirs = dict(ours) | {4: "longer"}
+    del theirs[590]
+    a, b = (spark.createDataFrame([(i, t, 1, 2) for i, t in x.items()], "id long, record string, file long, slot long") for x in (ours, theirs))
+    got = {x.id: x.status for x in fixity.audit(a, b).collect()}
+    assert got == {i: "changed" if i == 4 else "missing" if i == 590 else "moved" if 4 < i < 512 or i > 590 else "ok" for i in ours}
 
 
 @pytest.mark.parametrize("seed", range(2))
@@ -42,6 +81,13 @@ def test_audit_against_comparing_all(spark, seed):
     a, b = (spark.createDataFrame(list(x.items()), "id long, record string") for x in (ours, theirs))
     got = {x.id: x.status for x in fixity.audit(a, b).collect()}
     expected = {i: "missing" if i not in theirs else "extra" if i not in ours else "ok" if ours[i] == theirs[i] else "changed" for i in ours | theirs}
+    starts = {}
+    for name, side in (("a", ours), ("b", theirs)):
+        at = {}
+        for i in sorted(side):
+            starts[name, i] = at.get(i // 512, 0)
+            at[i // 512] = starts[name, i] + len(side[i])
+    expected |= {i: "moved" for i, s in expected.items() if s == "ok" and starts["a", i] != starts["b", i]}
     assert got == expected
 
 
@@ -53,6 +99,11 @@ def test_audit_edges(spark):
     assert [r.status for r in fixity.audit(empty, one).collect()] == ["extra"] * 3
     pages = spark.createDataFrame([(None, "u", "h"), (1, None, None)], "page_id long, url string, html string")
     assert fixity.records(pages).count() == 1
+    many = spark.createDataFrame([(1, f"a{k}") for k in range(500)] + [(2**63 - 1, "z"), (-(2**63), "y")], "id long, record string")
+    assert {r.status for r in fixity.audit(many, many).collect()} == {"ok"}
+    assert {(r.id, r.status) for r in fixity.audit(many, many.where("record <> 'a7'")).collect()} == {(1, "changed"), (2**63 - 1, "ok"), (-(2**63), "ok")}
+    top = spark.createDataFrame([(2**63 - 1, "u", "h"), (100, "u", "h")], "page_id long, url string, html string")
+    assert fixity.planted_replica(top).count() >= 2
 
 
 # 3
