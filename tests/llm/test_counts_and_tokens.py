@@ -143,6 +143,13 @@ def test_round_trip_query(spark):
     assert subwords.encode_documents(df.limit(0), PIECE).count() == 0
 
 
+def test_copies_of_a_document_vary(spark):
+    text = "international responsibilities of understanding everything " * 3
+    df = spark.createDataFrame([(1, text)] * 4 + [(2, text)] * 2, "doc_id long, text string").coalesce(1)
+    first, again = ([(r.doc_id, tuple(r.ids)) for r in subwords.encode_documents(df, PIECE).collect()] for _ in range(2))
+    assert first == again and len(set(first)) == 6
+
+
 def test_round_trip_over_the_table(spark):
     got = op9_merge_dropout(spark, "/root/testdata/sf0.001")
     assert got.count() == 200 and got.where("not lossless").count() == 0
