@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import removed, written
 
 BLOCK, PIVOTS = 2_048, 8
 #: Shards of over one block are broadcast up to so many (about 24 bytes each), and met by a shuffle beyond.
@@ -209,9 +209,33 @@ def links(nodes: DataFrame, radius: int, *, least: bool = False, block: int = BL
 def components(edges: DataFrame) -> DataFrame:
     """(node, component): the smallest node reachable, for every node of ``edges`` (a, b) that isn't that one.
 
-    Alternates large-star and small-star until the edges are stars; each pair of steps ties every node to a smaller one or changes nothing, so it ends. Every
-    round ends in a written table, so lineage stays short and lost executors cost one round. The neighbours of a node are never gathered: only their minimum is.
+    Each round ties every node to its least neighbour, finds the components of this forest, which has an edge a node however many edges there are, and contracts all edges to
+    them, until none is left between two. A round at least halves the nodes that have edges. Rounds end in written tables, so lineage stays short and lost executors cost one round.
+    The neighbours of a node are never gathered: only their minimum is.
     """
+    now, names = written(edges.select("a", "b").distinct(), "links"), None
+    while True:
+        least = now.groupBy("a").agg(F.min("b").alias("m")).unionByName(now.groupBy("b").agg(F.min("a").alias("m")).withColumnRenamed("b", "a")).groupBy("a").agg(F.min("m").alias("m"))
+        found = stars(least.select(F.greatest("a", "m").alias("a"), F.least("a", "m").alias("b")))
+        at = lambda end: found.select(F.col("node").alias(end), F.col("component").alias(f"{end}_to"))
+        met = now.join(at("a"), "a", "left").join(at("b"), "b", "left").select(F.coalesce("a_to", "a").alias("a"), F.coalesce("b_to", "b").alias("b")).where("a <> b")
+        later = written(met.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
+        removed(now)
+        now = later
+        if names is None:
+            names = found
+        else:  # what was named before may have a smaller name now
+            moved = names.join(found.select(F.col("node").alias("component"), F.col("component").alias("to")), "component", "left").select("node", F.coalesce("to", "component").alias("component"))
+            after = written(moved.unionByName(found), "components")
+            removed(names, found)
+            names = after
+        if now.isEmpty():
+            removed(now)
+            return names
+
+
+def stars(edges: DataFrame) -> DataFrame:
+    """(node, component) of a forest, alternating large-star and small-star until its edges (a, b), a > b, are stars: each pair of steps ties nodes to smaller ones or ends."""
 
     def star(e: DataFrame, small: bool) -> DataFrame:
         """Large: every neighbour above a node is tied to the least of the node and its neighbours; small: those below."""
@@ -224,12 +248,15 @@ def components(edges: DataFrame) -> DataFrame:
             out = tied.where("m > n").select("m", "least")
         return out.where("m <> least").select(F.col("m").alias("a"), F.col("least").alias("b")).distinct()
 
-    now = written(edges.distinct(), "links")
+    now = written(edges.where("a <> b").distinct(), "stars")
     while not now.isEmpty():
-        after = written(star(star(now, False), True), "links")
+        after = written(star(star(now, False), True), "stars")
         # stars: every a has one b, and no b is an a
         held = after.groupBy("a").agg(F.count("*").alias("n")).where("n > 1").isEmpty() and after.join(after.select(F.col("a").alias("b")), "b", "left_semi").isEmpty()
+        removed(now)
         now = after
         if held:
             break
-    return now.select(F.col("a").alias("node"), F.col("b").alias("component"))
+    out = written(now.select(F.col("a").alias("node"), F.col("b").alias("component")), "components")
+    removed(now)
+    return out

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: ASCII white space: the separators of words in every operator of this package.
 WORD = r"[^\x20\x09-\x0D]+"
+_places: dict[int, tuple] = {}
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -36,7 +38,24 @@ def written(df: DataFrame, name: str, **options: str) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read again: its lineage ends there, and a lost executor costs only rereading."""
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.options(**options).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    _places[id(out)] = (weakref.ref(out), path)
+    return out
+
+
+def removed(*tables: DataFrame) -> None:
+    """Delete tables that ``written`` gave, once all that was made of them is written itself."""
+    for table in tables:
+        known, path = _places.pop(id(table), (lambda: None, ""))
+        if known() is table:
+            jvm = table.sparkSession._jvm
+            place = jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def broadcast_if_small(table: DataFrame, rows: int = 2_000_000) -> DataFrame:
+    """A written table of a few numbers a row, to be broadcast if it has at most ``rows`` rows (counted), else as it is: then Spark joins by a shuffle."""
+    return F.broadcast(table) if table.count() <= rows else table
 
 
 def whole_number(df: DataFrame, name: str) -> Column:
