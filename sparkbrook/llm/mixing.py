@@ -9,7 +9,7 @@ difference is about one of the largest documents at most).
 Scale. A prefix sum along a source would put a hot source in one task. All documents of a source have the same expected
 copies, so the sum at a document is its rank times a constant, and the rank is put together from three bounded windows:
 over the distinct sizes of a source, over the salts of one (source, size), and over the rows of one (source, size, salt).
-The number of salts grows with the table (one more for each 65,536 rows), so no window holds a hot group. Text moves at
+The number of salts is the square root of the table's rows, so a cell that holds a third of them is as many salts as each of these has rows: no window holds a hot group. Text moves at
 most once, dealt by (source, size, salt).
 
 Defined cases. Null text: size 0. Null source: a source of its own, last. Sources of size 0: target 0, nothing emitted.
@@ -19,6 +19,7 @@ table: empty result. Extra columns stay; working columns begin with ``__mix_``.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -26,11 +27,8 @@ from pyspark.sql import functions as F
 
 from .common import word_count, written
 
-ROWS_A_SALT = 65_536
-
-
-def _salt(id_col: str, salts: int) -> Column:
-    digest = F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("null")).cast("binary"))
+def _salt(id_col: str, text_col: str, salts: int) -> Column:
+    digest = F.md5(F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("null"), F.xxhash64(text_col).cast("string"))).cast("binary"))
     return F.pmod(F.conv(F.substring(digest, 1, 8), 16, 10).cast("long"), F.lit(salts))
 
 
@@ -62,11 +60,11 @@ def plan_copies(
     weights: Sequence[int] = (3, 1, 2), share: float = 1.5, cap: float = 2.0, seed: int = 17, size: Column | None = None,
 ) -> DataFrame:
     """``docs`` with __mix_size, __mix_source_size, __mix_target and __mix_copies (0 up to ``cap``, rounded up) for each row."""
-    salts = 1 + docs.count() // ROWS_A_SALT
+    salts = 1 + math.isqrt(docs.count())
     rows = docs.withColumns({
         "__mix_size": word_count(F.col(text_col)) if size is None else size,
         "__mix_key": F.coalesce(F.concat(F.lit("s"), F.col(source_col).cast("string")), F.lit("n")),
-        "__mix_salt": _salt(id_col, salts),
+        "__mix_salt": _salt(id_col, text_col, salts),
     })
     cells = written(rows.groupBy("__mix_key", "__mix_size", "__mix_salt").agg(F.count("*").alias("n")), "mix-cells")
     classes = cells.groupBy("__mix_key", "__mix_size").agg(F.sum("n").alias("n"))
@@ -115,7 +113,7 @@ def mixture(docs: DataFrame, **settings) -> DataFrame:
 MIX_SQL = r"""
 WITH d AS (
   SELECT doc_id, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size, coalesce('s' || source, 'n') AS k, source,
-         ('0x' || substr(md5(coalesce(doc_id::VARCHAR, 'null')), 1, 8))::BIGINT % (1 + (SELECT count(*) FROM documents) // 65536) AS salt
+         ('0x' || substr(md5(coalesce(doc_id::VARCHAR, 'null')), 1, 8))::BIGINT % (1 + floor(sqrt((SELECT count(*) FROM documents)))::BIGINT) AS salt
   FROM documents),
 s AS (SELECT k, source, sum(size)::BIGINT AS source_size FROM d GROUP BY ALL),
 w AS (SELECT *, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 3 WHEN 1 THEN 1 ELSE 2 END AS w,

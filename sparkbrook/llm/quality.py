@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import numbered
+
 #: Labelled rows that the forest is fitted and calibrated on, at most.
 SAMPLE_ROWS = 20_000
 TREES, SUBSAMPLE, MAX_LOSS, SEED = 100, 128, 0.002, 11
@@ -190,10 +192,11 @@ def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 def kept_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
     """``docs`` without the rows that the rules or the forest reject, in one pass without a shuffle."""
-    forest, at = fitted(docs, labels, id_col, text_col, **settings), docs.columns.index(text_col)
+    forest, at, names = fitted(docs, labels, id_col, text_col, **settings), docs.columns.index(text_col), docs.columns
+    docs = numbered(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield batch.filter(pa.array(verdicts(forest, batch.column(at))[3]))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(run, docs.schema).toDF(*names)

@@ -17,13 +17,17 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import numbered
+
 KINDS = ("assign", "access", "hex", "entropy")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")  # whole runs: 20 letters and more
@@ -112,13 +116,15 @@ def scan_text(text: str) -> list[tuple[str, int, int]]:
     found += [("access", *m.span()) for m in ACCESS.finditer(text)]
     found += [("hex", *m.span()) for m in HEX.finditer(text)]
     base = sorted((a, b) for _, a, b in found)
+    starts, reach = [a for a, _ in base], list(accumulate((b for _, b in base), max))
     for m in CANDIDATE.finditer(text):
         run = m[0]
         if ALLOWED.fullmatch(run):
             continue
         for a, b in grown_spans(run):
             a, b = a + m.start(), b + m.start()
-            if not any(x <= a and b <= y for x, y in base):
+            k = bisect_right(starts, a)
+            if not k or reach[k - 1] < b:
                 found.append(("entropy", a, b))
     return sorted(found, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 
@@ -161,6 +167,7 @@ def redacted(docs: DataFrame, text_col: str = "text", length_col: str | None = "
     """``docs`` with secrets replaced in the text, and ``length_col`` set to its new number of code points where it changed."""
     names, at = docs.columns, docs.columns.index(text_col)
     length = names.index(length_col) if length_col in names else None
+    docs = numbered(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -173,4 +180,4 @@ def redacted(docs: DataFrame, text_col: str = "text", length_col: str | None = "
                 columns[length] = pa.array([n if a == b else len(b) for n, a, b in zip(sizes, old, new, strict=True)], batch.schema.field(length).type)
             yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(run, docs.schema).toDF(*names)

@@ -143,6 +143,26 @@ def base_spans(text):
     return sorted(out, key=lambda s: (s[1], ["assign", "access", "hex"].index(s[0])))
 
 
+def test_recall_of_planted_keys():
+    """Random keys of each alphabet, from the window's 20 letters on, are found whole in nearly all cases."""
+    import string
+
+    r = random.Random(3)
+    alphabets = {"both cases": string.ascii_letters + string.digits, "lower": string.ascii_lowercase + string.digits, "base32": string.ascii_uppercase + "234567", "hex": "0123456789ABCDEF", "base64": string.ascii_letters + string.digits + "+/"}
+    for letters in alphabets.values():
+        for n, least in ((20, 0.92), (32, 0.96)):
+            found = 0
+            for _ in range(200):
+                key = "".join(r.choices(letters, k=n))
+                text = f"the key is {key} and so on"
+                found += any(a <= 11 and b >= 11 + n for _, a, b in secrets.scan_text(text))
+            assert found >= least * 200
+    assert secrets.scan_text("see " + "/".join(["docs", "example", "A8d9Kq27LmZx04TbVcYwR5uEs1HjP6n"]))[0][0] == "entropy"
+    many = " ".join(f"token={k:06d}abc" for k in range(20_000)) + " A8d9Kq27LmZx04TbVcYwR5uEs1HjP6n"  # long texts with many spans
+    spans = secrets.scan_text(many)
+    assert len(spans) == 20_001 and spans[-1][0] == "entropy"
+
+
 def test_secret_base_against_the_contract(spark):
     r = random.Random(5)
     parts = ["password", "Token", "api_key", "APIKEY", "ſecret", "secret", "=", ":", " ", '"', "'", "abcdef", "12", "AKIA", "ABCDEFGH12345678", "0123456789abcdef", "deadbeef", "é", "/", "-", "to\u212aen", "tOken"]
