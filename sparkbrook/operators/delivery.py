@@ -11,16 +11,24 @@ from .running import running
 SENT, FAIL, SKIP, RETRY, BATCH, ASYNC = 0, -1, -2, -3, -4, -5
 
 
-def committed(results: DataFrame, by: list[str] | None = None, pos: str = "pos", code: str = "code") -> DataFrame:
-    """With ``commits`` and ``cp``: the position after each message. Every result commits but BATCH, which holds until the next one that does, ASYNC, which
-    waits for its acknowledgement, and RETRY; FAIL commits too: the message is given up. A message that no matcher took has a null code and commits.
-    A failure while messages are held doesn't let them go: only SENT does."""
+def committed(results: DataFrame, by: list[str] | None = None, pos: str = "pos", code: str = "code", acked: str | None = None) -> DataFrame:
+    """With ``commits`` and ``cp``: the position after each message.
+
+    BATCH holds until the next SENT; RETRY doesn't commit. ASYNC commits by its acknowledgement (column ``acked``, if there is one): from the first that isn't acknowledged on nothing
+    commits. A fatal code (above 0) ends the output: neither it nor anything after it commits. FAIL commits, the message is given up, but it doesn't let held ones go. A message
+    that no matcher took has a null code and commits.
+    """
     keys = by or []
+    done = F.coalesce(F.col(acked), F.lit(False)) if acked else F.lit(False)
+    ended = (F.col(code) > 0) | ((F.col(code) == ASYNC) & ~done)
     turn = F.when(F.col(code) == BATCH, True).when(F.col(code) == SENT, False)
-    rows = running(results, F.when(turn.isNotNull(), F.struct(F.col(pos).alias("at"), turn.alias("on"))), "__held", pos=pos, by=keys, fold="max")
-    blocked = F.coalesce(F.col(code).isin(BATCH, ASYNC, RETRY), F.lit(False))
-    rows = rows.withColumn("commits", ~F.coalesce(F.col("__held")["on"], F.lit(False)) & ~blocked).drop("__held")
-    return running(rows, F.when(F.col("commits"), F.col(pos)), "cp", pos=pos, by=keys, fold="max")
+    # what turned the hold last decides; an end stands after all turns
+    at = F.when(ended, F.struct(F.lit(2**63 - 1).alias("at"), F.lit(True).alias("on"))).when(turn.isNotNull(), F.struct(F.col(pos).cast("long").alias("at"), turn.alias("on")))
+    rows = running(results, at, "__held", pos=pos, by=keys, fold="max")
+    over = F.coalesce(F.col("__held")["at"] == 2**63 - 1, F.lit(False))
+    held = F.coalesce(F.col("__held")["on"], F.lit(False))
+    commits = F.when(over, False).when(F.col(code) == ASYNC, True).otherwise(~held & ~F.coalesce(F.col(code).isin(BATCH, RETRY), F.lit(False)))
+    return running(rows.withColumn("commits", commits).drop("__held"), F.when(F.col("commits"), F.col(pos)), "cp", pos=pos, by=keys, fold="max")
 
 
 def commit_latest(acks: DataFrame, by: list[str]) -> DataFrame:

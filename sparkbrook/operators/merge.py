@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .running import running
@@ -24,13 +24,22 @@ def merge_oldest_first(messages: DataFrame, queue: str = "queue", ns: str = "tim
     return heads(messages, queue, ns, pos).orderBy(*delivery_key(queue, pos))
 
 
-def delivery_order(messages: DataFrame, queue: str = "queue", ns: str = "timestamp_ns", pos: str = "pos", second: int = 3_600_000_000_000) -> DataFrame:
-    """With ``seq``, the place in the delivery from 1 on: counted by spans of ``second`` nanoseconds of the heads, then within each."""
-    rows = heads(messages, queue, ns, pos).withColumn("__span", F.floor(F.col("head_ns") / second))
-    spans = rows.groupBy("__span").agg(F.count("*").alias("n"))
-    starts = spans.select("__span", F.coalesce(F.sum("n").over(Window.orderBy("__span").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__start"))
-    within = Window.partitionBy("__span").orderBy(*delivery_key(queue, pos))
-    return rows.join(starts, "__span").withColumn("seq", F.col("__start") + F.row_number().over(within)).drop("__span", "__start")
+def delivery_order(messages: DataFrame, queue: str = "queue", ns: str = "timestamp_ns", pos: str = "pos", span: int = 10_000_000_000) -> DataFrame:
+    """With ``seq``, the place in the delivery from 1 on.
+
+    A message's place is its number in its own queue and the messages of the other queue that go before its head. Along a queue heads only rise, so the second is a number for each
+    distinct head: heads with their counts are summed up along time, in blocks of ``span`` nanoseconds, and what comes out is carried along the queue by a running maximum. So
+    neither a far timestamp, which makes one head of all that follows, nor a busy hour puts the stream in one task.
+    """
+    rows = running(heads(messages, queue, ns, pos), F.lit(1), "__rank", pos=pos, by=[queue], fold="count")
+    groups = rows.groupBy(queue, "head_ns").agg(F.min(pos).alias(pos), F.min("__rank").alias("__first"), F.count("*").alias("__n"))
+    first_served = F.col(queue) == "input"
+    by_head = groups.groupBy("head_ns").agg(F.sum("__n").alias("__n"), F.sum(F.when(first_served, F.col("__n")).otherwise(0)).alias("__inputs"))
+    before = running(by_head, F.col("__n"), "__before", pos="head_ns", before=True, block=span).select("head_ns", "__before", "__inputs")
+    shift = F.col("__before") + F.when(first_served, 0).otherwise(F.col("__inputs")) - F.col("__first") + 1
+    shifts = groups.join(before, "head_ns").select(queue, pos, shift.alias("__shift"))
+    marked = running(rows.join(shifts, [queue, pos], "left"), F.col("__shift"), "__others", pos=pos, by=[queue], fold="max")
+    return marked.withColumn("seq", F.col("__others") + F.col("__rank")).drop("__rank", "__shift", "__others")
 
 
 def fifo(messages: DataFrame) -> DataFrame:

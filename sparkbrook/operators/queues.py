@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -14,22 +15,34 @@ def rolled(messages: DataFrame, limit: int, *, size: Column, pos: str = "pos", b
     """(pos, file_id, offset) of each message in its queue: a file is left after the message that brings it to ``limit`` bytes.
 
     The overshoot of a file is not carried over, so places can't be had by dividing a running sum. A queue has one writer, and this is its
-    sorted pass: positions and sizes only, batch by batch, with two numbers of state.
+    sorted pass: positions and sizes only, batch by batch, with two numbers of state; a step for each file, not for each message.
     """
     keys = by or ["queue"]
 
     def run(batches):
-        state: tuple = (None, 0, 0)
+        state: tuple = (None, 0, 0)  # queue, file, bytes in it
         for batch in batches:
-            out = []
-            for row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                key, at, n = row[:-2], row[-2], row[-1]
-                last, id_, off = state if state[0] == key else (key, 0, 0)
-                out.append((*key, at, id_, off))
-                off += n
-                state = (key, id_ + 1, 0) if off >= limit else (key, id_, off)
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*out, strict=True)], [*keys, "pos", "file_id", "offset"])
+            names = list(zip(*[c.to_pylist() for c in batch.columns[:-2]], strict=True))
+            sizes = batch.column(batch.num_columns - 1).to_numpy(zero_copy_only=False)
+            cuts = [0, *(i for i in range(1, len(names)) if names[i] != names[i - 1]), len(names)]
+            file_ids, offsets = np.empty(len(names), np.int64), np.empty(len(names), np.int64)
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                if a == b:
+                    continue
+                _, id_, off = state if state[0] == names[a] else (names[a], 0, 0)
+                ends = np.cumsum(sizes[a:b])  # bytes after each message, from the first one of this stretch on
+                start, base = 0, -off  # a file's first message here, and the bytes before the file's beginning
+                while start < len(ends):
+                    full = int(np.searchsorted(ends, base + limit))  # the message that brings the file to the limit
+                    last = min(full + 1, len(ends))
+                    file_ids[a + start : a + last] = id_
+                    offsets[a + start : a + last] = ends[start:last] - sizes[a + start : a + last] - base
+                    if full == len(ends):
+                        break
+                    start, base, id_ = last, int(ends[full]), id_ + 1
+                state = (names[a], id_, int(ends[-1]) - base)
+            if names:
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(file_ids), pa.array(offsets)], [*keys, "pos", "file_id", "offset"])
 
     slim = messages.select(*keys, F.col(pos).cast("long").alias("pos"), size.cast("long").alias("size"))
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in slim.schema if f.name in keys) + ", pos long, file_id long, offset long"

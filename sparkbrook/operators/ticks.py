@@ -22,32 +22,42 @@ def clocked(messages: DataFrame, ns: str = "timestamp_ns", pos: str = "pos") ->
     return running(messages, seconds(F.col(ns)), "clk", pos=pos, fold="max")
 
 
-def triggers(clocked_messages: DataFrame, interval: int, pos: str = "pos") -> DataFrame:
-    """(clk, pos) of the messages after which a tick fires."""
+def clock_seconds(clocked_messages: DataFrame, interval: int, pos: str = "pos") -> DataFrame:
+    """(clk, pos, window_id, fires) of each distinct second of the clock: its first message, the ticks before it, and whether one follows that message."""
     if interval <= 0:
         raise ValueError("a ticker interval is positive")
     firsts = clocked_messages.groupBy("clk").agg(F.min(pos).alias(pos))  # the first message of each second of the clock
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        due = 0
+        due, ticks = 0, 0
         for batch in batches:
-            fired = []
-            for i, clk in enumerate(batch.column(0).to_pylist()):
+            fires, before = [], []
+            for clk in batch.column(0).to_pylist():
+                before.append(ticks)
+                fires.append(clk >= due)
                 if clk >= due:
-                    fired.append(i)
-                    due = clk + interval
-            yield batch.take(pa.array(fired, pa.int32()))
+                    due, ticks = clk + interval, ticks + 1
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(before, pa.int64()), pa.array(fires)], ["clk", "pos", "window_id", "fires"])
 
     seconds_seen = firsts.select(F.col("clk").cast("long").alias("clk"), F.col(pos).cast("long").alias("pos"))
-    return seconds_seen.repartition(1).sortWithinPartitions("clk").mapInArrow(run, "clk long, pos long")
+    return seconds_seen.repartition(1).sortWithinPartitions("clk").mapInArrow(run, "clk long, pos long, window_id long, fires boolean")
+
+
+def triggers(clocked_messages: DataFrame, interval: int, pos: str = "pos") -> DataFrame:
+    """(clk, pos) of the messages after which a tick fires."""
+    return clock_seconds(clocked_messages, interval, pos).where("fires").select("clk", "pos")
 
 
 def windowed(messages: DataFrame, interval: int, ns: str = "timestamp_ns", pos: str = "pos") -> DataFrame:
-    """With ``clk``, ``fires`` (a tick follows the message) and ``window_id``: ticks before it."""
-    timed = clocked(messages, ns, pos)
-    fired = triggers(timed, interval, pos).select(F.col("pos").alias(pos), F.lit(True).alias("__fires"))
-    marked = timed.join(fired, pos, "left").withColumn("fires", F.coalesce("__fires", F.lit(False))).drop("__fires")
-    return running(marked, F.col("fires").cast("long"), "window_id", pos=pos, before=True)
+    """With ``clk``, ``fires`` (a tick follows the message) and ``window_id``: ticks before it.
+
+    All messages of a second of the clock lie in the window of its first one or, after a tick, in the next: the seconds are met with the messages, which Spark does by
+    broadcast while they are few, by its own measure of their size.
+    """
+    seconds_seen = clock_seconds(clocked(messages.select(pos, ns), ns, pos), interval, pos).select("clk", F.col("pos").alias("__first"), F.col("window_id").alias("__window"), F.col("fires").alias("__fires"))
+    met = clocked(messages, ns, pos).join(seconds_seen, "clk")
+    after = F.col("__fires") & (F.col(pos) > F.col("__first"))
+    return met.withColumns({"fires": F.col("__fires") & (F.col(pos) == F.col("__first")), "window_id": F.col("__window") + after.cast("long")}).drop("__first", "__window", "__fires")
 
 
 def tick_counts(windowed_messages: DataFrame, matcher=None, pos: str = "pos") -> DataFrame:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import general_number
+from .running import running
 
 LINE = r"(\d+) \[debug\] [A-Za-z0-9_.]+ ([A-Z]+_TIMER):(.+)"
 
@@ -19,12 +20,15 @@ def timer_lines(lines: DataFrame, column: str = "value", pos: str = "pos") -> Da
 def pairs(lines: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Completed timers: (name, pos, delta). A START while open and an END while closed are passed over.
 
-    Of a run of equal prefixes only the first counts, which is what a state per name would do; so a timer needs no state, only what came before it.
+    Of a run of equal prefixes only the first counts, which is what a state per name would do; so a timer needs no state, only what came before it. That is carried
+    along positions in blocks, so a name that most lines bear isn't one task.
     """
     keys = by or ["name"]
-    order = Window.partitionBy(*keys).orderBy("pos")
-    change = lines.withColumn("__last", F.lag("prefix").over(order)).where("__last is null or __last <> prefix")
-    return change.withColumns({"__from": F.lag("ns").over(order)}).where("prefix = 'END_TIMER' and __from is not null").select(*keys, "pos", (F.col("ns") - F.col("__from")).alias("delta"))
+    here = F.struct("pos", "prefix", "ns")
+    last = running(lines, here, "__last", by=keys, fold="max", before=True)
+    change = last.where(F.col("__last").isNull() | (F.col("__last")["prefix"] != F.col("prefix"))).drop("__last")
+    paired = running(change, here, "__from", by=keys, fold="max", before=True)
+    return paired.where("prefix = 'END_TIMER' and __from is not null").select(*keys, "pos", (F.col("ns") - F.col("__from")["ns"]).alias("delta"))
 
 
 def report(lines: DataFrame, by: list[str] | None = None) -> DataFrame:

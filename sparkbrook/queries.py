@@ -464,21 +464,23 @@ def async_commit_contiguous(spark: SparkSession, sf_dir: str) -> DataFrame:
     return delivery.commit_contiguous(_acks(spark, sf_dir), ["plugin"])
 
 
-_CODES = "CASE user_id % 9 WHEN 0 THEN 0 WHEN 1 THEN -1 WHEN 2 THEN -4 WHEN 3 THEN -5 WHEN 4 THEN NULL ELSE -2 END"
+_CODES = "CASE WHEN event_id % 4001 = 4000 THEN 1 WHEN user_id % 9 = 0 THEN 0 WHEN user_id % 9 = 1 THEN -1 WHEN user_id % 9 = 2 THEN -4 WHEN user_id % 9 = 3 THEN -5 WHEN user_id % 9 = 4 THEN NULL ELSE -2 END"
 
 
 def _results(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("user_id") % 9
-    code = F.when(k == 0, 0).when(k == 1, -1).when(k == 2, -4).when(k == 3, -5).when(k == 4, F.lit(None)).otherwise(-2)
-    return read(spark, sf_dir, "events").select(F.col("event_type").alias("plugin"), F.col("event_id").alias("pos"), code.alias("code"))
+    code = F.when(F.col("event_id") % 4001 == 4000, 1).when(k == 0, 0).when(k == 1, -1).when(k == 2, -4).when(k == 3, -5).when(k == 4, F.lit(None)).otherwise(-2)
+    return read(spark, sf_dir, "events").select(F.col("event_type").alias("plugin"), F.col("event_id").alias("pos"), code.alias("code"), (F.col("event_id") % 499 != 77).alias("acked"))
 
 
-@query(f"""WITH r AS (SELECT event_type AS plugin, event_id AS pos, {_CODES} AS code FROM events),
-h AS (SELECT *, coalesce(last_value(CASE code WHEN -4 THEN 1 WHEN 0 THEN 0 END IGNORE NULLS) OVER (PARTITION BY plugin ORDER BY pos), 0) = 1 AS held FROM r),
-c AS (SELECT *, NOT held AND coalesce(code NOT IN (-4, -5, -3), true) AS commits FROM h)
+@query(f"""WITH r AS (SELECT event_type AS plugin, event_id AS pos, {_CODES} AS code, event_id % 499 <> 77 AS acked FROM events),
+e AS (SELECT plugin, min(pos) AS stop FROM r WHERE code > 0 OR (code = -5 AND NOT acked) GROUP BY plugin),
+h AS (SELECT r.*, coalesce(pos >= stop, false) AS ended,
+             coalesce(last_value(CASE code WHEN -4 THEN 1 WHEN 0 THEN 0 END IGNORE NULLS) OVER (PARTITION BY plugin ORDER BY pos), 0) = 1 AS held FROM r LEFT JOIN e USING (plugin)),
+c AS (SELECT *, NOT ended AND (coalesce(code = -5, false) OR (NOT held AND coalesce(code NOT IN (-4, -3), true))) AS commits FROM h)
 SELECT plugin, pos, commits, max(CASE WHEN commits THEN pos END) OVER (PARTITION BY plugin ORDER BY pos) AS cp FROM c""")
 def batch_commit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return delivery.committed(_results(spark, sf_dir), ["plugin"]).select("plugin", "pos", "commits", "cp")
+    return delivery.committed(_results(spark, sf_dir), ["plugin"], acked="acked").select("plugin", "pos", "commits", "cp")
 
 
 @query(f"WITH r AS (SELECT event_type AS plugin, event_id AS pos, {_CODES} AS code FROM events) SELECT plugin, count(*) AS n_lost, max(pos) AS last_pos FROM r WHERE code = -1 GROUP BY plugin")

@@ -1,3 +1,4 @@
+from pyspark.sql import functions as F
 import pytest
 
 from sparkbrook.functions.lua_patterns import to_regex
@@ -41,3 +42,10 @@ def test_lua_patterns(lua, java):
 def test_lua_patterns_refused(lua):
     with pytest.raises(ValueError, match="."):
         to_regex(lua)
+
+
+def test_quantifiers_of_lua(spark):
+    """A quantifier counts right after a letter, class or set only; elsewhere it is a letter."""
+    cases = [("a-b", "aab", True), ("(a)-", "a-", True), ("(a)-$", "a", False), ("a+?", "a?", True), ("^a+?$", "aa", False), ("*a", "*a", True), ("^*a", "a", False), ("%d+%.?%d*$", "12.5", True), ("[ab]*c", "abc", True), ("^%-?x", "-x", True), ("a$b", "a$b", True), ("x|y", "x|y", True)]
+    for pattern, text, expected in cases:
+        assert spark.createDataFrame([(text,)], "t string").where(F.col("t").rlike(to_regex(pattern))).count() == int(expected), (pattern, text)

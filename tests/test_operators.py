@@ -7,13 +7,34 @@ from sparkbrook.operators import delivery, merge, plugins, queues, routing, tick
 from sparkbrook.operators.running import running
 from sparkbrook.plans.config import OperatorSpec
 
-TIMER_LOG = "START foo 0,END foo 123,START foo 0,END foo 100,START foo 0,END foo 110,START foo 0,END foo 105,START bar 0,END bar 24,START widget 0,END widget 50,START widget 0,END widget 60,END widget 60,START widget 0,START widget 0"
-
-
 def test_timer_report(spark):
-    rows = [(i, f"{ns} [debug] input.test {kind}_TIMER:{name}") for i, (kind, name, ns) in enumerate(x.split() for x in TIMER_LOG.split(","))]
-    lines = timers.timer_lines(spark.createDataFrame([*rows, (99, "5 [info] input.test START_TIMER:no")], "pos long, value string"))
-    assert {tuple(r) for r in timers.report_tsv(timers.report(lines)).collect()} == {("bar", 1, "24", "24", "24", "0"), ("widget", 2, "50", "60", "55", "7.07107"), ("foo", 4, "100", "123", "109.5", "9.88264")}
+    def line(pos, ns, kind, name):
+        return pos, f"{ns} [debug] input.test {kind}_TIMER:{name}"
+
+    rows = [
+        line(0, 1000, "START", "parse"), line(1, 1040, "END", "parse"),
+        line(2, 2000, "START", "send"), line(3, 2005, "START", "send"), line(4, 2020, "END", "send"), line(5, 2070, "END", "send"),
+        line(6, 3000, "START", "parse"), line(7, 3046, "END", "parse"), line(8, 4000, "END", "only ends"), line(9, 5000, "START", "only starts"),
+        (99, "5 [info] input.test START_TIMER:no"),
+    ]
+    lines = timers.timer_lines(spark.createDataFrame(rows, "pos long, value string"))
+    got = {tuple(r) for r in timers.report_tsv(timers.report(lines)).collect()}
+    assert got == {("parse", 2, "40", "46", "43", "4.24264"), ("send", 1, "20", "20", "20", "0"), ("only starts", 0, None, None, None, None)}
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_timer_pairs_by_a_state_machine(spark, seed):
+    r = random.Random(seed)
+    rows = [(i * r.choice((1, 70_000)) + i, i * 10 + r.randrange(10), r.choice(("START_TIMER", "END_TIMER")), r.choice("ab")) for i in range(200)]
+    rows = list({x[0]: x for x in rows}.values())
+    open_at, expected = {}, set()
+    for pos, ns, prefix, name in sorted(rows):
+        if prefix == "START_TIMER":
+            open_at.setdefault(name, ns)
+        elif name in open_at:
+            expected.add((name, pos, ns - open_at.pop(name)))
+    got = timers.pairs(spark.createDataFrame(rows, "pos long, ns long, prefix string, name string")).collect()
+    assert {tuple(x) for x in got} == expected
 
 
 def test_large_nanoseconds_stay_whole(spark):
@@ -59,7 +80,7 @@ def test_merge_against_two_readers(spark, seed):
         q = "input" if a and (not b or a[0][1] <= b[0][1]) else "analysis"
         expected.append((q, todo[q].pop(0)[0]))
     df = spark.createDataFrame(data, "queue string, pos long, timestamp_ns long")
-    assert [(x.queue, x.pos) for x in merge.delivery_order(df, second=7).orderBy("seq").collect()] == expected
+    assert [(x.queue, x.pos) for x in merge.delivery_order(df, span=7).orderBy("seq").collect()] == expected
     assert [(x.queue, x.pos) for x in merge.merge_oldest_first(df).collect()] == expected
 
 
@@ -74,10 +95,47 @@ def test_backpressure_rises_holds_and_releases(spark):
     assert [x.throttled for x in queues.backpressure(df, lag=5).orderBy("step").collect()] == [False, True, True, True, False, True]
 
 
-def test_commit_rules(spark):
-    codes = [0, delivery.BATCH, None, delivery.FAIL, 0, delivery.ASYNC, delivery.FAIL, delivery.RETRY, 0]
-    df = spark.createDataFrame(list(enumerate(codes)), "pos long, code int")
-    assert [x.cp for x in delivery.committed(df).orderBy("pos").collect()] == [0, 0, 0, 0, 4, 4, 6, 6, 8]
+def commit_state_machine(rows):
+    """(pos, code, acked) in order: the position after each, as one output would keep it."""
+    cp, batching, ended, out = None, False, False, []
+    for pos, code, acked in rows:
+        if not ended:
+            if code is not None and code > 0 or code == delivery.ASYNC and not acked:
+                ended = True
+            elif code == delivery.ASYNC:
+                cp = pos
+            else:
+                batching = code == delivery.BATCH or batching and code != delivery.SENT
+                if not batching and code != delivery.RETRY:
+                    cp = pos
+        out.append(cp)
+    return out
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_commit_rules(spark, seed):
+    fixed = [[0, delivery.ASYNC, 0, 1, 0], [0, delivery.BATCH, None, delivery.FAIL, 0, delivery.FAIL, delivery.RETRY, 0], [0, 0, 7, 0], [None, delivery.SKIP, delivery.BATCH, 1]]
+    r = random.Random(seed)
+    codes = fixed[seed] + [r.choice((0, 0, None, -1, -2, -3, -4, -5)) for _ in range(60 if seed % 2 else 0)]
+    rows = [(i, c, r.random() < 0.97 if seed % 2 else None) for i, c in enumerate(codes)]
+    df = spark.createDataFrame(rows, "pos long, code int, acked boolean")
+    got = [x.cp for x in delivery.committed(df, acked="acked").orderBy("pos").collect()]
+    assert got == commit_state_machine(rows)
+    if not seed:
+        assert got == [0, 0, 0, 0, 0]
+
+
+def test_a_far_timestamp_splits(spark):
+    """One message far in the future makes one head of all that follows; places stay right and no block holds the stream."""
+    r = random.Random(5)
+    rows = [(r.choice(("input", "analysis")), i, 10**18 + i * 10**9 if i != 50 else 4 * 10**18) for i in range(3000)]
+    df = spark.createDataFrame(rows, "queue string, pos long, timestamp_ns long")
+    got = {(x.queue, x.pos): x.seq for x in merge.delivery_order(df).collect()}
+    heads, expected = {}, []
+    for q, pos, ns in rows:
+        heads[q] = max(heads.get(q, 0), ns)
+        expected.append((heads[q], q != "input", pos, q))
+    assert got == {(q, pos): k for k, (_, _, pos, q) in enumerate(sorted(expected), 1)}
 
 
 def test_acknowledgements_out_of_order(spark):

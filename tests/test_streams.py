@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sparkbrook.functions.matcher import compile_matcher
-from sparkbrook.operators import ticks
+from sparkbrook.operators import delivery, ticks
 from sparkbrook.operators.delivery import FAIL, RETRY, SENT
 from sparkbrook.plans.config import EngineConfig, operator
 from sparkbrook.plans.engine import Engine, counter
@@ -14,7 +14,7 @@ from sparkbrook.sources.codec import decode, encode, frame, frames
 from sparkbrook.sources.queue_files import FramedSource, QueueWriter, next_id, queue_ids, read_queue
 from sparkbrook.sources.tcp import FramedServer, send
 from sparkbrook.sources.text_files import lines_with_offsets, multiline, timer_log
-from sparkbrook.streaming.delivery import sink, stop, triggered
+from sparkbrook.streaming.delivery import Acknowledgements, Fatal, sink, stop, triggered
 from sparkbrook.streaming.ticks import event_windows, tick_stream
 from test_config import NEEDED
 
@@ -147,6 +147,44 @@ def test_lines_have_byte_offsets(spark, tmp_path):
     assert timer_log(spark, str(tmp_path / "t.log")).count() == 2
     (tmp_path / "m.log").write_text("# T: 1\na\n# T: 2\nb\n")
     assert multiline(spark, str(tmp_path / "m.log"), "^# T:").count() == 2
+    (tmp_path / "n.log").write_text("head\n# T: 1\na\n\nb\n# T: 2\nc")
+    assert sorted((r.offset, r.record) for r in multiline(spark, str(tmp_path / "n.log"), "^# T:").collect()) == [(5, "# T: 1\na\n\nb"), (17, "# T: 2\nc")]
+    (tmp_path / "b.log").write_text("a|b||c|")
+    assert [(r.pos, r.offset, r.value) for r in lines_with_offsets(spark, str(tmp_path / "b.log"), delimiter="|").orderBy("pos").collect()] == [(0, 0, "a"), (1, 2, "b"), (3, 5, "c")]
+
+
+def test_a_large_file_is_many_tasks_with_right_offsets(spark, tmp_path):
+    lines = [f"line {k} " + "é" * (k % 50) for k in range(20_000)]
+    (tmp_path / "l.log").write_text("\n".join(lines), encoding="utf-8")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64k")
+    try:
+        got = lines_with_offsets(spark, str(tmp_path / "l.log")).orderBy("pos").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    at = 0
+    for k, (line, r) in enumerate(zip(lines, got, strict=True)):
+        assert (r.pos, r.offset, r.value) == (k, at, line)
+        at += len(line.encode()) + 1
+
+
+def test_a_sink_loses_nothing(spark, tmp_path):
+    df = spark.range(3)
+    with pytest.raises(Fatal):
+        sink(lambda b, i: delivery.RETRY, wait=0.0, tries=2)(df, 0)
+    sink(lambda b, i: delivery.RETRY, str(tmp_path / "dead"), wait=0.0, tries=2)(df, 0)
+    assert spark.read.parquet(str(tmp_path / "dead")).count() == 3
+    with pytest.raises(Fatal):
+        sink(lambda b, i: delivery.BATCH)(df, 0)
+    acks, asked = Acknowledgements(), []
+
+    def settled(i):
+        asked.append(i)
+        if len(asked) == 3:
+            acks.acknowledge(i)
+        return acks.settled(i)
+
+    sink(lambda b, i: delivery.ASYNC, settled=settled, wait=0.0)(df, 7)
+    assert asked == [7, 7, 7] and acks.settled(6) and not acks.settled(8)
 
 
 def test_sinks(spark, tmp_path):
