@@ -149,15 +149,20 @@ def local_time_ns(text: Column) -> Column:
     return F.unix_micros(F.try_to_timestamp(text, F.lit("dd/MMM/yyyy:HH:mm:ss Z"))) * 1000
 
 
+def seconds_ns(msec: Column) -> Column:
+    """Nanoseconds of a web server's ``$msec``, seconds with milliseconds: taken to whole milliseconds, as the log has them."""
+    return F.round(msec * 1000).cast("long") * 1_000_000
+
+
 def access_fields(text: Column, log_format: str, keep_time: bool = True) -> Column:
-    """The variables as an array of fields, with units and formats; the local time becomes the field ``time`` in nanoseconds, or is left to the header."""
+    """The variables as an array of fields, with units and formats; the local time, or ``$msec``, becomes the field ``time`` in nanoseconds, or is left to the header."""
     _, names = access_format(log_format)
     decoded = access_log(text, log_format)
     out = []
     for name in names:
-        if name == "time_local":
+        if name in ("time_local", "msec"):
             if keep_time:
-                out.append(field("time", local_time_ns(decoded[name]), DOUBLE))
+                out.append(field("time", local_time_ns(decoded[name]) if name == "time_local" else seconds_ns(decoded[name]), DOUBLE))
         else:
             out.append(field(name, decoded[name], DOUBLE if name in NUMBERS else STRING, REPRESENTATIONS.get(name)))
     return F.when(decoded.isNotNull(), F.array(*out))

@@ -58,3 +58,18 @@ def utilization_report(totals: DataFrame) -> DataFrame:
 def input_rows(plugin: Column, messages: Column) -> list[Column]:
     """Columns of a utilization row of an input, which has no shares: -1."""
     return [plugin.alias("plugin"), messages.alias("messages"), *[F.lit(-1).alias(c) for c in ("utilization", "mm", "pm", "te")]]
+
+
+def plugin_report(calls: DataFrame) -> DataFrame:
+    """The plugin report (PLUGIN_COLUMNS) from calls: plugin, seq, kind (inject, match, process or timer), code, bytes, memory, output, instructions, ns.
+
+    Counts and times of each kind; times in whole nanoseconds, 0 where there is nothing to measure.
+    """
+    of = lambda kind, x: F.when(F.col("kind") == kind, x)
+    whole = lambda x: F.coalesce(F.floor(x), F.lit(0)).cast("long")
+    times = [f(of(kind, F.col("ns"))) for kind in ("match", "process", "timer") for f in (F.avg, F.stddev_samp)]
+    values = [
+        F.count(of("inject", F.lit(1))), F.coalesce(F.sum(of("inject", F.col("bytes"))), F.lit(0)), F.count(of("process", F.lit(1))), F.count_if((F.col("kind") == "process") & (F.col("code") < 0)),
+        F.max_by("memory", "seq"), F.max("memory"), F.max("output"), F.max("instructions"), *map(whole, times),
+    ]
+    return calls.groupBy(F.col("plugin").alias(PLUGIN_COLUMNS[0])).agg(*[v.alias(name) for v, name in zip(values, PLUGIN_COLUMNS[1:], strict=True)])

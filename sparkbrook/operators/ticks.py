@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import seconds
@@ -74,3 +74,20 @@ def tick_counts(windowed_messages: DataFrame, matcher=None, pos: str = "pos") ->
 def emission_limit(emissions: DataFrame, limit: int, call: list[str], order: list[str]) -> DataFrame:
     """With ``accepted``: whether an emission is among the first ``limit`` of its call (0: none may be)."""
     return emissions.withColumn("accepted", F.row_number().over(Window.partitionBy(*call).orderBy(*order)) <= limit)
+
+
+def wall_ticks(messages: DataFrame, second: Column, interval: int, *, start: int, end: int, stagger: int = 0) -> DataFrame:
+    """(tick, tick_clk, n, n_total): counts at ticks of a wall clock that runs from second ``start`` to ``end``, by the second each message came in.
+
+    The first tick comes ``min(stagger, interval - 1, 59)`` seconds after the start, each next one an interval later, and ticks without messages fire too. A second's messages come
+    before its tick; what comes after the last tick belongs to the shutdown, which has no tick_clk. The ticks are numbers of a range; messages are grouped by arithmetic.
+    """
+    if interval <= 0:
+        raise ValueError("a ticker interval is positive")
+    first = start + min(stagger, interval - 1, 59)
+    n_ticks = max(0, (end - first) // interval + 1)
+    at = F.least(F.greatest(F.ceil((second - F.lit(first)) / F.lit(interval)), F.lit(0)), F.lit(n_ticks)).cast("long")
+    counts = messages.select(at.alias("tick")).groupBy("tick").agg(F.count("*").alias("n"))
+    every = messages.sparkSession.range(n_ticks + 1).select(F.col("id").alias("tick"), F.when(F.col("id") < n_ticks, F.col("id") * interval + first).alias("tick_clk"))
+    met = every.join(counts, "tick", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    return running(met, F.col("n"), "n_total", pos="tick").select("tick", "tick_clk", "n", "n_total")

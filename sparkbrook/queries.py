@@ -33,10 +33,14 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def queries() -> dict[str, Query]:
+    from . import feature_queries  # noqa: F401 - registers its own
+
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    from . import feature_queries  # noqa: F401
+
     return dict(_SQL)
 
 
@@ -587,14 +591,17 @@ NGINX = '$remote_addr $msec "$request" $status $body_bytes_sent "$http_referer"
 def nginx_lines(e: DataFrame) -> DataFrame:
     """Events as access-log lines in the format NGINX."""
     text = lambda c: F.col(c).cast("string")
-    return e.select("event_id", F.concat(F.lit("10.0.0."), text("user_id"), F.lit(" "), micros(F.col("ts")).cast("string"), F.lit(' "GET /'), F.col("event_type"), F.lit(' HTTP/1.1" '),
+    ms = F.call_function("div", micros(F.col("ts")), F.lit(1000).cast("long"))
+    seconds = F.concat(F.call_function("div", ms, F.lit(1000).cast("long")).cast("string"), F.lit("."), F.lpad((ms % 1000).cast("string"), 3, "0"))
+    return e.select("event_id", F.concat(F.lit("10.0.0."), text("user_id"), F.lit(" "), seconds, F.lit(' "GET /'), F.col("event_type"), F.lit(' HTTP/1.1" '),
                                          (F.col("user_id") % 5 * 100 + 100).cast("string"), F.lit(" "), text("event_id"), F.lit(' "-" "agent/1.0 (x)" "-"')).alias("line"))
 
 
-@query("SELECT event_id AS pos, '10.0.0.' || user_id AS remote_addr, epoch_us(ts)::DOUBLE AS msec, 'GET /' || event_type || ' HTTP/1.1' AS request, (user_id % 5 * 100 + 100)::DOUBLE AS status, event_id::DOUBLE AS body_bytes_sent, '-' AS http_referer, 'agent/1.0 (x)' AS http_user_agent, '-' AS http_x_forwarded_for FROM events")
+@query("SELECT event_id AS pos, '10.0.0.' || user_id AS remote_addr, (epoch_us(ts) // 1000) * 1000000 AS timestamp_ns, 'GET /' || event_type || ' HTTP/1.1' AS request, (user_id % 5 * 100 + 100)::DOUBLE AS status, event_id::DOUBLE AS body_bytes_sent, '-' AS http_referer, 'agent/1.0 (x)' AS http_user_agent, '-' AS http_x_forwarded_for FROM events")
 def decode_nginx(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = nginx_lines(read(spark, sf_dir, "events"))
-    return decoders.decode_access(lines.select(F.col("event_id").alias("pos"), "line"), "line", NGINX).drop("line")
+    decoded = decoders.decode_access(lines.select(F.col("event_id").alias("pos"), "line"), "line", NGINX)
+    return decoded.withColumn("timestamp_ns", decoders.seconds_ns(F.col("msec"))).drop("line", "msec")
 
 
 @query("SELECT event_id AS pos, CASE event_type WHEN 'error' THEN 'E' || user_id WHEN 'view' THEN 'V' || user_id ELSE 'other' END AS decoded FROM events")
@@ -605,9 +612,9 @@ def sub_decoder_dispatch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Scalars
 
-@query("SELECT doc_id, replace(replace(replace(replace(left(text, 200), '\\', '\\\\'), chr(10), '\\n'), chr(13), '\\r'), '\"', '\\\"') AS escaped, lang || '.' || source AS plugin, source || '/' || lang AS path FROM documents")
+@query("SELECT doc_id, replace(replace(replace(replace(text, '\\', '\\\\'), chr(10), '\\n'), chr(13), '\\r'), '\"', '\\\"') AS escaped, lang || '.' || source AS plugin, source || '/' || lang AS path FROM documents")
 def string_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "documents").select("doc_id", scalars.escape_string(F.substring("text", 1, 200)).alias("escaped"), scalars.plugin_name(F.col("lang"), F.concat("source", F.lit(".cfg"))).alias("plugin"), scalars.join_path(F.col("source"), F.col("lang")).alias("path"))
+    return read(spark, sf_dir, "documents").select("doc_id", scalars.escape_string(F.col("text")).alias("escaped"), scalars.plugin_name(F.col("lang"), F.concat("source", F.lit(".cfg"))).alias("plugin"), scalars.join_path(F.col("source"), F.col("lang")).alias("path"))
 
 
 @query(f"WITH {M} SELECT pos, strftime(make_timestamp(timestamp_ns // 1000), '%Y-%m-%dT%H:%M:%S') AS at, timestamp_ns // 1000000000 AS sec, CASE WHEN user_id % 4 = 0 THEN 0 ELSE pos * 1000 // (user_id % 4) END AS units, timestamp_ns || ' [' || CASE severity WHEN 3 THEN 'error' ELSE 'debug' END || '] output.' || type || ' ' || payload AS line FROM m")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 from collections.abc import Iterator
 
 import pandas as pd
@@ -44,6 +45,43 @@ def tick_stream(messages: DataFrame, interval: int, matcher, plugin: str = "anal
     return rows.groupBy("plugin").transformWithStateInPandas(TickCounter(interval), OUT, "Append", "None")
 
 
+class WallClockCounter(StatefulProcessor):
+    """A service's timer: counts of a plugin at ticks of the wall clock, which fire without data too. The first tick comes after ``stagger`` seconds, each next one an interval later."""
+
+    def __init__(self, interval: int, stagger: int):
+        self.interval, self.stagger = interval * 1000, stagger * 1000
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("state", "n long, n_total long, started boolean")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        n, total, started = self.state.get() if self.state.exists() else (0, 0, False)
+        hits = sum(int(x["hit"].sum()) for x in rows)
+        if not started:
+            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.stagger)
+        self.state.update((n + hits, total + hits, True))
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        n, total, _ = self.state.get()
+        self.state.update((0, total, True))
+        now = timerValues.getCurrentProcessingTimeInMs()
+        self.handle.registerTimer(now + self.interval)
+        yield pd.DataFrame([(key[0], now // 1000, n, total)], columns=["plugin", "tick_clk", "n", "n_total"])
+
+    def close(self) -> None:
+        pass
+
+
+def wall_clock_stream(messages: DataFrame, interval: int, matcher, plugin: str = "analysis.counter", stagger: int | None = None) -> DataFrame:
+    """(plugin, tick_clk, n, n_total) at each tick of the wall clock. ``stagger``: seconds to the first tick; by default at random below the interval and a minute, so that plugins
+    of one interval don't tick together. Needs the RocksDB state store and a trigger, which makes the idle ticks."""
+    wait = random.randrange(max(1, min(interval, 60))) if stagger is None else stagger
+    rows = messages.select(F.lit(plugin).alias("plugin"), F.when(matcher, 1).otherwise(0).alias("hit"))
+    return rows.groupBy("plugin").transformWithStateInPandas(WallClockCounter(interval, wait), "plugin string, tick_clk long, n long, n_total long", "Append", "ProcessingTime")
+
+
 def event_windows(messages: DataFrame, minutes: int = 60, late: str = "10 minutes") -> DataFrame:
     """Tumbling counts by event time with a watermark: for streams that may drop late data, which ticks never do."""
     ts = F.timestamp_micros(F.call_function("div", F.col("timestamp_ns"), F.lit(1000).cast("long")))

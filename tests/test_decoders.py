@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from sparkbrook.functions import decoders
 
+#: Sample lines and the format they are decoded by; their decoded fields below must match.
 LINE = "Feb 13 14:25:19 ubuntu sshd[7192]: Accepted publickey for foobar from 216.160.83.56 port 4242 ssh2"
 NGINX = '127.0.0.1 - - [10/Feb/2014:08:46:41 -0800] "GET / HTTP/1.1" 304 0 "-" "Mozilla/5.0 (X11; Ubuntu; Linux x86_64; rv:26.0) Gecko/20100101 Firefox/26.0"'
 FORMAT = '$remote_addr - $remote_user [$time_local] "$request" $status $body_bytes_sent "$http_referer" "$http_user_agent"'
@@ -57,3 +58,20 @@ def test_records_of_several_lines(spark):
 def test_names_must_fit():
     with pytest.raises(ValueError, match="names"):
         decoders.printf("x", "%s", ["a", "b"])
+
+
+def test_common_logs(spark):
+    from sparkbrook.functions import cookbook
+
+    d = one(spark, "[Wed Oct 11 14:32:52.123456 2023] [core:error] [pid 35] [client 10.0.0.1:99] File missing", cookbook.apache_error(F.col("value")))
+    assert (d.module, d.level, d.pid, d.client, d.msg) == ("core", "error", 35, "10.0.0.1:99", "File missing")
+    for bad in ("", "no such line"):
+        for f in (cookbook.apache_error, cookbook.nginx_error, cookbook.audit, cookbook.slow_query, cookbook.packet_filter):
+            assert one(spark, bad, f(F.col("value"))) is None
+    d = one(spark, '9.9.9.9 - bob [10/Feb/2014:08:46:41 -0800] "GET / HTTP/1.1" 200 17 "-" "x y"', decoders.access_log(F.col("value"), cookbook.COMBINED))
+    assert (d.remote_user, d.status, d.http_user_agent) == ("bob", 200.0, "x y")
+
+
+def test_msec_becomes_time(spark):
+    fields = one(spark, "1.5 ok", decoders.access_fields(F.col("value"), "$msec $request"))
+    assert [(f.name, f.v_double) for f in fields if f.name == "time"] == [("time", 1.5e9)]
