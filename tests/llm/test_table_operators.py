@@ -10,7 +10,7 @@ from compare import SF, check, connect
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from sparkbrook.llm import bk_trees, fixity, mixing, near_copies, queries, secrets, simhash, url_filter
+from sparkbrook.llm import bk_trees, fixity, mixing, near_copies, quality, queries, secrets, simhash, subwords, url_filter
 from sparkbrook.llm.common import read
 
 
@@ -340,5 +340,54 @@ def test_pipeline_against_a_plain_version(spark):
     assert a.columns == b.columns == c.columns == d.columns == frame.columns
     copies = {r.doc_id: r.copies for r in mixing.mixture(c).collect()}
     assert {r.doc_id: r.n for r in d.groupBy("doc_id").agg(F.count("*").alias("n")).collect()} == {i: n for i, n in copies.items() if n}
-    out = corpus_pipeline.run(spark, folder)
-    assert sorted(r.doc_id for r in out.collect()) == sorted(r.doc_id for r in d.collect())
+    out = corpus_pipeline.run(spark, folder).collect()
+    texts = {r.doc_id: r.text for r in d.collect()}
+    assert sorted(r.doc_id for r in out) == sorted(r.doc_id for r in d.collect())
+    pieces = subwords.Pieces(queries.tokenizer_file("piece_bpe_32k.model"))
+    for r in out:
+        assert r.n_tokens == len(r.ids) and pieces.decode(np.array(r.ids, "<u4").tobytes()) == texts[r.doc_id]
+    assert len({(r.doc_id, tuple(r.ids)) for r in out}) == len(out)  # a document that was taken twice is split anew
+
+
+def test_pipeline_stages_at_the_edges(spark):
+    folder = "/root/testdata/sf0.001"
+    long = " ".join(f"word{k % 5000} and{k}" for k in range(150_000))
+    key = "A8d9Kq27LmZx04TbVcYwR5uEs1HjP6n"
+    prose = " ".join(f"some{k} words" for k in range(60))
+    rows = [
+        (1, prose, "en", "web", 5, "x", 1), (1, prose, "en", "web", 5, "x", 1), (2, prose, None, None, None, None, None), (3, long, "en", "web", len(long), "y", 2), (None, f"{prose} {key}", "en", None, 3, None, 3),
+        (None, None, None, None, None, None, None), (4, "", "de", "web", 0, "z", 4), (5, None, "de", "book", None, "z", 5), (6, f"secret={key} {prose[:400]} more and more of it " * 3, "fr", "book", 9, None, 6),
+    ]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, `spans` string, `__mix_size2` long")
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, df, folder)
+        got = out.collect()
+        assert stage(spark, df.limit(0), folder).count() == 0
+        ids = sorted(str(r.doc_id) for r in got)
+        if name == "sentencepiece_encode":
+            assert out.columns == ["doc_id", "n_tokens", "ids"] and len(got) == len(rows)
+            continue
+        assert out.columns == df.columns
+        if name == "quality_rules":
+            assert {"4", "5"}.isdisjoint(ids) and all(r.text for r in got)
+        if name == "simhash_dedup":
+            assert ids == ["1", "3", "4", "6", "None", "None"]  # 4 and 5 have no words both
+        if name == "secret_scan":
+            assert len(got) == len(rows) and not any(key in (r.text or "") for r in got)
+        if name == "source_mix":
+            assert set(ids) <= {str(r[0]) for r in rows} and len(got) > 0
+
+
+def test_very_long_texts(spark):
+    """One text of several megabytes goes through every operator on texts like any other."""
+    words = [f"w{k * 7919 % 100_003}" for k in range(400_000)]
+    text = " ".join(words)
+    df = spark.createDataFrame([(1, text, "a"), (2, text + " end", "a"), (3, "short text", "b")], "doc_id long, text string, source string")
+    sizes = {r.doc_id: r["size"] for r in mixing.mixture(df).collect()}
+    assert sizes == {1: 400_000, 2: 400_001, 3: 2}
+    assert {r.doc_id: r.n for r in secrets.scan(df).select("doc_id", F.size("spans").alias("n")).collect()} == {1: 0, 2: 0, 3: 0}
+    found = {r.id: (r.fp, r.component) for r in simhash.near_duplicates(df).collect()}
+    assert found[1] == found[2] and found[3][1] == 3
+    judged = {r.doc_id: r.n_words for r in quality.judge(df, spark.createDataFrame([(1, 1)], "doc_id long, quality int")).collect()}
+    assert judged == sizes
+    assert {r.doc_id for r in near_copies.deduplicated(df).collect()} == {1, 3}
