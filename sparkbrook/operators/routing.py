@@ -82,8 +82,10 @@ def feedback(messages: DataFrame, produce, depth: int = 1) -> DataFrame:
     return out
 
 
-def enrich(messages: DataFrame, lookup: DataFrame, on: str, key: str, columns: Mapping[str, str], *, broadcast_rows: int = 100_000) -> DataFrame:
-    """Lookup values added as ``<on>_<suffix>``; a table of at most ``broadcast_rows`` rows is broadcast, a larger one is joined by shuffle."""
+def enrich(messages: DataFrame, lookup: DataFrame, on: str, key: str, columns: Mapping[str, str], *, broadcast_rows: int = 100_000, broadcast_bytes: int = 32 << 20) -> DataFrame:
+    """Lookup values added as ``<on>_<suffix>``; a table of at most ``broadcast_rows`` rows and ``broadcast_bytes`` bytes of text is broadcast, a larger one is joined by shuffle."""
     slim = lookup.select(F.col(key).alias("__key"), *[F.col(c).alias(f"{on}_{suffix}") for suffix, c in columns.items()]).dropDuplicates(["__key"])
-    small = slim.limit(broadcast_rows + 1).count() <= broadcast_rows
+    bytes_ = F.sum(sum((F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) for c in slim.columns), F.lit(0)))
+    rows, size = slim.limit(broadcast_rows + 1).agg(F.count("*"), bytes_).first()
+    small = rows <= broadcast_rows and (size or 0) <= broadcast_bytes
     return messages.join(F.broadcast(slim) if small else slim, F.col(on) == F.col("__key"), "left").drop("__key")

@@ -83,24 +83,35 @@ class FramedStream(DataSourceStreamReader):
 
     def __init__(self, options: dict):
         self.folder, self.start_at = options["path"], options.get("start", "earliest")
+        self.files_a_batch = int(options.get("max_files", "0"))
+        self.seen = {"id": -1, "offset": 0}  # up to here the newest file was looked at
+        self.taken: int | None = None  # the file that the last batch ended in
 
     def _end(self) -> dict:
+        """The end of what can be read: of the newest file only what was added since the last look is read; with ``max_files``, so many files beyond the last batch at most."""
         ids = queue_ids(self.folder)
         if not ids:
             return {"id": 0, "offset": 0}
-        return {"id": ids[-1], "offset": whole_length(f"{self.folder}/{ids[-1]}.log")}
+        if self.files_a_batch and self.taken is not None:
+            within = [i for i in ids if i > self.taken][: self.files_a_batch]
+            if within and within[-1] < ids[-1]:
+                return {"id": within[-1], "offset": os.path.getsize(f"{self.folder}/{within[-1]}.log")}
+        start = self.seen["offset"] if self.seen["id"] == ids[-1] else 0
+        self.seen = {"id": ids[-1], "offset": whole_length(f"{self.folder}/{ids[-1]}.log", start)}
+        return dict(self.seen)
 
     def initialOffset(self) -> dict:
         if self.start_at == "latest":
             return self._end()
         ids = queue_ids(self.folder)
-        return {"id": ids[0] if ids else 0, "offset": 0}
+        self.taken = ids[0] if ids else 0
+        return {"id": self.taken, "offset": 0}
 
     def latestOffset(self) -> dict:
         return self._end()
 
     def partitions(self, start: dict, end: dict) -> list[Part]:
-        out = []
+        out, self.taken = [], end["id"]
         for i in queue_ids(self.folder):
             if start["id"] <= i <= end["id"]:
                 a = start["offset"] if i == start["id"] else 0
@@ -128,7 +139,7 @@ class FramedBatch(DataSourceReader):
 
 
 class FramedSource(DataSource):
-    """``spark.readStream.format("framed").option("path", folder)``; option ``start``: earliest or latest."""
+    """``spark.readStream.format("framed").option("path", folder)``; options ``start``: earliest or latest, ``max_files``: files a batch at most (0: all)."""
 
     @classmethod
     def name(cls) -> str:
@@ -144,14 +155,15 @@ class FramedSource(DataSource):
         return FramedStream(self.options)
 
 
-def whole_length(path: str, block: int = 1 << 20) -> int:
-    """Bytes of a file up to the end of its last whole frame."""
+def whole_length(path: str, start: int = 0) -> int:
+    """Bytes of a file up to the end of its last whole frame; what lies before ``start``, the end of a frame, isn't read."""
     with open(path, "rb") as f:
+        f.seek(start)
         data = f.read()
     end = 0
     for offset, _, payload in frames(data):
         end = offset + len(frame(payload))
-    return end
+    return start + end
 
 
 class QueueWriter:

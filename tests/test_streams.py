@@ -11,7 +11,7 @@ from sparkbrook.plans.engine import Engine, counter
 from sparkbrook.schema import events
 from sparkbrook.sources import sinks
 from sparkbrook.sources.codec import decode, encode, frame, frames
-from sparkbrook.sources.queue_files import FramedSource, QueueWriter, next_id, queue_ids, read_queue
+from sparkbrook.sources.queue_files import FramedSource, FramedStream, QueueWriter, next_id, queue_ids, read_queue
 from sparkbrook.sources.tcp import FramedServer, send
 from sparkbrook.sources.text_files import lines_with_offsets, multiline, timer_log
 from sparkbrook.streaming.delivery import Acknowledgements, Fatal, sink, stop, triggered
@@ -210,3 +210,27 @@ def test_engine(spark):
     emitted = e.analyse(events(spark, SF))
     assert set(emitted.columns) == {"window_id", "payload_name", "payload", "plugin"} and emitted.count() > 50
     assert e.deliver(events(spark, SF))[o.name].count() == events(spark, SF).where("type = 'error'").count()
+
+
+def test_queue_reader_goes_on_and_takes_files_in_turn(tmp_path):
+    w = QueueWriter(str(tmp_path), limit=200)
+    for i in range(30):
+        w.append(encode(message(i)))
+    w.flush()
+    ids = queue_ids(str(tmp_path))
+    assert len(ids) > 5
+    stream, at, seen = FramedStream({"path": str(tmp_path), "max_files": "2"}), None, 0
+    at = stream.initialOffset()
+    while True:
+        end = stream.latestOffset()
+        if end == at:
+            break
+        assert sum(i > at["id"] for i in ids if i <= end["id"]) <= 2 + (at["offset"] == 0)
+        seen += sum(len(list(stream.read(p))) for p in stream.partitions(at, end))
+        at = end
+    w.append(encode(message(99)))
+    w.flush()
+    end = stream.latestOffset()
+    seen += sum(len(list(stream.read(p))) for p in stream.partitions(at, end))
+    w.close()
+    assert seen == 31
