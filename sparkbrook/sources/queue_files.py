@@ -1,23 +1,25 @@
 """Queue files (``<id>.log`` of framed messages): batch scan, streaming source with positions, and a writer that rolls.
 
 The batch scan goes through Spark's binary-file reader, so a queue can be in any store; a file is one task's work, which rolling bounds. The
-streaming source ``framed`` lists a folder that driver and executors share and gives each file's new part to a task.
+streaming source ``framed`` lists a folder that driver and executors share and gives each file's new part to a task; as a sink, batch or streaming, it appends from all tasks at once.
 """
 
 from __future__ import annotations
 
 import os
 import re
+import uuid
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, DataSourceStreamWriter, DataSourceWriter, InputPartition, WriterCommitMessage
 
 from ..schema import MESSAGE
-from .codec import decode, frame, frames
+from .codec import decode, encode, frame, frames
 
 NAME = re.compile(r"^(\d+)\.log$")
 PLACED = T.StructType([T.StructField("file_id", T.LongType()), T.StructField("offset", T.LongType()), T.StructField("skipped", T.LongType()), *MESSAGE.fields, T.StructField("error", T.StringType())])
@@ -154,6 +156,78 @@ class FramedSource(DataSource):
     def streamReader(self, schema: T.StructType) -> DataSourceStreamReader:
         return FramedStream(self.options)
 
+    def writer(self, schema: T.StructType, overwrite: bool) -> DataSourceWriter:
+        return FramedWriter(self.options)
+
+    def streamWriter(self, schema: T.StructType, overwrite: bool) -> DataSourceStreamWriter:
+        return FramedStreamWriter(self.options)
+
+
+@dataclass
+class Written(WriterCommitMessage):
+    partition: int
+    files: list[str]
+
+
+class FramedWriter(DataSourceWriter):
+    """Appends to a queue from all tasks at once: each writes frames to files of its own, rolled at ``limit`` bytes, aside in the queue's folder (which all machines share); the commit
+    gives them the next numbers, in order of the partitions. A task that fails leaves nothing that a reader sees."""
+
+    def __init__(self, options: dict):
+        self.folder, self.limit = options["path"].removeprefix("file://"), int(options.get("limit", 64 << 20))
+        self.aside = f"{self.folder}/.pending"
+
+    def write(self, iterator: Iterator) -> Written:
+        from pyspark import TaskContext
+
+        os.makedirs(self.aside, exist_ok=True)
+        files, out, size = [], None, 0
+        try:
+            for row in iterator:
+                if out is None:
+                    files.append(f"{self.aside}/{uuid.uuid4().hex}")
+                    out, size = open(files[-1], "wb"), 0  # noqa: SIM115
+                data = frame(encode(row.asDict(recursive=True)))
+                out.write(data)
+                size += len(data)
+                if size >= self.limit:
+                    out.close()
+                    out = None
+        finally:
+            if out is not None:
+                out.close()
+        return Written(TaskContext.get().partitionId(), files)
+
+    def commit(self, messages: list) -> None:
+        ids = queue_ids(self.folder) if os.path.isdir(self.folder) else []
+        free = ids[-1] + 1 if ids else 0
+        for m in sorted((m for m in messages if m is not None), key=lambda m: m.partition):
+            for file in m.files:
+                os.rename(file, f"{self.folder}/{free}.log")
+                free += 1
+
+    def abort(self, messages: list) -> None:
+        for m in messages:
+            for file in m.files if m is not None else []:
+                if os.path.exists(file):
+                    os.remove(file)
+
+
+class FramedStreamWriter(FramedWriter, DataSourceStreamWriter):
+    """The same for micro-batches; a batch that was committed before a crash isn't appended again."""
+
+    def commit(self, messages: list, batchId: int) -> None:
+        done = f"{self.folder}/.batches"
+        os.makedirs(done, exist_ok=True)
+        if os.path.exists(f"{done}/{batchId}"):
+            return FramedWriter.abort(self, messages)
+        FramedWriter.commit(self, messages)
+        open(f"{done}/{batchId}", "wb").close()
+        return None
+
+    def abort(self, messages: list, batchId: int) -> None:
+        FramedWriter.abort(self, messages)
+
 
 def whole_length(path: str, start: int = 0) -> int:
     """Bytes of a file up to the end of its last whole frame; what lies before ``start``, the end of a frame, isn't read."""

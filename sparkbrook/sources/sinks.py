@@ -12,23 +12,16 @@ from ..operators.checkpoints import text_lines
 from ..operators.telemetry import PLUGIN_COLUMNS, UTILIZATION_COLUMNS
 from ..schema import DOUBLE
 from .codec import HEADER, LENGTH_TAG, RECORD, UNIT, encode, frame, put, put_varint
-from .queue_files import QueueWriter
+from .queue_files import FramedSource
 
 #: Values of a column that an encoder remembers.
 REMEMBERED = 100_000
 
 
-def append_queue(messages: DataFrame, folder: str, limit: int = 64 << 20) -> int:
-    """Append messages in their order to a queue in a folder of this machine; rows come to the driver one partition at a time. The number written."""
-    writer, n = QueueWriter(folder, limit), 0
-    try:
-        for row in messages.toLocalIterator(prefetchPartitions=True):
-            writer.append(encode(row.asDict(recursive=True)))
-            n += 1
-        writer.flush()
-    finally:
-        writer.close()
-    return n
+def append_queue(messages: DataFrame, folder: str, limit: int = 64 << 20) -> None:
+    """Append messages to a queue in a folder that all machines share, from all tasks at once, in order of the partitions; for a stream, ``writeStream.format("framed")``."""
+    messages.sparkSession.dataSource.register(FramedSource)
+    messages.write.format("framed").mode("append").options(path=folder, limit=limit).save()
 
 
 def write_framed(messages: DataFrame, path: str) -> None:

@@ -197,7 +197,8 @@ def test_sinks(spark, tmp_path):
     err = spark.createDataFrame([("p", 0, "boom")], "plugin string, at_us long, error string")
     assert sinks.termination_records(err).first().value == "1970-01-01T00:00:00\tboom"
     m = read_back = spark.createDataFrame([tuple(message(i)[k] for k in ("uuid", "timestamp_ns", "type")) for i in range(9)], "uuid string, timestamp_ns long, type string")
-    assert sinks.append_queue(m, str(tmp_path / "q")) == 9 and read_queue(spark, f"file://{tmp_path}/q").count() == 9
+    sinks.append_queue(m, str(tmp_path / "q"))
+    assert read_queue(spark, f"file://{tmp_path}/q").count() == 9
     sinks.write_framed(read_back, str(tmp_path / "f"))
     assert spark.read.parquet(str(tmp_path / "f")).count() == 9
 
@@ -234,3 +235,24 @@ def test_queue_reader_goes_on_and_takes_files_in_turn(tmp_path):
     seen += sum(len(list(stream.read(p))) for p in stream.partitions(at, end))
     w.close()
     assert seen == 31
+
+
+def test_a_queue_is_appended_by_all_tasks(spark, tmp_path):
+    q = str(tmp_path / "q")
+    rows = [tuple(message(i)[k] for k in ("uuid", "timestamp_ns", "type", "payload")) for i in range(200)]
+    df = spark.createDataFrame(rows, "uuid string, timestamp_ns long, type string, payload string")
+    sinks.append_queue(df.repartitionByRange(4, "timestamp_ns").sortWithinPartitions("timestamp_ns"), q, limit=4_000)
+    ids = queue_ids(q)
+    assert len(ids) > 4 and ids == list(range(len(ids)))
+    got = [r.timestamp_ns for r in read_queue(spark, f"file://{q}").orderBy("file_id", "offset").collect()]
+    assert got == [10**18 + i for i in range(200)]  # files are in order of the partitions
+    sinks.append_queue(df.limit(3).coalesce(1), q)
+    assert queue_ids(q)[-1] == len(ids) and read_queue(spark, f"file://{q}").count() == 203
+
+    spark.range(50).selectExpr("id AS timestamp_ns", "'t' AS type").write.parquet(str(tmp_path / "in"))
+    s = spark.readStream.schema("timestamp_ns long, type string").parquet(str(tmp_path / "in"))
+    out = str(tmp_path / "streamed")
+    for _ in range(2):  # the second run finds nothing new
+        w = s.writeStream.format("framed").option("path", out).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+        w.awaitTermination(60)
+    assert read_queue(spark, f"file://{out}").count() == 50
