@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from .functions import cookbook, decoders, encoders, scalars
 from .operators import queues, telemetry, ticks
+from .plans import placement
 from .queries import query
 from .schema import events, micros, read
 from .sources import sinks, text_files
@@ -164,3 +165,52 @@ def debug_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     counted = running(events(spark, sf_dir), F.lit(1), "n", by=["type"], fold="count")
     return counted.select("pos", F.concat(F.lit("count: "), F.col("n").cast("string"), F.lit("\t"), "type").alias("line"))
+
+
+# Placement and code
+
+
+@query("""WITH t AS (SELECT c_nationkey AS engine, c_custkey % 8 AS thread, count(*) AS plugins, (sum(c_custkey) % 100)::BIGINT AS utilization FROM customer GROUP BY ALL),
+b AS (SELECT engine, min(utilization) AS u, arg_min(thread, utilization * 100000000 + plugins * 1000 + thread) AS thread FROM t GROUP BY engine)
+SELECT engine, CASE WHEN u < 40 THEN thread END AS thread, u >= 40 AS blocked FROM b""")
+def placement_least_used(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = read(spark, sf_dir, "customer")
+    threads = c.groupBy(F.col("c_nationkey").alias("engine"), (F.col("c_custkey") % 8).alias("thread")).agg(F.count("*").alias("plugins"), (F.sum("c_custkey") % 100).alias("utilization"))
+    return placement.least_used_threads(threads, ["engine"], 40)
+
+
+@query("""WITH p AS (SELECT c_custkey AS plugin, CASE WHEN c_custkey % 3 > 0 THEN c_custkey * 7 END AS asked, CASE WHEN c_custkey % 5 = 0 THEN c_custkey % 4 END AS running_on, CASE WHEN c_custkey % 11 > 0 THEN c_custkey % 2 END AS least_used FROM customer),
+r AS (SELECT *, (running_on IS NOT NULL AND asked IS NOT NULL AND asked % 4 <> running_on) OR (running_on IS NULL AND asked IS NULL AND least_used IS NULL) AS refused FROM p)
+SELECT plugin, refused, (CASE WHEN NOT refused THEN coalesce(running_on, asked % 4, least_used) END)::BIGINT AS "on" FROM r""")
+def placement_at_load(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A plugin goes where it asks or to the least used thread; a running one never moves."""
+    k = F.col("c_custkey")
+    plugins = read(spark, sf_dir, "customer").select(k.alias("plugin"), F.when(k % 3 > 0, k * 7).alias("asked"), F.when(k % 5 == 0, k % 4).alias("running_on"), F.when(k % 11 > 0, k % 2).alias("least_used"))
+    return placement.placed_at_load(plugins, F.lit(4)).select("plugin", "refused", F.col("on").cast("long").alias("on"))
+
+
+@query("""SELECT c_custkey AS thread, greatest(least(c_custkey % 256 + 5 * (c_custkey % 3), 255) - 5 * (c_custkey % 2), 0)::BIGINT AS utilization,
+CASE WHEN c_custkey % 3 + c_custkey % 2 > 0 THEN 0 ELSE c_custkey END AS max_mps FROM customer""")
+def placement_utilization(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("c_custkey")
+    threads = read(spark, sf_dir, "customer").select(k.alias("thread"), (k % 256).alias("utilization"), k.alias("max_mps"))
+    return placement.adjusted_utilization(threads, F.col("thread") % 3, F.col("thread") % 2).select("thread", F.col("utilization").cast("long").alias("utilization"), F.col("max_mps").cast("long").alias("max_mps"))
+
+
+@query("""SELECT c_custkey AS plugin, CASE WHEN c_nationkey % 3 = 0 THEN 'run' WHEN c_nationkey % 2 = 0 THEN 'installed' END AS place FROM customer""")
+def code_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where the code of each plugin lies: what the run folder has goes before what is installed."""
+    file = lambda c: F.concat(F.lit("m"), F.col(c).cast("string"), F.lit(".lua")).alias("filename")
+    n = read(spark, sf_dir, "nation")
+    plugins = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("plugin"), file("c_nationkey"))
+    return placement.code_places(plugins, n.where("n_nationkey % 3 = 0").select(file("n_nationkey")), n.where("n_nationkey % 2 = 0").select(file("n_nationkey"))).select("plugin", "place")
+
+
+@query("""WITH e AS (SELECT 'output.' || c_nationkey AS plugin, c_custkey AS ended, c_custkey % 4 = 0 AS reloaded FROM customer), l AS (SELECT plugin, max(ended) FILTER (reloaded) AS reload FROM e GROUP BY plugin)
+SELECT plugin, max(ended) AS ended FROM e JOIN l USING (plugin) WHERE NOT reloaded AND (reload IS NULL OR ended > reload) GROUP BY plugin""")
+def termination_after_reload(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The record that stands beside each plugin: its last end, if it wasn't loaded again since."""
+    k = F.col("c_custkey")
+    e = read(spark, sf_dir, "customer").select(F.concat(F.lit("output."), F.col("c_nationkey").cast("string")).alias("plugin"), k.alias("ended"), (k % 4 == 0).alias("reloaded"))
+    last = e.groupBy("plugin").agg(F.max(F.when(F.col("reloaded"), F.col("ended"))).alias("reload"), F.max(F.when(~F.col("reloaded"), F.col("ended"))).alias("ended"))
+    return last.where("ended is not null and (reload is null or ended > reload)").select("plugin", "ended")

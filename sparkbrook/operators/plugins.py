@@ -28,6 +28,16 @@ class Plugin:
     def __init__(self, read_config: Callable[[str], object], inject_payload: Callable[[str, str, object], None]):
         self.read_config, self.inject_payload = read_config, inject_payload
 
+    message: dict = {}
+
+    def read_message(self, name: str) -> object:
+        """A column of the message at hand; ``raw``: the message encoded, ``framed``: with its frame (of the columns that the plugin gets)."""
+        from ..sources.codec import encode, frame
+
+        if name in ("raw", "framed") and name not in self.message:
+            return encode(self.message) if name == "raw" else frame(encode(self.message))
+        return self.message.get(name)
+
     def process_message(self, message: dict) -> int | tuple[int, str]:
         return 0
 
@@ -72,6 +82,7 @@ class _Runner:
     def message(self, pos: int, sec: int, taken: bool, message: dict) -> None:
         self.pos, self.clk = pos, max(self.clk, sec)
         if taken:
+            self.plugin.message = message
             code = self.call(self.spec.process_message_inject_limit, self.plugin.process_message, message)
             code, error = code if isinstance(code, tuple) else (code or 0, "")
             if code > 0 and not self.ended:

@@ -5,6 +5,9 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, replace
 
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
 
 class PlacementError(ValueError):
     """An operator that can't be placed or moved."""
@@ -53,3 +56,35 @@ def added(thread: Thread) -> Thread:
 
 def removed(thread: Thread) -> Thread:
     return replace(thread, plugins=thread.plugins - 1, utilization=max(0, thread.utilization - 5), max_mps=0)
+
+
+# The same rules over tables: a cluster's worth of engines at once.
+
+
+def least_used_threads(threads: DataFrame, by: Sequence[str], limit: int) -> DataFrame:
+    """(*by, thread, blocked): the thread each engine would load a plugin on. ``threads``: *by, thread, plugins, utilization."""
+    order = F.struct("utilization", "plugins", "thread")
+    best = threads.groupBy(*by).agg(F.min(order).alias("__best"))
+    blocked = F.lit(bool(limit)) & (F.col("__best")["utilization"] >= limit)
+    return best.select(*by, F.when(~blocked, F.col("__best")["thread"]).alias("thread"), blocked.alias("blocked"))
+
+
+def placed_at_load(plugins: DataFrame, n_threads: Column) -> DataFrame:
+    """With ``on``, the thread of each plugin, and ``refused``. ``plugins``: asked, running_on (null: isn't running), least_used (null: all are at the limit)."""
+    asked = F.pmod(F.col("asked"), n_threads)
+    running = F.col("running_on").isNotNull()
+    refused = F.coalesce(running & (asked != F.col("running_on")), F.lit(False)) | (~running & F.col("asked").isNull() & F.col("least_used").isNull())
+    return plugins.withColumns({"refused": refused, "on": F.when(~refused, F.coalesce("running_on", asked, "least_used"))})
+
+
+def adjusted_utilization(threads: DataFrame, added_: Column, removed_: Column) -> DataFrame:
+    """``threads`` (utilization, max_mps) after plugins were added and removed: five per cent each, between 0 and 255; the estimate of the most messages starts anew where any was."""
+    changed = (added_ + removed_) > 0
+    return threads.withColumns({"utilization": F.greatest(F.least(F.col("utilization") + 5 * added_, F.lit(255)) - 5 * removed_, F.lit(0)), "max_mps": F.when(changed, 0).otherwise(F.col("max_mps"))})
+
+
+def code_places(plugins: DataFrame, run: DataFrame, installed: DataFrame) -> DataFrame:
+    """With ``place``: run, installed, or null if no code is there. All have ``filename``."""
+    own, other = (x.select("filename").distinct().withColumn(name, F.lit(True)) for x, name in ((run, "__run"), (installed, "__installed")))
+    met = plugins.join(own, "filename", "left").join(other, "filename", "left")
+    return met.withColumn("place", F.when(F.col("__run"), "run").when(F.col("__installed"), "installed")).drop("__run", "__installed")

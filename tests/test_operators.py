@@ -188,3 +188,23 @@ def test_plugin_calls_limits_and_ends(spark):
     assert got["b"] == [("emission", 1000, "tick", "1"), ("terminated", 1010, None, "nine")]
     assert got["c"] == [("emission", 1000, "tick", "1"), ("emission", 1010, "shutdown", "2")]
     assert plugins.run_plugin(df.limit(0), spec, Picky, F.lit(True), columns=["v"]).count() == 0
+
+
+def test_a_plugin_reads_its_message_framed(spark):
+    from sparkbrook.sources.codec import decode, frames
+
+    class Frames(plugins.Plugin):
+        def process_message(self, message):
+            data = self.read_message("framed")
+            (_, _, payload), = frames(data)
+            assert payload == self.read_message("raw") and decode(payload)["type"] == self.read_message("type") == message["type"]
+            self.inject_payload("bin", "size", len(data))
+            return 0
+
+    from sparkbrook.plans.config import EngineConfig, operator
+    from test_config import NEEDED
+
+    spec = operator(EngineConfig.from_dict(NEEDED), "analysis", "f.cfg", {"filename": "f.lua", "message_matcher": "TRUE", "process_message_inject_limit": 1})
+    df = spark.createDataFrame([(1, 10**18, "a"), (2, 10**18, "bb")], "pos long, timestamp_ns long, type string")
+    out = plugins.run_plugin(df, spec, Frames, F.lit(True), columns=["type"]).collect()
+    assert [r.kind for r in out] == ["emission"] * 2 and int(out[1].payload) == int(out[0].payload) + 1
