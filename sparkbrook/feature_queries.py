@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import cookbook, decoders, encoders, scalars
-from .operators import queues, telemetry, ticks
+from .operators import checkpoints, queues, telemetry, ticks
 from .plans import placement
 from .queries import query
 from .schema import events, micros, read
@@ -167,6 +167,16 @@ def debug_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("pos", F.concat(F.lit("count: "), F.col("n").cast("string"), F.lit("\t"), "type").alias("line"))
 
 
+@query("""SELECT o_orderkey, '_G["output.' || o_custkey || '"] = ' || CASE WHEN o_orderkey % 2 = 0 THEN printf('%.17g', o_totalprice / 3) ELSE '"' || o_orderkey || ':7"' END AS line FROM orders""")
+def checkpoint_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of the checkpoint file."""
+    k = F.col("o_orderkey")
+    o = read(spark, sf_dir, "orders").select(F.concat(F.lit("output."), F.col("o_custkey").cast("string")).alias("key"), F.when(k % 2 == 1, F.concat(k.cast("string"), F.lit(":7"))).alias("value"),
+                                             F.when(k % 2 == 0, F.col("o_totalprice").cast("double") / 3).alias("number"), k.alias("o_orderkey"))
+    line = checkpoints.text_line()
+    return o.select("o_orderkey", line.alias("line"))
+
+
 # Placement and code
 
 

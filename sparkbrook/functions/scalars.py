@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 SEVERITIES = ("panic", "alert", "crit", "error", "warning", "notice", "info", "debug")
 
@@ -122,3 +124,12 @@ def general_number(x: Column) -> Column:
 def log_line(ns: Column, level: Column, name: Column, text: Column) -> Column:
     """A line of the daemon's log."""
     return F.concat(ns.cast("string"), F.lit(" ["), severity_name(level), F.lit("] "), name, F.lit(" "), text)
+
+
+def exact_number(x: Column) -> Column:
+    """A number as C's %.17g prints it: the digits that give the same number again. Spark's own functions print the shortest such form, so these few are made in Python."""
+
+    def digits(values: pd.Series) -> pd.Series:
+        return pd.Series([None if pd.isna(v) else "%.17g" % v for v in values], dtype=object)
+
+    return F.pandas_udf(digits, T.StringType())(x.cast("double"))

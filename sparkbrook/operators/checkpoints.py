@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalars import escape_string, parse_checkpoint_key, parse_position
+from ..functions.scalars import escape_string, exact_number, parse_checkpoint_key, parse_position
 
 
 def lookup(readers: DataFrame, checkpoints: DataFrame, firsts: DataFrame, writers: DataFrame) -> DataFrame:
@@ -37,9 +37,12 @@ def using_code(plugins: DataFrame, changed: DataFrame) -> DataFrame:
     return plugins.join(changed.select("filename").distinct(), "filename", "left_semi")
 
 
+def text_line() -> Column:
+    """A line of the checkpoint file: a string quoted and escaped, a number with the digits that give it back. Of the columns key, value, number."""
+    value = F.coalesce(exact_number(F.col("number")), F.concat(F.lit('"'), escape_string(F.col("value")), F.lit('"')))
+    return F.concat(F.lit('_G["'), escape_string(F.col("key")), F.lit('"] = '), value)
+
+
 def text_lines(checkpoints: DataFrame) -> DataFrame:
-    """Lines of the checkpoint file: strings quoted and escaped, whole numbers plain, others in the shortest form that reads back as the same number. checkpoints: key, value, number."""
-    n = F.col("number")
-    whole = (n == F.floor(n)) & (F.abs(n) < 2**53)
-    value = F.coalesce(F.when(whole, n.cast("long").cast("string")).when(n.isNotNull(), n.cast("string")), F.concat(F.lit('"'), escape_string(F.col("value")), F.lit('"')))
-    return checkpoints.select(F.concat(F.lit('_G["'), escape_string(F.col("key")), F.lit('"] = '), value).alias("value"))
+    """Lines of the checkpoint file. checkpoints: key, value, number."""
+    return checkpoints.select(text_line().alias("value"))

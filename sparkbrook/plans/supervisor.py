@@ -157,3 +157,27 @@ class Supervisor:
                 else:
                     self.end(name)
         return exit_code([n.partition(".")[0] for n in self.failed])
+
+    def save(self) -> Path:
+        """The checkpoint file: where each query's sources are, strings escaped, numbers with all their digits. It is written aside and renamed, so a reader never sees a part of it."""
+        lines = []
+        for name, (_, query) in sorted(self.running.items()):
+            progress = query.lastProgress
+            for k, source in enumerate((progress or {}).get("sources", [])):
+                value = source.get("endOffset")
+                text = "%.17g" % value if isinstance(value, (int, float)) else json.dumps(value if isinstance(value, str) else json.dumps(value))
+                lines.append(f"_G[{json.dumps(name if not k else f'{name}#{k}')}] = {text}\n")
+        self.checkpoints.mkdir(parents=True, exist_ok=True)
+        file = self.checkpoints / "engine.cpt"
+        aside = file.with_suffix(".tmp")
+        aside.write_text("".join(lines))
+        aside.replace(file)
+        return file
+
+    def serve(self, seconds: float | None = None, every: float = 1.0) -> int:
+        """Poll and save once a second until a plugin or the time ends it; the exit code."""
+        until = None if seconds is None else time.monotonic() + seconds
+        while self.poll() and (until is None or time.monotonic() < until):
+            self.save()
+            time.sleep(every)
+        return self.shutdown()

@@ -14,13 +14,13 @@ import time
 from .codec import RECORD, frame, frames
 from .queue_files import QueueWriter
 
-HOST, PORT, READ = "127.0.0.1", 5565, 32 << 10
+HOST, PORT, READ, LIMIT = "127.0.0.1", 5565, 32 << 10, (8 << 20) + 256
 
 
 class FramedServer:
-    """Accepts any number of clients; every whole frame is appended to the queue, in order per client."""
+    """Accepts any number of clients; every whole frame is appended to the queue, in order per client. A client's buffer holds no more than ``limit`` bytes and what was read last."""
 
-    def __init__(self, writer: QueueWriter, host: str = HOST, port: int = PORT):
+    def __init__(self, writer: QueueWriter, host: str = HOST, port: int = PORT, limit: int = LIMIT):
         lock = threading.Lock()
 
         class Handler(socketserver.BaseRequestHandler):
@@ -37,6 +37,8 @@ class FramedServer:
                     data = data[used:]
                     if data and RECORD not in data:
                         data = b""
+                    elif len(data) > limit:  # no frame is as long: go on at the next mark
+                        data = data[max(data.find(RECORD, 1), 0) or len(data) :]
 
         class Server(socketserver.ThreadingTCPServer):
             allow_reuse_address = True

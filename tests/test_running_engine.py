@@ -133,6 +133,8 @@ def test_a_run_folder(spark, tmp_path):
     assert "no disk" in (run / "output" / "b.err").read_text() or "output.b" in s.failed
     assert not (tmp_path / "cp" / "output.b").exists() and "output.b" not in s.running
 
+    assert '_G["output.a"] = ' in s.save().read_text() or s.running["output.a"][1].lastProgress is None
+    assert not list((tmp_path / "cp").glob("*.tmp"))
     (load / "output" / "ok.lua").write_text("new code")
     s.poll()
     second = s.running["output.a"][1]
@@ -144,4 +146,4 @@ def test_a_run_folder(spark, tmp_path):
     (load / "output" / "c.cfg").write_text(cfg("ok.lua", message_matcher="TRUE", broken=True, shutdown_on_terminate=True))
     assert s.poll() is False
     last = s.running["input.i"][1]
-    assert s.shutdown() == 8 and not last.isActive and not s.running
+    assert s.serve(every=0.1) == 8 and not last.isActive and not s.running

@@ -193,7 +193,7 @@ def test_sinks(spark, tmp_path):
     assert next((tmp_path / "u").glob("*.csv")).read_text().splitlines() == ["Plugin\tMessages Processed\t% Utilization\t% Message Matcher\t% Process Message\t% Timer Event", "a\t1\t50\t10\t90\t0"]
     cps = spark.createDataFrame([("input->a", '1:2"\n', None), ("input.n", None, 0.1), ("input.m", None, 14.0)], "key string, value string, number double")
     sinks.write_checkpoints(cps, str(tmp_path / "c"))
-    assert sorted(next((tmp_path / "c").glob("*.txt")).read_text().splitlines()) == ['_G["input->a"] = "1:2\\"\\n"', '_G["input.m"] = 14', '_G["input.n"] = 0.1']
+    assert sorted(next((tmp_path / "c").glob("*.txt")).read_text().splitlines()) == ['_G["input->a"] = "1:2\\"\\n"', '_G["input.m"] = 14', '_G["input.n"] = 0.10000000000000001']
     err = spark.createDataFrame([("p", 0, "boom")], "plugin string, at_us long, error string")
     assert sinks.termination_records(err).first().value == "1970-01-01T00:00:00\tboom"
     m = read_back = spark.createDataFrame([tuple(message(i)[k] for k in ("uuid", "timestamp_ns", "type")) for i in range(9)], "uuid string, timestamp_ns long, type string")
