@@ -33,6 +33,8 @@ LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
 WINDOW, LEAST, CHUNKS, RUN = 7, 4, 64, 4
 #: Documents to a range, about, and ranges at most (below that many, and one more for each sorted part).
 RANGE_ROWS, RANGES = 250, 65_536
+#: Keys, of 16 bytes, to a task that sorts them.
+PART_ROWS = 200_000
 
 
 def rolling(data: bytes) -> np.ndarray:
@@ -121,7 +123,8 @@ def order_keys(ids: pa.Array, hashes: pa.Array) -> np.ndarray:
 
 def range_heads(docs: DataFrame, range_rows: int, ranges: int) -> np.ndarray:
     """The key of every so many-th document, and of the first one of each sorted part, in order."""
-    rows = max(range_rows, -(-docs.count() // ranges))
+    n = docs.count()
+    rows = max(range_rows, -(-n // ranges))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = 0
@@ -133,7 +136,7 @@ def range_heads(docs: DataFrame, range_rows: int, ranges: int) -> np.ndarray:
                 yield pa.RecordBatch.from_arrays([pa.array(order_keys(part.column(0), part.column(1)).tolist(), pa.binary())], ["key"])
 
     order = [F.col("doc_id").desc_nulls_last(), "hash"]
-    keys = docs.select("doc_id", "hash").repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(run, "key binary")
+    keys = docs.select("doc_id", "hash").repartitionByRange(1 + n // PART_ROWS, *order).sortWithinPartitions(*order).mapInArrow(run, "key binary")
     return np.unique(np.array([bytes(r[0]) for r in keys.collect()], "S18"))
 
 
