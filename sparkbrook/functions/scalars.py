@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -109,16 +110,12 @@ def free_units(free_bytes: Column, unit: Column) -> Column:
 def general_number(x: Column) -> Column:
     """A number as C's %g prints it: six digits, no zeros at the end, exponent of two digits outside 1e-5 to 1e6.
 
-    Numbers whose shortest decimal form has a five in the seventh place and nothing after it are rounded up, where C looks at the binary value."""
-    rounded = F.format_string("%.5e", x)  # six digits: 1.23450e+02
-    mantissa, power = F.regexp_extract(rounded, r"^(-?[0-9.]+)e", 1), F.regexp_extract(rounded, r"e([+-]\d+)$", 1).try_cast("int")
-    trimmed = lambda s: F.regexp_replace(F.regexp_replace(s, r"(\.\d*?)0+$", "$1"), r"\.$", "")
-    plain = F.lit(None).cast("string")
-    for p in range(-4, 6):
-        plain = F.when(power == p, trimmed(F.format_string(f"%.{5 - p}f", x))).otherwise(plain)
-    sign = F.when(power < 0, "-").otherwise("+")
-    return F.when(F.isnan(x), F.when(x < 0, "-nan").otherwise("nan")).when(F.abs(x) == float("inf"), F.when(x > 0, "inf").otherwise("-inf")).when(x == 0, "0").otherwise(
-        F.coalesce(plain, F.concat(trimmed(mantissa), F.lit("e"), sign, F.lpad(F.abs(power).cast("string"), 2, "0"))))
+    C rounds the binary value, a true tie to the even digit. Spark's own functions round the shortest decimal form, ties up, so it is made in Python."""
+
+    def digits(values: pa.Array) -> pa.Array:
+        return pa.array([None if v is None else "%g" % v for v in values.to_pylist()], pa.string())
+
+    return F.arrow_udf(digits, T.StringType())(x.cast("double"))
 
 
 def log_line(ns: Column, level: Column, name: Column, text: Column) -> Column:

@@ -3,6 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from sparkbrook.functions.scalars import general_number
 from sparkbrook.operators import delivery, merge, plugins, queues, routing, ticks, timers
 from sparkbrook.operators.running import running
 from sparkbrook.plans.config import OperatorSpec
@@ -22,6 +23,13 @@ def test_timer_report(spark):
     assert got == {("parse", 2, "40", "46", "43", "4.24264"), ("send", 1, "20", "20", "20", "0"), ("only starts", 0, None, None, None, None)}
 
 
+def test_general_number_rounds_as_c(spark):
+    numbers = [12345650000.0, 12345750000.0, 1.234565e-5, 1.234575, 0.0001234565, 999999.5, 1e-5, -0.0, 1e300, 123456.5, -1234565.0, 100.0, float("inf"), float("nan"), None]
+    wanted = ["1.23456e+10", "1.23458e+10", "1.23456e-05", "1.23457", "0.000123457", "1e+06", "1e-05", "-0", "1e+300", "123456", "-1.23456e+06", "100", "inf", "nan", None]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(numbers)], "i long, x double")
+    assert [r.g for r in df.select("i", general_number(F.col("x")).alias("g")).orderBy("i").collect()] == wanted
+
+
 @pytest.mark.parametrize("seed", range(2))
 def test_timer_pairs_by_a_state_machine(spark, seed):
     r = random.Random(seed)
