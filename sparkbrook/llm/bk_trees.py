@@ -10,7 +10,8 @@ every member that isn't in the shard's largest component is searched in the tree
 So no link is lost, and a group that holds a third of all nodes costs about its size.
 
 Edges. ``spanning``: a forest with the components of all links (a search leaves a subtree that is one component with its queries). ``least``: a minimum forest by distance
-of each block; if a caller then refuses an edge by an exact check, only pairs farther apart are left between its sides.
+of each block. A caller that refuses an edge by an exact check must look for further links between its sides itself (``near_copies``): neither the forest of a block nor
+the largest component of a shard knows of the refusal.
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ from pyspark.sql import functions as F
 from .common import removed, written
 
 BLOCK, PIVOTS = 2_048, 8
+#: Pairs of a block that are held before a minimum forest is made of them.
+PAIRS = 300_000
 #: Shards of over one block are broadcast up to so many (about 24 bytes each), and met by a shuffle beyond.
 BROADCAST_SHARDS = 200_000
 
@@ -127,13 +130,22 @@ def block_edges(nodes: np.ndarray, points: np.ndarray, of_tree: np.ndarray, radi
         roots = forest.roots(np.arange(len(nodes)))
         linked = roots != np.arange(len(nodes))
         return nodes[linked], nodes[roots[linked]]
-    found = list(grow_and_search(points, tree, queries, radius, None))
-    if not found:
-        return nodes[:0], nodes[:0]
-    a = np.repeat([x for x, _, _ in found], [len(y) for _, y, _ in found])
-    b, d = np.concatenate([y for _, y, _ in found]), np.concatenate([z for _, _, z in found])
-    kept = least_forest(a, b, d, len(nodes))
-    a, b = nodes[a[kept]], nodes[b[kept]]
+    # the minimum forest of what was found so far and of what comes is that of all: never more than some pairs are held
+    kept, found, held = [np.zeros(0, np.int64)] * 3, [], 0
+
+    def thinned() -> list[np.ndarray]:
+        x = np.concatenate((kept[0], np.repeat([x for x, _, _ in found], [len(y) for _, y, _ in found]).astype(np.int64)))
+        y, d = np.concatenate((kept[1], *[y for _, y, _ in found])), np.concatenate((kept[2], *[z for _, _, z in found]))
+        chosen = least_forest(x, y, d, len(nodes))
+        return [x[chosen], y[chosen], d[chosen]]
+
+    for one in grow_and_search(points, tree, queries, radius, None):
+        found.append(one)
+        held += len(one[1])
+        if held > PAIRS:
+            kept, found, held = thinned(), [], 0
+    a, b, _ = thinned() if found else kept
+    a, b = nodes[a], nodes[b]
     return np.maximum(a, b), np.minimum(a, b)
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 import weakref
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -53,6 +55,18 @@ def removed(*tables: DataFrame) -> None:
             place.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(place, True)
 
 
+@contextmanager
+def short_batches(spark: SparkSession, rows: int = 2_000) -> Iterator[None]:
+    """What is written meanwhile passes texts to Python by so many rows at once: a batch of Spark's 10,000 is held several times over, by the JVM and by Python."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def broadcast_if_small(table: DataFrame, rows: int = 2_000_000) -> DataFrame:
     """A written table of a few numbers a row, to be broadcast if it has at most ``rows`` rows (counted), else as it is: then Spark joins by a shuffle."""
     return F.broadcast(table) if table.count() <= rows else table

@@ -8,11 +8,16 @@ Fingerprint. ``WORDS`` 64-bit words of a SimHash over the distinct shingles: wor
 Shards. A similarity of 0.8 is an angle at which 20 % of the bits differ: too many for block keys, which agree in whole. But what differs are
 the bits whose counts lie near a tie. So of every word the ``TOP`` bits that lie farthest from one, with their signs, are taken, and each choice of ``KEY`` of
 these is a shard key. A pair at a similarity of just 0.8 shares one in about 70 % of the cases, at 0.86 in 92 %, from 0.89 (a Jaccard similarity of 0.8) on in 97 % and more
-(test_recall_by_similarity); ``TOP`` 7 would make that 93, 99 and 100 %, for 140 keys a set instead of 60. A set of one shingle has no
+(test_recall_by_similarity); the last step finds the rest. A set of one shingle has no
 other set at 0.8, and no keys. A key is one of ten million; beyond some ten million documents raise ``KEY``, and ``TOP`` with it.
 
 Links. BK-trees of the shards (``bk_trees``, over the first ``TREE_WORDS`` words; a pair at 0.8 lies beyond ``RADIUS`` once in a million) give a minimum forest of links, never
-all pairs. Each of its edges is verified by the two sets, and what is verified makes the groups. An edge that fails leaves only pairs between its sides that lie farther apart.
+all pairs. Each of its edges is verified by the two sets, and what is verified makes the first groups.
+
+The rest, exactly. Keys, radius and forests are estimates and leave pairs out, so the groups are completed by a bound that holds for every pair (``prefix``): in one order of all shingles, the
+first a - ceil(0.64 a) + 1 shingles of a set of a share one with those of any set at 0.8. The order is by hash, with shingles that are frequent in a sample last; any order gives the same
+pairs. Shingles that one set alone has are dropped, lists of the same sets are one list. Pairs of sets in a list that aren't in one group yet, and whose prefixes share enough for 0.8, are
+verified: first one for each two groups, then, between groups that are still apart, all. So no pair at 0.8 is left between two groups, and a group costs no pairs within itself.
 
 Defined cases. Words as in SimHash. Fewer words than a shingle has: the whole sequence is the shingle; no words: the empty set, equal to itself only.
 Very long texts: one pass. Null texts: as empty. Repeated ids: rows are told apart by id and set. Rows without an id stay. Repeated rows count once. Empty table: empty
@@ -32,10 +37,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bk_trees import components, links
-from .common import broadcast_if_small, numbered, removed, written
+from .common import broadcast_if_small, numbered, removed, short_batches, written
 from .simhash import SEED, bit_counts, shingle_hashes
 
 WORDS, TREE_WORDS, TOP, KEY, RADIUS, BLOCK, SALTS = 4, 2, 6, 4, 48, 1_024, 32
+#: Shingles in a bucket of lists, sets in the sample for frequent shingles, how often these occur in it, and how many are told apart at most.
+BUCKET, SAMPLE, FREQUENT, MOST_FREQUENT = 500_000, 4_000, 8, 50_000
 _MIX = np.array([0x9E3779B97F4A7C15 * (2 * k + 1) % (1 << 64) for k in range(WORDS)], np.uint64)
 
 
@@ -76,8 +83,109 @@ def shard_keys(columns: list[str]) -> Column:
     return F.array(*[key(k, x, choice) for k, x in enumerate(columns) for choice in combinations(range(TOP), KEY)])
 
 
+def prefix(hashes: np.ndarray, frequent: np.ndarray, percent: int) -> np.ndarray:
+    """The first shingles of a set, so many that two sets at the similarity share one. Both arguments ascend.
+
+    A set of b at cosine c to one of a has b >= c^2 a, so c^2 a shingles in common at least; of these one is among the first a - ceil(c^2 a) + 1 in any order that all sets keep."""
+    many = np.isin(hashes, frequent, assume_unique=True) if len(frequent) else np.zeros(len(hashes), bool)
+    return np.concatenate((hashes[~many], hashes[many]))[: len(hashes) + percent * percent * len(hashes) // -10_000 + 1]
+
+
+def lists_of(tokens: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(list, node, weight) for each token that several nodes have; a list is named by its nodes, and those with the same nodes are one, with their number as its weight."""
+    order = np.lexsort((nodes, tokens))
+    tokens, nodes = tokens[order], nodes[order]
+    once = np.ones(len(tokens), bool)
+    once[1:] = (tokens[1:] != tokens[:-1]) | (nodes[1:] != nodes[:-1])
+    tokens, nodes = tokens[once], nodes[once]
+    starts = np.flatnonzero(np.concatenate(([True], tokens[1:] != tokens[:-1])))
+    sizes = np.diff(np.append(starts, len(tokens)))
+    x = nodes.view(np.uint64) * _MIX[1]
+    x ^= x >> np.uint64(32)
+    x *= np.uint64(0xD6E8FEB86659FD93)
+    x ^= x >> np.uint64(32)
+    names = np.add.reduceat(x, starts)
+    several = np.flatnonzero(sizes > 1)
+    _, first, times = np.unique(names[several], return_index=True, return_counts=True)
+    weights = np.zeros(len(sizes), np.int64)
+    weights[several[first]] = times
+    rows = np.repeat(weights, sizes)
+    return np.repeat(names, sizes)[rows > 0].view(np.int64), nodes[rows > 0], rows[rows > 0]
+
+
+def shared_lists(texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """(list, node, weight) from (node, size, text), repeated rows allowed: the nodes that share so many (weight) shingles of their prefixes."""
+    n, total = texts.agg(F.count("*"), F.sum("size")).first()
+    buckets = max(16, (total or 0) * (10_000 - percent * percent) // 10_000 // BUCKET)
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for text in batch.column(0):
+                yield pa.RecordBatch.from_arrays([pa.array(shingles(text.as_py(), words).view(np.int64))], ["h"])
+
+    some = texts.where(F.pmod(F.xxhash64("node"), F.lit(max(1, n // SAMPLE))) == 0).dropDuplicates(["node"]).select("text")
+    often = some.mapInArrow(counted, "h long").groupBy("h").count().where(F.col("count") >= FREQUENT).orderBy(F.desc("count"), "h").limit(MOST_FREQUENT)
+    frequent = np.sort(np.array([r.h for r in often.select("h").collect()], np.int64).view(np.uint64))
+
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            nodes, first = np.unique(batch.column(0).to_numpy(), return_index=True)
+            for at in range(0, len(nodes), 1_000):
+                found = [prefix(shingles(batch.column(1)[i].as_py(), words), frequent, percent) for i in first[at : at + 1_000].tolist()]
+                tokens, owners = np.concatenate(found), np.repeat(nodes[at : at + 1_000], [len(x) for x in found])
+                bucket = (tokens >> np.uint64(32)) % np.uint64(buckets)
+                order = np.argsort(bucket, kind="stable")
+                tokens, owners = tokens[order].astype(np.uint32), owners[order]
+                names, cuts = np.unique(bucket[order], return_index=True)
+                cuts = [*cuts.tolist(), len(tokens)]
+                parts = list(zip(cuts[:-1], cuts[1:], strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(names.view(np.int64)), pa.array([tokens[a:b].tobytes() for a, b in parts], pa.binary()), pa.array([owners[a:b].tobytes() for a, b in parts], pa.binary())], ["bucket", "tokens", "nodes"])
+
+    def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, now = [], None
+
+        def out() -> Iterator[pa.RecordBatch]:
+            columns = lists_of(np.frombuffer(b"".join(x for x, _ in held), np.uint32), np.frombuffer(b"".join(y for _, y in held), np.int64))
+            for at in range(0, len(columns[0]), 50_000):
+                yield pa.RecordBatch.from_arrays([pa.array(x[at : at + 50_000]) for x in columns], ["list", "node", "weight"])
+
+        for batch in batches:
+            for bucket, x, y in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if held and bucket != now:
+                    yield from out()
+                    held = []
+                now = bucket
+                held.append((x, y))
+        if held:
+            yield from out()
+
+    slim = texts.select("node", "text").mapInArrow(dealt, "bucket long, tokens binary, nodes binary")
+    return slim.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(met, "list long, node long, weight long").groupBy("list", "node").agg(F.sum("weight").alias("weight"))
+
+
+def open_pairs(lists: DataFrame, sizes: DataFrame, near: DataFrame, percent: int) -> DataFrame:
+    """(a, b), a > b: pairs between groups of ``near`` (node, component) that may be at the similarity, by their sizes (node, size) and the shingles that their prefixes share.
+
+    Of two prefixes the one that ends first holds all common shingles up to its end; of those beyond, there are at most as many as its set has left."""
+    placed = lists.join(near, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    mixed = placed.groupBy("list").agg(F.min("component").alias("first"), F.max("component").alias("last")).where("first <> last").select("list")
+    placed = placed.join(mixed, "list").join(sizes, "node")
+    x, y = (placed.select("list", "weight", *[F.col(c).alias(f"{c}_{end}") for c in ("node", "component", "size")]) for end in "xy")
+    small, large = F.least("size_x", "size_y"), F.greatest("size_x", "size_y")
+    met = x.join(y.drop("weight"), "list").where("component_x < component_y").where(small * 10_000 >= large * (percent * percent))
+    shared = met.groupBy(F.greatest("node_x", "node_y").alias("a"), F.least("node_x", "node_y").alias("b")).agg(F.sum("weight").alias("shared"), F.first(small).alias("m"), F.first(large).alias("n"))
+    beyond = F.ceil(F.col("n") * (percent * percent) / 10_000) - 1
+    most = F.least(F.col("shared") + beyond, F.col("m"))
+    return shared.where(most * most * 10_000 >= F.col("m") * F.col("n") * (percent * percent)).select("a", "b")
+
+
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, words: int = 5, percent: int = 80, block: int = BLOCK) -> DataFrame:
     """``docs`` with one document, that with the smallest id, of each group of near copies."""
+    with short_batches(docs.sparkSession):
+        return _deduplicated(docs, id_col, text_col, words, percent, block)
+
+
+def _deduplicated(docs: DataFrame, id_col: str, text_col: str, words: int, percent: int, block: int) -> DataFrame:
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -108,14 +216,39 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 offsets = np.concatenate(([0], np.cumsum([len(x) for x in found]))).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(found)))], ["node", "set"])
 
-    met = written(edges.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "near-met")
-    # one row for each set: copies of a text go before the texts move
-    rows = marked.select(F.col("__near_node").alias("node"), F.col(text_col).alias("text")).join(broadcast_if_small(met), "node", "left_semi")
-    sets = written(rows.groupBy("node").agg(F.first("text").alias("text")).mapInArrow(sets_of, "node long, set array<long>"), "near-sets")
-    both = edges.join(sets.select(F.col("node").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("y")), "b")
-    common, sizes = F.size(F.array_intersect("x", "y")).cast("long"), F.size("x").cast("long") * F.size("y")
-    near = components(both.where(common * common * 10_000 >= F.lit(percent * percent) * sizes).select("a", "b"))
-    removed(nodes, edges, met, sets)
+    def verified(pairs: DataFrame) -> DataFrame:
+        """The pairs of a written table whose sets are at the similarity."""
+        met = written(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "near-met")
+        # one row for each set: copies of a text go before the texts move
+        rows = marked.select(F.col("__near_node").alias("node"), F.col(text_col).alias("text")).join(broadcast_if_small(met), "node", "left_semi")
+        sets = written(rows.groupBy("node").agg(F.first("text").alias("text")).mapInArrow(sets_of, "node long, set array<long>"), "near-sets")
+        both = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("y")), "b")
+        common, sizes = F.size(F.array_intersect("x", "y")).cast("long"), F.size("x").cast("long") * F.size("y")
+        out = written(both.where(common * common * 10_000 >= F.lit(percent * percent) * sizes).select("a", "b"), "near-verified")
+        removed(pairs, met, sets)
+        return out
+
+    sure_edges = verified(edges)
+    near = components(sure_edges)
+    removed(nodes)
+    # what the estimates left out: every pair at the similarity shares a list
+    sized = marked.where("__near_size >= 2").select(F.col("__near_node").alias("node"), F.col("__near_size").alias("size"), F.col(text_col).alias("text"))
+    lists = written(shared_lists(sized, words, percent), "near-lists")
+    size_of = written(lists.select("node").distinct().join(sized.select("node", "size").distinct(), "node"), "near-sizes")
+    pairs = written(open_pairs(lists, size_of, near, percent), "near-pairs")
+    for every in (False, True):
+        of = lambda end: near.select(F.col("node").alias(end), F.col("component").alias(f"of_{end}"))  # noqa: E731, B023
+        apart = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").withColumns({"of_a": F.coalesce("of_a", "a"), "of_b": F.coalesce("of_b", "b")}).where("of_a <> of_b")
+        if not every:  # one pair of two groups first
+            apart = apart.groupBy(F.greatest("of_a", "of_b"), F.least("of_a", "of_b")).agg(F.min(F.struct("a", "b")).alias("pair")).select("pair.*")
+        more = verified(written(apart.select("a", "b"), "near-open"))
+        if not more.isEmpty():
+            later = written(sure_edges.unionByName(more), "near-verified")
+            removed(sure_edges, near)
+            sure_edges, near = later, components(later)
+        removed(more)
+    removed(pairs)
+    removed(lists, size_of, sure_edges)
 
     rows = marked.select(F.col(id_col).alias("__near_id"), "__near_node")
     copies = rows.where("__near_id is not null").groupBy("__near_id", "__near_node").count()

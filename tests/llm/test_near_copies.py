@@ -70,3 +70,48 @@ def test_one_id_with_unlike_texts(spark):
     left = sorted(((x.doc_id or 0, x.text) for x in near_copies.deduplicated(df).collect()), key=str)
     assert left == sorted([(1, a), (2, b), (0, a), (4, None)], key=str)
     assert near_copies.deduplicated(df.limit(0)).count() == 0
+
+
+def test_every_pair_at_the_similarity_is_linked(spark):
+    """Pairs at just 0.8 (brute force), chains of them, and a frequent passage: no link is lost."""
+    r, rows = random.Random(12), []
+    passage = [f"p{i}" for i in range(30)]
+    for k in range(150):
+        words = [f"w{r.randrange(10**6)}" for _ in range(r.choice((10, 60, 150)))] + (passage if k % 5 == 0 else [])
+        for _ in range(3):
+            rows.append((len(rows), " ".join(words)))
+            words = list(words)
+            for at in r.sample(range(len(words)), max(1, len(words) // 28)):
+                words[at] = f"x{r.randrange(10**6)}"
+    sets = [near_copies.shingles(t) for _, t in rows]
+    up = list(range(len(rows)))
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    bare = 0
+    for i in range(len(rows)):
+        for j in range(i):
+            n = len(np.intersect1d(sets[i], sets[j]))
+            if n * n * 100 >= 64 * len(sets[i]) * len(sets[j]):
+                bare += n * n * 100 < 72 * len(sets[i]) * len(sets[j])
+                x, y = root(i), root(j)
+                up[max(x, y)] = min(x, y)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    left = {x.doc_id for x in near_copies.deduplicated(df).collect()}
+    assert bare > 50 and left == {root(i) for i in range(len(rows))}
+
+
+def test_prefixes_of_sets_at_the_similarity_meet():
+    r = np.random.default_rng(5)
+    for _ in range(2_000):
+        n, m = (int(x) for x in r.integers(2, 60, 2))
+        same = int(np.ceil(0.8 * (n * m) ** 0.5 - 1e-9))
+        if same > min(n, m):
+            continue
+        pool = r.integers(0, 2**64, n + m, dtype=np.uint64)
+        a, b = np.unique(pool[:n]), np.unique(np.concatenate((pool[:same], pool[n : n + m - same])))
+        frequent = np.unique(r.choice(pool, 8))
+        assert np.intersect1d(near_copies.prefix(a, frequent, 80), near_copies.prefix(b, frequent, 80)).size
