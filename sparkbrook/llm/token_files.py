@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from .common import shared_folder, whole_number
 
 KNOWN_CHUNKS, LONG = 800_000, 48
-STOP = re.compile(rb"(?<=[a-z0-9])([.,])(?=\s|$)")
+STOP = re.compile(rb"([.,])(?<=[a-z0-9][.,])(?=\s|$)")  # the stop first: the search then skips to one
 ROW_GROUP, PAGE = 8 << 20, 64 << 10
 TOKENS = "doc_id long, n_tokens long, ids array<int>, file_range long, row long"
 NAMES = ["doc_id", "n_tokens", "ids", "file_range", "row"]
@@ -60,7 +60,7 @@ class Encoder:
         plain, others, ends, at = [], [], [], 0
         for c in chunks:
             text = c.decode()
-            if len(text) > 1000 or "<|" in text or max(text) > "\xff":
+            if len(text) > 1000 or "<|" in text or not text.isascii() and max(text) > "\xff":
                 others.append(text)
             else:
                 at += len(text) + 1

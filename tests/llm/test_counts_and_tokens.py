@@ -1,6 +1,7 @@
 """Operators 1, 9 and 10 against the public libraries."""
 
 import random
+import re
 import zlib
 
 import numpy as np
@@ -196,3 +197,13 @@ def test_token_files_of_nothing(spark, tmp_path):
     folder = f"file://{tmp_path}/t"
     token_files.write_tokens(df, WORD, folder)
     assert token_files.token_digest(spark, folder).count() == 0
+
+
+def test_stops_are_split_as_before_and_sought_by_themselves():
+    """The search for a stop that ends a word begins with the stop, which the engine can skip to."""
+    plain = re.compile(rb"(?<=[a-z0-9])([.,])(?=\s|$)")
+    r = random.Random(3)
+    for _ in range(3_000):
+        data = "".join(r.choice("ab9.,,) \n\té") for _ in range(r.randrange(25))).encode()
+        assert token_files.STOP.sub(rb" \1", data) == plain.sub(rb" \1", data)
+    assert token_files.STOP.pattern.startswith(rb"([.,])")
