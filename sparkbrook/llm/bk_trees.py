@@ -28,6 +28,8 @@ from .common import removed, written
 BLOCK, PIVOTS = 2_048, 8
 #: Pairs of a block that are held before a minimum forest is made of them.
 PAIRS = 300_000
+#: So many edges at most (16 bytes each) are one task's: its arrays take less than the jobs of the rounds.
+ALONE = 1_000_000
 #: Shards of over one block are broadcast up to so many (about 24 bytes each), and met by a shuffle beyond.
 BROADCAST_SHARDS = 200_000
 
@@ -218,14 +220,41 @@ def links(nodes: DataFrame, radius: int, *, least: bool = False, block: int = BL
     return found.unionByName(more)
 
 
-def components(edges: DataFrame) -> DataFrame:
+def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, component) of all edges of a task: every root takes the least root beside it until none has another."""
+    held = [[c.to_numpy() for c in batch.columns] for batch in batches if batch.num_rows]
+    if not held:
+        return
+    nodes, ends = np.unique(np.concatenate([x for pair in zip(*held, strict=True) for x in pair]), return_inverse=True)
+    a, b = np.split(ends, 2)
+    up = np.arange(len(nodes))
+    while len(a):
+        low = np.minimum(a, b)
+        np.minimum.at(up, a, low)
+        np.minimum.at(up, b, low)
+        while not np.array_equal(up[up], up):
+            up = up[up]
+        a, b = up[a], up[b]
+        apart = a != b
+        a, b = a[apart], b[apart]
+    moved = np.flatnonzero(up != np.arange(len(nodes)))
+    for at in range(0, len(moved), 50_000):
+        part = moved[at : at + 50_000]
+        yield pa.RecordBatch.from_arrays([pa.array(nodes[part]), pa.array(nodes[up[part]])], ["node", "component"])
+
+
+def components(edges: DataFrame, alone: int = ALONE) -> DataFrame:
     """(node, component): the smallest node reachable, for every node of ``edges`` (a, b) that isn't that one.
 
-    Each round ties every node to its least neighbour, finds the components of this forest, which has an edge a node however many edges there are, and contracts all edges to
+    Up to ``alone`` edges are joined in one task. Beyond, each round ties every node to its least neighbour, finds the components of this forest, which has an edge a node however many edges there are, and contracts all edges to
     them, until none is left between two. A round at least halves the nodes that have edges. Rounds end in written tables, so lineage stays short and lost executors cost one round.
     The neighbours of a node are never gathered: only their minimum is.
     """
     now, names = written(edges.select("a", "b").distinct(), "links"), None
+    if now.count() <= alone:
+        found = written(now.coalesce(1).mapInArrow(joined, "node long, component long"), "components")
+        removed(now)
+        return found
     while True:
         least = now.groupBy("a").agg(F.min("b").alias("m")).unionByName(now.groupBy("b").agg(F.min("a").alias("m")).withColumnRenamed("b", "a")).groupBy("a").agg(F.min("m").alias("m"))
         found = stars(least.select(F.greatest("a", "m").alias("a"), F.least("a", "m").alias("b")))

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 import weakref
 from collections.abc import Iterator
-from contextlib import contextmanager
+from contextlib import contextmanager, suppress
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,6 +19,20 @@ _places: dict[int, tuple] = {}
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+#: What workers remember for an operator (encoders and the ids of chunks): each is emptied when a worker goes on with another step.
+remembered: list[dict] = []
+
+
+def forget() -> None:
+    """Give back what a reused worker still remembers for other operators; they build it again when they are called."""
+    if any(remembered):
+        for x in remembered:
+            x.clear()
+        gc.collect()
+        with suppress(OSError, AttributeError):  # where the C library has it, freed memory goes back to the system
+            ctypes.CDLL(None).malloc_trim(0)
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     """A table of ``sf_dir``, through Spark's own reader: the folder may be in any store that Spark can read."""
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")

@@ -37,12 +37,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bk_trees import components, links
-from .common import broadcast_if_small, numbered, removed, short_batches, written
+from .common import broadcast_if_small, forget, numbered, removed, short_batches, written
 from .simhash import SEED, bit_counts, shingle_hashes
 
 WORDS, TREE_WORDS, TOP, KEY, RADIUS, BLOCK, SALTS = 4, 2, 6, 4, 48, 1_024, 32
 #: Shingles in a bucket of lists, sets in the sample for frequent shingles, how often these occur in it, and how many are told apart at most.
 BUCKET, SAMPLE, FREQUENT, MOST_FREQUENT = 500_000, 4_000, 8, 50_000
+#: Cells of the parities, least and most; nodes in a block of a list; pairs made at a time, and bits of parities compared at a time.
+CELLS, LIST, PAIRS, HELD = (256, 4_096), 1_024, 300_000, 1 << 25
 _MIX = np.array([0x9E3779B97F4A7C15 * (2 * k + 1) % (1 << 64) for k in range(WORDS)], np.uint64)
 
 
@@ -163,17 +165,107 @@ def shared_lists(texts: DataFrame, words: int, percent: int) -> DataFrame:
     return slim.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(met, "list long, node long, weight long").groupBy("list", "node").agg(F.sum("weight").alias("weight"))
 
 
-def open_pairs(lists: DataFrame, sizes: DataFrame, near: DataFrame, percent: int) -> DataFrame:
-    """(a, b), a > b: pairs between groups of ``near`` (node, component) that may be at the similarity, by their sizes (node, size) and the shingles that their prefixes share.
+def parities(hashes: np.ndarray) -> bytes:
+    """A bit for each cell that an odd number of the hashes falls in; about as many cells as hashes, a power of two within ``CELLS``. Folding it in two gives that of half the cells."""
+    cells = min(max(1 << max(len(hashes) - 1, 0).bit_length(), CELLS[0]), CELLS[1])
+    return np.packbits(np.bincount((hashes & np.uint64(cells - 1)).astype(np.int64), minlength=cells) & 1 > 0, bitorder="little").tobytes()
+
+
+def may_be_near(pairs: tuple[np.ndarray, np.ndarray], sizes: np.ndarray, bits: list[bytes], percent: int) -> np.ndarray:
+    """Which pairs (positions) may be at the similarity, by their sizes and parities. Exact in one direction: two sets differ by at least as many shingles as their parities by cells."""
+    x, y = sizes[pairs[0]], sizes[pairs[1]]
+    c2 = percent * percent
+    left = np.minimum(x, y) * 10_000 >= np.maximum(x, y) * c2
+    wide = np.array([8 * len(b) for b in bits])
+    cells = np.minimum(wide[pairs[0]], wide[pairs[1]])
+    level = CELLS[0]
+    while level <= CELLS[1]:
+        now = np.flatnonzero(left & (cells == level))
+        if len(now):
+            ends = np.unique(np.concatenate((pairs[0][now], pairs[1][now])))
+            rows = np.empty((len(ends), level // 64), np.uint64)
+            for i, k in enumerate(ends.tolist()):
+                rows[i] = np.bitwise_xor.reduce(np.frombuffer(bits[k], np.uint64).reshape(-1, level // 64), axis=0)
+            a, b = np.searchsorted(ends, pairs[0][now]), np.searchsorted(ends, pairs[1][now])
+            for at in range(0, len(now), HELD // level):
+                part = slice(at, at + HELD // level)
+                apart = np.bitwise_count(rows[a[part]] ^ rows[b[part]]).sum(axis=1, dtype=np.int64)
+                m, n = x[now[part]], y[now[part]]
+                twice = m + n - apart  # of the shingles in common, at most
+                left[now[part]] = (twice >= 0) & (twice * twice * 2_500 >= c2 * m * n)
+        level *= 2
+    return np.flatnonzero(left)
+
+
+def pairs_of(ends: np.ndarray, first: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(i, j) in bounded parts: each row i with the rows from first[i] up to ends[i]."""
+    counts = ends - first
+    sums = np.concatenate(([0], np.cumsum(counts)))
+    at = 0
+    while at < len(counts):
+        to = max(at + 1, int(np.searchsorted(sums, sums[at] + PAIRS, "right")) - 1)
+        c = counts[at:to]
+        i = np.repeat(np.arange(at, to), c)
+        if len(i):
+            yield i, np.arange(len(i)) - np.repeat(sums[at:to] - sums[at], c) + first[i]
+        at = to
+
+
+def open_pairs(lists: DataFrame, sizes: DataFrame, near: DataFrame, percent: int, block: int = LIST) -> DataFrame:
+    """(a, b), a > b: pairs between groups of ``near`` (node, component) that may be at the similarity, by their sizes and parities (node, size, bits) and the shingles that their prefixes share.
+
+    Pairs are made and tested by arrays, and only those that pass become rows. A list of over ``block`` nodes is dealt out: its largest group in blocks, the others in blocks, each block of
+    others with each of either kind. So a task has about twice ``block`` of a list, every pair meets in one, and the pairs within the largest group aren't made.
 
     Of two prefixes the one that ends first holds all common shingles up to its end; of those beyond, there are at most as many as its set has left."""
+
+    def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+            name, part, component, side, node, size, weight = (rows.column(c).to_numpy() for c in ("list", "part", "component", "side", "node", "size", "weight"))
+            bits = rows.column("bits").to_pylist()
+            new = np.concatenate(([True], (name[1:] != name[:-1]) | (part[1:] != part[:-1])))
+            group = np.cumsum(new) - 1
+            ends = np.append(np.flatnonzero(new)[1:], len(name))[group]
+            other = np.flatnonzero(np.concatenate(([True], new[1:] | (component[1:] != component[:-1]))))
+            first = np.append(other[1:], len(name))[np.searchsorted(other, np.arange(len(name)), "right") - 1]  # a group's nodes stand together
+            for i, j in pairs_of(ends, first):
+                asked = (side[i] == 2) | (side[i] != side[j])
+                i, j = i[asked], j[asked]
+                some = may_be_near((i, j), size, bits, percent)
+                if len(some):
+                    i, j = i[some], j[some]
+                    a, b = np.maximum(node[i], node[j]), np.minimum(node[i], node[j])
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (a, b, weight[i], np.minimum(size[i], size[j]), np.maximum(size[i], size[j]))], ["a", "b", "weight", "m", "n"])
+
+        held: list[pa.Table] = []
+        for batch in batches:
+            now = pa.Table.from_batches([batch])
+            name, part = now.column("list").to_numpy(), now.column("part").to_numpy()
+            last = int(np.flatnonzero(np.concatenate(([True], (name[1:] != name[:-1]) | (part[1:] != part[:-1]))))[-1]) if len(name) else 0
+            if held and len(name) and (held[-1].column("list")[-1].as_py(), held[-1].column("part")[-1].as_py()) != (name[0], part[0]):
+                yield from out(pa.concat_tables(held))
+                held = []
+            if last:
+                yield from out(pa.concat_tables([*held, now.slice(0, last)]))
+                held = []
+            if len(name):
+                held.append(now.slice(last))
+        if held:
+            yield from out(pa.concat_tables(held))
+
     placed = lists.join(near, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    mixed = placed.groupBy("list").agg(F.min("component").alias("first"), F.max("component").alias("last")).where("first <> last").select("list")
-    placed = placed.join(mixed, "list").join(sizes, "node")
-    x, y = (placed.select("list", "weight", *[F.col(c).alias(f"{c}_{end}") for c in ("node", "component", "size")]) for end in "xy")
-    small, large = F.least("size_x", "size_y"), F.greatest("size_x", "size_y")
-    met = x.join(y.drop("weight"), "list").where("component_x < component_y").where(small * 10_000 >= large * (percent * percent))
-    shared = met.groupBy(F.greatest("node_x", "node_y").alias("a"), F.least("node_x", "node_y").alias("b")).agg(F.sum("weight").alias("shared"), F.first(small).alias("m"), F.first(large).alias("n"))
+    groups = placed.groupBy("list", "component").agg(F.count("*").alias("n"))
+    mixed = groups.groupBy("list").agg(F.sum("n").alias("n"), F.max("n").alias("top"), F.max_by("component", F.struct("n", "component")).alias("main"), F.count("*").alias("k")).where("k > 1").drop("k")
+    whole, main = F.col("n") <= block, F.col("component") == F.col("main")
+    mains, rest = F.ceil(F.col("top") / block), F.ceil((F.col("n") - F.col("top")) / block)
+    own = F.pmod(F.xxhash64("node"), F.when(main, mains).otherwise(rest))
+    to = lambda n, f: F.transform(F.sequence(F.lit(0).cast("long"), n - 1), f)
+    at = lambda part, side: F.struct(part.cast("long").alias("part"), side.cast("int").alias("side"))
+    among = lambda p: at(mains * rest + F.least(own, p) * rest + F.greatest(own, p), F.when(own == p, 2).otherwise((own > p).cast("int")))
+    parts = F.when(whole, F.array(at(F.lit(0), F.lit(2)))).when(main, to(rest, lambda o: at(own * rest + o, F.lit(0)))).otherwise(F.concat(to(mains, lambda m: at(m * rest + own, F.lit(1))), to(rest, among)))
+    dealt = placed.join(mixed, "list").join(sizes, "node").withColumn("at", F.explode(parts)).select("list", "at.part", "component", "at.side", "node", "size", "weight", "bits")
+    found = dealt.repartition("list", "part").sortWithinPartitions("list", "part", "component").mapInArrow(met, "a long, b long, weight long, m long, n long")
+    shared = found.groupBy("a", "b").agg(F.sum("weight").alias("shared"), F.first("m").alias("m"), F.first("n").alias("n"))
     beyond = F.ceil(F.col("n") * (percent * percent) / 10_000) - 1
     most = F.least(F.col("shared") + beyond, F.col("m"))
     return shared.where(most * most * 10_000 >= F.col("m") * F.col("n") * (percent * percent)).select("a", "b")
@@ -189,20 +281,21 @@ def _deduplicated(docs: DataFrame, id_col: str, text_col: str, words: int, perce
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             for start in range(0, batch.num_rows, 1_000):
                 part = batch.slice(start, 1_000)
                 sets = [shingles(t.as_py(), words) for t in part.column(at)]
                 nodes = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], np.uint64).view(np.int64)
                 prints, sure = zip(*map(sketch, sets), strict=True)
-                columns = [pa.array(nodes), *[pa.array(w, pa.int64()) for x in (prints, sure) for w in zip(*x, strict=True)], pa.array([len(x) for x in sets], pa.int64())]
+                columns = [pa.array(nodes), *[pa.array(w, pa.int64()) for x in (prints, sure) for w in zip(*x, strict=True)], pa.array([len(x) for x in sets], pa.int64()), pa.array(map(parities, sets), pa.binary())]
                 yield pa.RecordBatch.from_arrays([*part.columns, *columns], [*part.schema.names, *new])
 
     names, docs = docs.columns, numbered(docs)
     id_col, text_col = docs.columns[names.index(id_col)], docs.columns[at]
     words_, sure_ = [f"w{k}" for k in range(TREE_WORDS)], [f"s{k}" for k in range(WORDS)]
-    new = [f"__near_{c}" for c in ("node", *words_, *sure_, "size")]
-    kinds = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), *(f"{c} long" for c in new)])
+    new = [f"__near_{c}" for c in ("node", *words_, *sure_, "size", "bits")]
+    kinds = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), *(f"{c} {'binary' if c == '__near_bits' else 'long'}" for c in new)])
     marked = written(docs.mapInArrow(run, kinds), "near-sketches")
     slim = marked.where("__near_size >= 2").select(*[F.col(c).alias(c.removeprefix("__near_")) for c in new])
     nodes = written(slim.groupBy("node").agg(*[F.min(c).alias(c) for c in (*words_, *sure_)]), "near-nodes")
@@ -234,7 +327,10 @@ def _deduplicated(docs: DataFrame, id_col: str, text_col: str, words: int, perce
     # what the estimates left out: every pair at the similarity shares a list
     sized = marked.where("__near_size >= 2").select(F.col("__near_node").alias("node"), F.col("__near_size").alias("size"), F.col(text_col).alias("text"))
     lists = written(shared_lists(sized, words, percent), "near-lists")
-    size_of = written(lists.select("node").distinct().join(sized.select("node", "size").distinct(), "node"), "near-sizes")
+    bits = marked.select(F.col("__near_node").alias("node"), F.col("__near_size").alias("size"), F.col("__near_bits").alias("bits"))
+    listed = written(lists.select("node").distinct(), "near-listed")
+    size_of = written(bits.join(broadcast_if_small(listed), "node", "left_semi").dropDuplicates(["node"]), "near-sizes")
+    removed(listed)
     pairs = written(open_pairs(lists, size_of, near, percent), "near-pairs")
     for every in (False, True):
         of = lambda end: near.select(F.col("node").alias(end), F.col("component").alias(f"of_{end}"))  # noqa: E731, B023

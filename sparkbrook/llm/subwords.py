@@ -29,6 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import remembered
+
 RATE, SEED = 0.1, 5
 KNOWN_CHUNKS, LONG, ROWS = 700_000, 48, 4_096
 #: Cut before these where they follow a letter, if no piece of the model holds a letter followed by one of them.
@@ -321,6 +323,7 @@ class Pieces:
 
 
 _models: dict[tuple, Pieces] = {}
+remembered.append(_models)
 
 
 def pieces(*settings) -> Pieces:

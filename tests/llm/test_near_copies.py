@@ -5,7 +5,7 @@ import random
 import numpy as np
 
 import corpus_pipeline
-from sparkbrook.llm import near_copies
+from sparkbrook.llm import bk_trees, near_copies
 
 
 def test_copies_from_08_to_095_go_and_others_stay(spark):
@@ -115,3 +115,41 @@ def test_prefixes_of_sets_at_the_similarity_meet():
         a, b = np.unique(pool[:n]), np.unique(np.concatenate((pool[:same], pool[n : n + m - same])))
         frequent = np.unique(r.choice(pool, 8))
         assert np.intersect1d(near_copies.prefix(a, frequent, 80), near_copies.prefix(b, frequent, 80)).size
+
+
+def test_pairs_of_long_lists_are_made_in_blocks(spark):
+    """Every pair of two groups that may be near, once over all parts of its lists; the many pairs that can't be don't become rows."""
+    r = np.random.default_rng(6)
+    passage = r.integers(0, 2**64, 40, dtype=np.uint64)
+    sets = [np.unique(np.concatenate((passage, r.integers(0, 2**64, 300, dtype=np.uint64)))) for _ in range(60)]
+    sets += [np.unique(np.concatenate((s[:300], r.integers(0, 2**64, 30, dtype=np.uint64)))) for s in sets[:20]]  # each near one of the first
+    component = {i: 40 for i in range(41, 60)}
+    lists = spark.createDataFrame([(t, i, 1 if t < 3 else 20) for t in range(90) for i in range(80) if t < 3 or i in (t % 20, t % 20 + 60)], "list long, node long, weight long")
+    sizes = spark.createDataFrame([(i, len(s), bytearray(near_copies.parities(s))) for i, s in enumerate(sets)], "node long, size long, bits binary")
+    near = spark.createDataFrame(list(component.items()), "node long, component long")
+    for block in (7, 1_000):
+        made = near_copies.open_pairs(lists, sizes, near, 80, block)
+        assert sorted((x.a, x.b) for x in made.collect()) == [(i + 60, i) for i in range(20)]
+
+
+def test_parities_refuse_no_pair_at_the_similarity():
+    r = np.random.default_rng(9)
+    refused = 0
+    for _ in range(1_500):
+        n, m = (int(x) for x in r.integers(2, r.choice((60, 700, 9_000)), 2))
+        same = int(r.integers(0, min(n, m) + 1))
+        pool = r.integers(0, 2**64, n + m - same, dtype=np.uint64)
+        a, b = pool[:n], np.concatenate((pool[:same], pool[n:]))
+        left = len(near_copies.may_be_near((np.array([0]), np.array([1])), np.array([n, m]), [near_copies.parities(a), near_copies.parities(b)], 80))
+        assert left or same * same * 100 < 64 * n * m
+        refused += not left
+    assert refused > 700
+
+
+def test_components_alone_and_by_rounds(spark):
+    r = random.Random(2)
+    edges = [(max(a, b), min(a, b)) for a, b in ((r.randrange(600), r.randrange(600)) for _ in range(400)) if a != b] + [(k + 1, k) for k in range(700, 760)]
+    df = spark.createDataFrame(edges, "a long, b long")
+    alone, rounds = (sorted(map(tuple, bk_trees.components(df, n).select("node", "component").collect())) for n in (1_000, 0))
+    assert alone == rounds and len(alone) > 300 and (760, 700) in alone
+    assert bk_trees.components(df.limit(0)).count() == 0
