@@ -16,8 +16,8 @@ all pairs. Each of its edges is verified by the two sets, and what is verified m
 
 The rest, exactly. Keys, radius and forests are estimates and leave pairs out, so the groups are completed by a bound that holds for every pair (``prefix``): in one order of all shingles, the
 first a - ceil(0.64 a) + 1 shingles of a set of a share one with those of any set at 0.8. The order is by hash, with shingles that are frequent in a sample last; any order gives the same
-pairs. Shingles that one set alone has are dropped, lists of the same sets are one list. Pairs of sets in a list that aren't in one group yet, and whose prefixes share enough for 0.8, are
-verified: first one for each two groups, then, between groups that are still apart, all. So no pair at 0.8 is left between two groups, and a group costs no pairs within itself.
+pairs. Shingles that one set alone has are dropped, lists of the same sets are one list. Pairs of sets in a list that aren't in one group yet, whose parities
+(``parities``) don't refuse 0.8 and whose prefixes share enough for it, are verified: first one for each two groups, then, between groups that are still apart, all. So no pair at 0.8 is left between two groups, and a group costs no pairs within itself.
 
 Defined cases. Words as in SimHash. Fewer words than a shingle has: the whole sequence is the shingle; no words: the empty set, equal to itself only.
 Very long texts: one pass. Null texts: as empty. Repeated ids: rows are told apart by id and set. Rows without an id stay. Repeated rows count once. Empty table: empty
